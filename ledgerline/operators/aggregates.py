@@ -45,17 +45,22 @@ def collision_audit(df: DataFrame, key: Sequence[str], label: str) -> DataFrame:
         F.sum(F.col("n") - 1).alias("rows_removed_by_dedup"), F.count_if(F.col("labels") > 1).alias("groups_over_labels"))
 
 
+def corr(x: str, y: str) -> Column:
+    """Correlation, null when a side is flat (the built-in one divides by zero there in ANSI mode)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pearson(x: str, y: str, min_n: int = 3) -> Column:
     """Population correlation; 0 with too few rows or a flat side."""
     ok = (F.count(F.col(x) + F.col(y)) >= min_n) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-    return F.when(ok, F.corr(x, y)).otherwise(F.lit(0.0))
+    return F.when(ok, corr(x, y)).otherwise(F.lit(0.0))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, width_x: float, width_y: float, out: str) -> DataFrame:
     """Correlation of average ranks."""
     rx = Q.ranks(df, keys, x, width_x).withColumnRenamed("rank_avg", "__rx").drop("rank_min", "rank_desc", "n")
     ry = Q.ranks(rx, keys, y, width_y)
-    return ry.groupBy(*keys).agg(F.corr("__rx", "rank_avg").alias(out))
+    return ry.groupBy(*keys).agg(corr("__rx", "rank_avg").alias(out))
 
 
 def weighted_mean(x: str, w: str) -> Column:

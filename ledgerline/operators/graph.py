@@ -14,3 +14,16 @@ def component_pair_mass(od: DataFrame, components: DataFrame, origin: str, desti
     j = cells.join(a, origin).join(b, destination).where("ca <> cb")
     return j.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(
         F.sum("m").alias("mass"), F.count(F.lit(1)).alias("od_pairs"))
+
+
+def classify_patch(nodes: DataFrame, edges: DataFrame, patch: DataFrame) -> DataFrame:
+    """Outcome of each patch edge (a, b): applied, or refused for an unknown endpoint or an existing edge."""
+    known = lambda c: nodes.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_known"))
+    p = patch.join(known("a"), "a", "left").join(known("b"), "b", "left").join(edges.select("a", "b", F.lit(True).alias("dup")), ["a", "b"], "left")
+    outcome = (F.when(F.col("a_known").isNull() | F.col("b_known").isNull(), "UNKNOWN_ENDPOINT").when(F.col("dup"), "DUPLICATE").otherwise("APPLIED"))
+    return p.select("a", "b", outcome.alias("outcome"))
+
+
+def apply_patch(nodes: DataFrame, edges: DataFrame, patch: DataFrame) -> DataFrame:
+    added = classify_patch(nodes, edges, patch).where("outcome = 'APPLIED'").select("a", "b")
+    return edges.select("a", "b").unionByName(added)

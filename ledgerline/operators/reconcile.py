@@ -115,3 +115,12 @@ def replace_class(states: DataFrame, rebuilt: DataFrame, key: Sequence[str], rep
     guard = clash.agg(F.when(F.count(F.lit(1)) > 0, F.raise_error(F.lit("rebuilt rows collide with protected states")).cast("boolean"))
                       .otherwise(F.lit(True))).scalar()
     return keep.unionByName(rebuilt).where(guard)
+
+
+def unpivot_values(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Identifier-like columns of several tables as (tbl, col, val) text rows."""
+    out = None
+    for name, (df, cols) in tables.items():
+        u = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "col", "val").withColumn("tbl", F.lit(name))
+        out = u if out is None else out.unionByName(u)
+    return out

@@ -130,3 +130,39 @@ def forward_floor(df: DataFrame, keys: Sequence[str], position: str, value: str,
     x = df.withColumn("__lift", F.col(value) - F.col(position) * gap)
     x = skew.running(x, keys, [position], chunk, {"__top": ("max", "__lift")})
     return x.withColumn(out, F.col("__top") + F.col(position) * gap).drop("__lift", "__top")
+
+
+def shrink(target: Column, old: Column, weight: Column, prior: float) -> Column:
+    """Blend of a target with the old value by weight/(weight+prior)."""
+    return target * (weight / (weight + prior)) + old * (F.lit(prior) / (weight + prior))
+
+
+def increasing_only(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column) -> DataFrame:
+    """Keeps the keys whose values strictly increase along the order."""
+    x = skew.neighbour(df, keys, order, chunk, [value], "__prev")
+    bad = x.where(F.col(value) <= F.col(f"__prev.{value}")).select(*keys).distinct()
+    return df.join(bad, list(keys), "left_anti")
+
+
+# Uncertainty of a filled stop grows by 25 s per stop from 30 s, up to 600 s.
+FILL_BASE_S, FILL_STEP_S, FILL_MAX_S = 30, 25, 600
+
+
+def complete_corridor(events: DataFrame, trip: str, pos: str, value: str, lo: int, hi: int, edge_s: float) -> DataFrame:
+    """Fills every corridor position of each trip.
+
+    Between two observed stops by linear interpolation, outside them by the per-edge
+    run time; observed stops stay as they are. A trip has at most hi-lo+1 positions,
+    so the whole trip is one small ordered group.
+    """
+    grid = events.select(trip).distinct().withColumn(pos, F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))))
+    x = grid.join(events, [trip, pos], "left")
+    x = x.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
+    x = skew.last_known(x, [trip], [pos], F.lit(0), "__k", "__a")
+    x = skew.last_known(x, [trip], [pos], F.lit(0), "__k", "__b", following=True)
+    a, b, p = F.col("__a"), F.col("__b"), F.col(pos)
+    mid = a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
+    filled = F.coalesce(F.col(value).cast("double"), mid, a["v"] + (p - a["p"]) * edge_s, b["v"] - (b["p"] - p) * edge_s)
+    far = F.least(p - a["p"], b["p"] - p)
+    unc = F.when(F.col(value).isNotNull(), F.lit(0)).otherwise(F.least(F.lit(FILL_MAX_S), FILL_BASE_S + FILL_STEP_S * far))
+    return x.select(trip, pos, F.round(filled, 6).alias("filled"), unc.cast("bigint").alias("uncertainty"))

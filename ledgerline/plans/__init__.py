@@ -7,7 +7,7 @@ import importlib.util
 
 from ledgerline.registry import REGISTRY, Query
 
-MODULES = ["sources", "contracts", "joins", "aggregates", "sequence", "topk", "reconcile", "scalars",
+MODULES = ["flagship", "sources", "contracts", "joins", "aggregates", "sequence", "topk", "reconcile", "scalars",
            "signal", "graph", "assign", "sampling", "audits", "streams"]
 
 

@@ -76,7 +76,7 @@ def main(argv: list[str]) -> int:
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                    "spark.driver.memory": "12g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     bad = 0
     for name, q in load().items():
@@ -85,7 +85,7 @@ def main(argv: list[str]) -> int:
         try:
             status, n, m, spent, note = compare(spark, con, q, sf)
         except Exception as exc:  # report and go on to the next query
-            status, n, m, spent, note = "ERROR", None, None, 0.0, f"{type(exc).__name__}: {str(exc)[:700]}"
+            status, n, m, spent, note = "ERROR", None, None, 0.0, f"{type(exc).__name__}: {str(exc)[:500]}"
         flag = "" if status in ("ok", "rows-only") else "  <<<<"
         bad += bool(flag)
         print(f"{name:44s} {status:10s} spark={n} sql={m} {spent:5.1f}s {note}{flag}", flush=True)
