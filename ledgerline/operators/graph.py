@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.topk import MAX_ROUNDS, NoFixpoint
+from ledgerline.session import cut_lineage
+
 
 def component_pair_mass(od: DataFrame, components: DataFrame, origin: str, destination: str, mass: str) -> DataFrame:
     """Mass and OD pairs between different components; cells are combined before the lookups."""
@@ -27,3 +32,31 @@ def classify_patch(nodes: DataFrame, edges: DataFrame, patch: DataFrame) -> Data
 def apply_patch(nodes: DataFrame, edges: DataFrame, patch: DataFrame) -> DataFrame:
     added = classify_patch(nodes, edges, patch).where("outcome = 'APPLIED'").select("a", "b")
     return edges.select("a", "b").unionByName(added)
+
+
+def greedy_independent(nodes: DataFrame, node: str, edges: DataFrame, rank: Sequence[Column]) -> DataFrame:
+    """Greedy selection: by rank, keep a node when none of its kept neighbours ranks before it.
+
+    ``edges`` lists conflicting pairs (a, b) once. Equal to the sequential pass: a node
+    that outranks all its undecided neighbours is kept and they fall.
+    """
+    ranked = nodes.withColumn("__rank", F.struct(*rank))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    r = ranked.select(F.col(node).alias("b"), F.col("__rank").alias("rb"))
+    open_edges = cut_lineage(both.join(r, "b").join(r.select(F.col("b").alias("a"), F.col("rb").alias("ra")), "a"))
+    fallen = None
+    for _ in range(MAX_ROUNDS):
+        if open_edges.isEmpty():
+            break
+        # a node wins when no undecided neighbour ranks before it
+        best = open_edges.groupBy("a").agg(F.min("rb").alias("best"), F.first("ra").alias("mine"))
+        winners = best.where("mine < best").select("a")
+        lost = cut_lineage(open_edges.join(winners, "a", "left_semi").select(F.col("b").alias("n")).distinct())
+        fallen = lost if fallen is None else fallen.unionByName(lost)
+        gone = lost.select(F.col("n").alias("a")).unionByName(winners)
+        open_edges = cut_lineage(open_edges.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti"))
+    else:
+        raise NoFixpoint("greedy selection did not settle")
+    if fallen is None:
+        return nodes
+    return nodes.join(fallen.select(F.col("n").alias(node)), node, "left_anti")

@@ -102,19 +102,19 @@ def band_pairs(df: DataFrame, keys: Sequence[str], at: str, row_id: str, gap: in
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, fields: Sequence[str], tolerance: float,
             width: float, out: str, tie: Sequence[str], upper: str | None = None) -> DataFrame:
-    """Closest right row within the tolerance and below ``upper``; smallest ``tie`` first on equal distance.
+    """Closest right row within the tolerance and not after ``upper``; smallest ``tie`` first on equal distance.
 
     Two as-of lookups give the neighbours on both sides, so nothing is paired up.
     """
     fields = [*fields, *[c for c in tie if c not in fields]]
-    look = F.least(F.col(left_time), F.col(upper) - 1) if upper else F.col(left_time)
+    look = F.least(F.col(left_time), F.col(upper)) if upper else F.col(left_time)
     x = left.withColumn("__look", look)
     x = asof(x, right, keys, "__look", right_time, fields, width, "__before", tie=tie)
     x = asof(x, right, keys, left_time, right_time, fields, width, "__after", following=True, tie=tie)
     b, a = F.col("__before"), F.col("__after")
     db, da = F.abs(F.col(left_time) - b[right_time]), F.abs(a[right_time] - F.col(left_time))
     b_ok = b.isNotNull() & (db <= tolerance)
-    a_ok = a.isNotNull() & (da <= tolerance) & ((a[right_time] < F.col(upper)) if upper else F.lit(True))
+    a_ok = a.isNotNull() & (da <= tolerance) & ((a[right_time] <= F.col(upper)) if upper else F.lit(True))
     first = (db < da) | ((db == da) & (F.struct(*[b[c] for c in tie]) <= F.struct(*[a[c] for c in tie])))
     pick = F.when(b_ok & (~a_ok | first), b).when(a_ok, a)
     return x.withColumn(out, pick).drop("__look", "__before", "__after")

@@ -119,7 +119,7 @@ def _(t):
 
 @query("J13_nearest_with_tolerance", f"""
 WITH {TAPS}, p AS (SELECT station, us//1000000 AS s, event_id, -value AS neg FROM taps WHERE status=0), q AS (SELECT station, us//1000000 AS s, event_id, us//1000000+1200 AS ub FROM taps WHERE status=1),
- m AS (SELECT q.event_id, p.event_id AS pulse_id, q.s-p.s AS d, row_number() OVER (PARTITION BY q.event_id ORDER BY abs(q.s-p.s), neg, p.event_id) AS rn FROM q JOIN p ON p.station=q.station AND abs(p.s-q.s)<=3600 AND p.s<ub)
+ m AS (SELECT q.event_id, p.event_id AS pulse_id, q.s-p.s AS d, row_number() OVER (PARTITION BY q.event_id ORDER BY abs(q.s-p.s), neg, p.event_id) AS rn FROM q JOIN p ON p.station=q.station AND abs(p.s-q.s)<=3600 AND p.s<=ub)
 SELECT q.event_id, pulse_id, d AS offset_s FROM q LEFT JOIN (SELECT * FROM m WHERE rn=1) m USING (event_id)""")
 def _(t):
     x = taps(t).withColumn("s", F.floor(F.col("us") / 1_000_000))
