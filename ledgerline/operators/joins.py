@@ -104,20 +104,25 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: s
             width: float, out: str, tie: Sequence[str], upper: str | None = None) -> DataFrame:
     """Closest right row within the tolerance and not after ``upper``; smallest ``tie`` first on equal distance.
 
-    Two as-of lookups give the neighbours on both sides, so nothing is paired up.
+    One time line gives the neighbours on both sides, so nothing is paired up.
     """
-    fields = [*fields, *[c for c in tie if c not in fields]]
+    pay = [right_time, *[f for f in [*fields, *tie] if f != right_time]]
+    pay = list(dict.fromkeys(pay))
+    best = right.groupBy(*keys, F.col(right_time).alias("__t")).agg(F.min_by(F.struct(*pay), F.struct(*tie)).alias("__r"))
     look = F.least(F.col(left_time), F.col(upper)) if upper else F.col(left_time)
-    x = left.withColumn("__look", look)
-    x = asof(x, right, keys, "__look", right_time, fields, width, "__before", tie=tie)
-    x = asof(x, right, keys, left_time, right_time, fields, width, "__after", following=True, tie=tie)
+    lcols = left.columns
+    l = left.withColumns({"__t": look, "__side": F.lit(1)}).withColumn("__id", F.monotonically_increasing_id())
+    r = best.withColumns({"__side": F.lit(0), "__id": F.lit(0).cast("bigint")})
+    both = l.unionByName(r, allowMissingColumns=True)
+    # at equal times the right row lies behind, so an exact hit is found looking back
+    x = skew.chunked(both, keys, ["__t", "__side", "__id"], skew.span("__t", width), known={"__before": ("__r", False, False), "__after": ("__r", True, False)})
+    x = x.where("__side = 1")
     b, a = F.col("__before"), F.col("__after")
     db, da = F.abs(F.col(left_time) - b[right_time]), F.abs(a[right_time] - F.col(left_time))
     b_ok = b.isNotNull() & (db <= tolerance)
     a_ok = a.isNotNull() & (da <= tolerance) & ((a[right_time] <= F.col(upper)) if upper else F.lit(True))
     first = (db < da) | ((db == da) & (F.struct(*[b[c] for c in tie]) <= F.struct(*[a[c] for c in tie])))
-    pick = F.when(b_ok & (~a_ok | first), b).when(a_ok, a)
-    return x.withColumn(out, pick).drop("__look", "__before", "__after")
+    return x.select(*lcols, F.when(b_ok & (~a_ok | first), b).when(a_ok, a).alias(out))
 
 
 def expand_segments(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -6,9 +6,9 @@ a card, station or line holding a large part of all events is still spread.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline import skew
@@ -41,11 +41,16 @@ def exactly_two(df: DataFrame, user: str, order: Sequence[str], status: str, tim
                     (F.col(f"b.{time_us}") - F.col(f"a.{time_us}")).alias("duration_us"))
 
 
-def mark_repeated_times(df: DataFrame, user: str, time: str, out: str = "repeated") -> DataFrame:
-    """Flags events that share their user's timestamp with another event."""
-    n = df.groupBy(F.col(user).alias("__u"), F.col(time).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    j = df.join(n, (F.col(user) == F.col("__u")) & (F.col(time) == F.col("__t")), "left")
-    return j.withColumn(out, F.col("__n").isNotNull()).drop("__u", "__t", "__n")
+def repeated_times(time: str, out: str = "repeated"):
+    """Flags events that share their timestamp with another event of the user.
+
+    Equal timestamps lie next to each other in one chunk, so this is a chunk-local fact.
+    """
+    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
+        t = F.col(time)
+        same = F.coalesce(F.lag(t).over(w) == t, F.lit(False)) | F.coalesce(F.lead(t).over(w) == t, F.lit(False))
+        return df.withColumn(out, same)
+    return add
 
 
 def drop_blocked(df: DataFrame, blocked: DataFrame, user: str) -> DataFrame:
@@ -62,30 +67,30 @@ def barrier_pairs(df: DataFrame, user: str, time_s: str, seq: str, kind: str, fi
     exit pairs exactly when the event right before it is a clean entry. Events are
     numbered within the user (``entry_pos``, ``exit_pos``) for adjacency checks.
     """
-    x = mark_repeated_times(df, user, time_s)
-    x = x.withColumn("__role", F.when(F.col("repeated"), F.lit("BARRIER")).otherwise(F.col(kind))).withColumn("__one", F.lit(1).cast("bigint"))
-    x = skew.running(x, [user], [time_s, seq], chunk, {"__pos": ("sum", "__one")})
-    x = skew.neighbour(x, [user], [time_s, seq], chunk, [*fields, time_s, "__role", "__pos"], "__prev")
+    def roles(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = repeated_times(time_s)(d, w)
+        return d.withColumn("__role", F.when(F.col("repeated"), F.lit("BARRIER")).otherwise(F.col(kind)))
+
+    x = df.withColumn("__one", F.lit(1).cast("bigint"))
+    x = skew.chunked(x, [user], [time_s, seq], chunk, local=roles, folds={"__pos": ("sum", "__one", False)},
+                     near={"__prev": ([*fields, time_s, "__role"], False)})
     dur = F.col(time_s) - F.col(f"__prev.{time_s}")
     hit = (F.col("__role") == "EXIT") & (F.col("__prev.__role") == "ENTRY") & (dur <= max_s)
     return x.where(hit).select(user, *[F.col(f"__prev.{f}").alias(f"entry_{f}") for f in fields], F.col(f"__prev.{time_s}").alias("entry_s"),
-                               F.col("__prev.__pos").alias("entry_pos"), *[F.col(f).alias(f"exit_{f}") for f in fields],
+                               (F.col("__pos") - 1).alias("entry_pos"), *[F.col(f).alias(f"exit_{f}") for f in fields],
                                F.col(time_s).alias("exit_s"), F.col("__pos").alias("exit_pos"))
 
 
-def stitch(segments: DataFrame, user: str, chunk: Column, rule: Column, fields: Sequence[str]) -> DataFrame:
+def stitch(segments: DataFrame, user: str, chunk: Column, rule: Callable[[Column, Column], Column], fields: Sequence[str]) -> DataFrame:
     """Journeys of consecutive segments that a transfer rule joins.
 
-    ``rule`` sees the segment and its predecessor as struct ``prev``. Segments must
-    also be adjacent in the source events.
+    ``rule`` gets the earlier and the later segment as structs. Segments must also be
+    adjacent in the source events.
     """
-    order = ["entry_s", "entry_pos"]
-    payload = [*[f"exit_{f}" for f in fields], "exit_s", "exit_pos"]
-    x = skew.neighbour(segments, [user], order, chunk, payload, "prev")
-    joins = F.coalesce(rule & (F.col("entry_pos") == F.col("prev.exit_pos") + 1), F.lit(False))
-    x = x.withColumn("__new", F.when(joins, F.lit(0)).otherwise(F.lit(1)).cast("bigint"))
-    x = skew.running(x, [user], order, chunk, {"__journey": ("sum", "__new")})
-    first, last = F.struct(*order), F.struct("exit_s", "exit_pos")
+    seen = [*[f"entry_{f}" for f in fields], *[f"exit_{f}" for f in fields], "entry_s", "entry_pos", "exit_s", "exit_pos"]
+    x = skew.islands(segments, [user], ["entry_s", "entry_pos"], chunk, seen,
+                     lambda prev, cur: rule(prev, cur) & (cur["entry_pos"] == prev["exit_pos"] + 1), "__journey")
+    first, last = F.struct("entry_s", "entry_pos"), F.struct("exit_s", "exit_pos")
     return (x.groupBy(user, "__journey").agg(
         *[F.min_by(f"entry_{f}", first).alias(f"entry_{f}") for f in fields], F.min("entry_s").alias("entry_s"),
         *[F.max_by(f"exit_{f}", last).alias(f"exit_{f}") for f in fields], F.max("exit_s").alias("exit_s"),
@@ -115,8 +120,7 @@ def next_gap(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
 def interpolate(df: DataFrame, keys: Sequence[str], position: str, value: str, chunk: Column, out: str) -> DataFrame:
     """Linear fill between the known neighbours; the nearest known value outside them."""
     x = df.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v"))))
-    x = skew.last_known(x, keys, [position], chunk, "__k", "__a")
-    x = skew.last_known(x, keys, [position], chunk, "__k", "__b", following=True)
+    x = skew.chunked(x, keys, [position], chunk, known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
     a, b = F.col("__a"), F.col("__b")
     mid = a["v"] + (b["v"] - a["v"]) * (F.col(position) - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
     return x.withColumn(out, F.coalesce(F.col(value), mid, a["v"], b["v"])).drop("__k", "__a", "__b")
@@ -158,8 +162,7 @@ def complete_corridor(events: DataFrame, trip: str, pos: str, value: str, lo: in
     grid = events.select(trip).distinct().withColumn(pos, F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))))
     x = grid.join(events, [trip, pos], "left")
     x = x.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-    x = skew.last_known(x, [trip], [pos], F.lit(0), "__k", "__a")
-    x = skew.last_known(x, [trip], [pos], F.lit(0), "__k", "__b", following=True)
+    x = skew.chunked(x, [trip], [pos], F.lit(0), known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
     a, b, p = F.col("__a"), F.col("__b"), F.col(pos)
     mid = a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
     filled = F.coalesce(F.col(value).cast("double"), mid, a["v"] + (p - a["p"]) * edge_s, b["v"] - (b["p"] - p) * edge_s)

@@ -151,9 +151,7 @@ def running_centre_clusters(df: DataFrame, keys: Sequence[str], pos: str, weight
     """
     d = df.select(*keys, F.col(pos).cast("double").alias("pos"), F.col(weight).cast("double").alias("weight"), F.col(member).cast("string").alias("member"))
     order = ["pos", "member"]
-    x = skew.neighbour(d, keys, order, skew.span("pos", width), ["pos"], "prev")
-    x = x.withColumn("__new", F.when(F.col("prev").isNull() | (F.col("pos") - F.col("prev.pos") > radius), 1).otherwise(0).cast("bigint"))
-    x = skew.running(x, keys, order, skew.span("pos", width), {"island": ("sum", "__new")}).drop("prev", "__new")
+    x = skew.islands(d, keys, order, skew.span("pos", width), ["pos"], lambda prev, cur: cur["pos"] - prev["pos"] <= radius, "island")
     fields = {f.name: f.dataType.simpleString() for f in d.schema.fields}
     schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "island bigint", _CLUSTER_SCHEMA])
 

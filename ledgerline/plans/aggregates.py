@@ -104,9 +104,8 @@ SELECT count(*) AS n, round(quantile_cont(spread,0.5),6) AS median_range, round(
 def _(t):
     k = (t.lineitem.groupBy("l_suppkey", "l_shipdate")
          .agg((F.max("l_extendedprice") - F.min("l_extendedprice")).alias("spread"), F.count(F.lit(1)).alias("c")).where("c > 1"))
-    table = Q.value_table(k, [], "spread", 500.0)
-    return table.agg(F.max("group_total").alias("n"), F.round(Q._linear("spread", 0.5), 6).alias("median_range"),
-                     F.round(Q._linear("spread", 0.9), 6).alias("p90_range"))
+    q = Q.quantiles(k, [], "spread", 500.0, {"median_range": 0.5, "p90_range": 0.9})
+    return q.select(k.agg(F.count(F.lit(1))).scalar().alias("n"), *[F.round(c, 6).alias(c) for c in q.columns])
 
 
 @query("A12_linear_quantile", """

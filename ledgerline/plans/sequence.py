@@ -46,8 +46,8 @@ WITH {TAPS}, x AS (SELECT *, us//600000000 AS tick FROM taps WHERE status IS NOT
 SELECT p_id AS entry_event_id, event_id AS exit_event_id, (tick-pt)*600 AS duration_s FROM p WHERE status=0 AND ps=1 AND c=1 AND pc=1 AND (tick-pt)*600<=21600""")
 def _(t):
     x = taps(t).where("status is not null").withColumn("tick", F.floor(F.col("us") / 600_000_000))
-    x = S.mark_repeated_times(x, "user_id", "tick")
-    x = skew.neighbour(x, ["user_id"], ["tick", "event_id"], skew.span("tick", 144), ["event_id", "status", "tick", "repeated"], "prev")
+    x = skew.chunked(x, ["user_id"], ["tick", "event_id"], skew.span("tick", 144), local=S.repeated_times("tick"),
+                     near={"prev": (["event_id", "status", "tick", "repeated"], False)})
     gap = (F.col("tick") - F.col("prev.tick")) * 600
     hit = (F.col("status") == 0) & (F.col("prev.status") == 1) & ~F.col("repeated") & ~F.col("prev.repeated") & (gap <= S.MAX_FARE_JOURNEY_S)
     return x.where(hit).select(F.col("prev.event_id").alias("entry_event_id"), F.col("event_id").alias("exit_event_id"), gap.alias("duration_s"))
@@ -83,8 +83,9 @@ WITH {BARRIER}, s1 AS (SELECT *, lag(exit_pos) OVER w AS pp, lag(exit_s) OVER w
 SELECT arg_min(entry_station, entry_s) AS entry_station, arg_min(entry_line, entry_s) AS entry_line, min(entry_s) AS entry_s, arg_max(exit_station, exit_s) AS exit_station, arg_max(exit_line, exit_s) AS exit_line, max(exit_s) AS exit_s, count(*)-1 AS transfers
 FROM s3 GROUP BY user_id, j""")
 def _(t):
-    gap = F.col("entry_s") - F.col("prev.exit_s")
-    rule = (gap > 0) & (gap <= 28800) & (F.col("entry_line") != F.col("prev.exit_line"))
+    def rule(prev, cur):
+        gap = cur["entry_s"] - prev["exit_s"]
+        return (gap > 0) & (gap <= 28800) & (cur["entry_line"] != prev["exit_line"])
     return S.stitch(segments(t), "user_id", skew.span("entry_s", clocks.DAY_S), rule, ["station", "line"])
 
 
@@ -92,8 +93,7 @@ def _(t):
 WITH {TAPS}, r AS (SELECT station, line, us, row_number() OVER (PARTITION BY station, line ORDER BY us) AS k, count(*) OVER (PARTITION BY station, line) AS n FROM taps)
 SELECT station, line, us AS upper_middle_us FROM r WHERE k = n//2+1""")
 def _(t):
-    tab = Q.value_table(taps(t), ["station", "line"], "us", float(DAY_US))
-    return tab.groupBy("station", "line").agg(F.min(F.when(F.col("cell_upto") > F.floor(F.col("group_total") / 2), F.col("us"))).alias("upper_middle_us"))
+    return Q.quantiles(taps(t), ["station", "line"], "us", float(DAY_US), {"upper_middle_us": 0.5}, kind="upper_middle")
 
 
 @query("W08_consecutive_dedupe", f"""

@@ -184,15 +184,15 @@ def _(t):
 
 
 @query("G14_duplicate_merge", f"""
-WITH {RIDES}, c AS (SELECT ride_id, from_station, dep, arr-dep AS w, [to_station, line+100, (ride_id%4)::INT+200] AS ev FROM rides),
- l AS (SELECT from_station, list_reduce(list([{{'i':ride_id,'t':dep,'e':ev}}] ORDER BY w DESC, ride_id), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.t-y[1].t)<=7200 AND len(list_intersect(z.e,y[1].e))/3.0::DOUBLE>=0.5))=0 THEN acc||y ELSE acc END) AS kept FROM c GROUP BY 1),
+WITH {RIDES}, c AS (SELECT ride_id, from_station, line, dep, arr-dep AS w, [to_station, line+100, (ride_id%4)::INT+200] AS ev FROM rides),
+ l AS (SELECT from_station, line, list_reduce(list([{{'i':ride_id,'t':dep,'e':ev}}] ORDER BY w DESC, ride_id), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.t-y[1].t)<=7200 AND len(list_intersect(z.e,y[1].e))/3.0::DOUBLE>=0.5))=0 THEN acc||y ELSE acc END) AS kept FROM c GROUP BY 1, 2),
  u AS (SELECT from_station, unnest(kept).i AS ride_id FROM l) SELECT from_station, ride_id FROM u""")
 def _(t):
     from ledgerline.operators import joins as J
     from ledgerline.operators.graph import greedy_independent
     from ledgerline.functions.arrays import overlap_ratio
     r = rides(t).withColumn("ev", F.array(F.col("to_station"), F.col("line") + 100, (F.col("ride_id") % 4).cast("int") + 200)).withColumn("w", F.col("arr") - F.col("dep"))
-    p = J.band_pairs(r, ["from_station"], "dep", "ride_id", 7201, ["ev"])
+    p = J.band_pairs(r, ["from_station", "line"], "dep", "ride_id", 7201, ["ev"])
     e = p.where(overlap_ratio(F.col("a_ev"), F.col("b_ev")) >= 0.5).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return greedy_independent(r.select("ride_id", "from_station", "w"), "ride_id", e, [-F.col("w"), F.col("ride_id")]).select("from_station", "ride_id")
 

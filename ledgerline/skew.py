@@ -6,15 +6,19 @@ the key's rows into ordered *chunks* (a time span or a value span), works inside
 carried table has as many rows per key as the key has chunks, whatever the
 number of rows, so the only unsplit step is bounded by the chunk width.
 
+Cost of one call, however many columns it adds: the rows are shuffled once by
+(keys, chunk); a second, column-pruned read is combined map-side to one row per
+key and chunk. Put everything a step needs into one call.
+
 ``chunk`` must not decrease along the order: all rows of a lower chunk come
 before all rows of a higher one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _CHUNK = "__chunk"
@@ -25,82 +29,127 @@ def span(col: str | Column, width: float) -> Column:
     return F.floor((F.col(col) if isinstance(col, str) else col) / F.lit(width))
 
 
+def null_safe(keys: Sequence[str], prefix: str) -> Column:
+    """Equality on keys against the prefixed columns of the other side, nulls matching."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return cond
+
+
+def prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], *[c for c in df.columns if c not in keys])
+
+
 def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on (keys, chunk), nulls in keys matching each other."""
     names = [*keys, _CHUNK]
-    right = carry.select(*[F.col(n).alias(f"__r_{n}") for n in names],
-                         *[c for c in carry.columns if c not in names])
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & F.col(n).eqNullSafe(F.col(f"__r_{n}"))
-    return local.join(right, cond, "left").drop(*[f"__r_{n}" for n in names])
+    right = prefixed(carry, names, "__r_")
+    return local.join(right, null_safe(names, "__r_"), "left").drop(*[f"__r_{n}" for n in names])
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-              fields: Sequence[str], out: str, following: bool = False) -> DataFrame:
-    """Adds ``out``: a struct of ``fields`` from the previous (or next) row of the key.
+def _add(a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
+_FOLD = {"sum": (F.sum, _add), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+            near: dict[str, tuple[Sequence[str], bool]] | None = None,
+            known: dict[str, tuple[str, bool, bool]] | None = None,
+            folds: dict[str, tuple[str, str, bool]] | None = None,
+            totals: dict[str, tuple[str, str]] | None = None,
+            local: Callable[[DataFrame, WindowSpec], DataFrame] | None = None) -> DataFrame:
+    """All ordered columns of one step in one pass.
+
+    ``near``    out -> (fields, following): struct of the previous (or next) row.
+    ``known``   out -> (value, following, strict): latest non-null value at or before the row (or after it).
+    ``folds``   out -> (sum|max|min, column, suffix): running aggregate, inclusive of the row.
+    ``totals``  out -> (sum|max|min, column): aggregate of the whole key.
+    ``local``   adds columns from the window of the row's own chunk first; only for facts that
+                never cross a chunk border, such as equal timestamps.
 
     ``order`` must be a total order within the key.
     """
-    d = df.withColumn(_CHUNK, chunk)
-    payload = F.struct(*fields)
+    near, known, folds, totals = near or {}, known or {}, folds or {}, totals or {}
+    base = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     rank = F.struct(*order)
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    step = F.lead if following else F.lag
-    local = d.withColumn("__near", step(payload).over(w))
-    edge = (F.min_by if following else F.max_by)(payload, rank)
-    edges = d.groupBy(*keys, _CHUNK).agg(edge.alias("__edge"))
-    carry = edges.select(*keys, _CHUNK, step("__edge").over(
-        Window.partitionBy(*keys).orderBy(_CHUNK)).alias("__carry"))
-    joined = _join_carry(local, carry, keys)
-    return joined.withColumn(out, F.coalesce("__near", "__carry")).drop("__near", "__carry", _CHUNK)
+    d = df.withColumn(_CHUNK, chunk)
+    if local is not None:
+        d = local(d, base)
+    cols, edges, cw = {}, [], Window.partitionBy(*keys).orderBy(_CHUNK)
+    back, ahead = cw.rowsBetween(Window.unboundedPreceding, -1), cw.rowsBetween(1, Window.unboundedFollowing)
+    carried, final = [], {}
+    for out, (fields, following) in near.items():
+        payload = F.struct(*fields)
+        cols[f"__l_{out}"] = (F.lead if following else F.lag)(payload).over(base)
+        edges.append((F.min_by if following else F.max_by)(payload, rank).alias(f"__e_{out}"))
+        carried.append((F.lead if following else F.lag)(F.col(f"__e_{out}")).over(cw).alias(f"__c_{out}"))
+        final[out] = F.coalesce(f"__l_{out}", f"__c_{out}")
+    for out, (value, following, strict) in known.items():
+        lo, hi = (1 if strict else 0, Window.unboundedFollowing) if following else (Window.unboundedPreceding, -1 if strict else 0)
+        pick = F.first if following else F.last
+        cols[f"__l_{out}"] = pick(value, ignorenulls=True).over(base.rowsBetween(lo, hi))
+        seen = F.when(F.col(value).isNotNull(), rank)
+        edges.append((F.min_by if following else F.max_by)(F.col(value), seen).alias(f"__e_{out}"))
+        carried.append(pick(f"__e_{out}", ignorenulls=True).over(ahead if following else back).alias(f"__c_{out}"))
+        final[out] = F.coalesce(f"__l_{out}", f"__c_{out}")
+    for out, (kind, value, suffix) in folds.items():
+        agg, merge = _FOLD[kind]
+        lo, hi = (0, Window.unboundedFollowing) if suffix else (Window.unboundedPreceding, 0)
+        cols[f"__l_{out}"] = agg(value).over(base.rowsBetween(lo, hi))
+        edges.append(agg(value).alias(f"__e_{out}"))
+        carried.append(agg(f"__e_{out}").over(ahead if suffix else back).alias(f"__c_{out}"))
+        final[out] = merge(F.col(f"__l_{out}"), F.col(f"__c_{out}"))
+    for out, (kind, value) in totals.items():
+        agg = _FOLD[kind][0]
+        edges.append(agg(value).alias(f"__e_{out}"))
+        carried.append(agg(f"__e_{out}").over(Window.partitionBy(*keys)).alias(out))
+    carry = d.groupBy(*keys, _CHUNK).agg(*edges).select(*keys, _CHUNK, *carried)
+    joined = _join_carry(d.withColumns(cols) if cols else d, carry, keys)
+    return joined.withColumns(final).drop(_CHUNK, *[f"__{p}_{o}" for o in final for p in "lc"])
+
+
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+              fields: Sequence[str], out: str, following: bool = False) -> DataFrame:
+    """Adds ``out``: a struct of ``fields`` from the previous (or next) row of the key."""
+    return chunked(df, keys, order, chunk, near={out: (fields, following)})
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                value: str, out: str, following: bool = False, strict: bool = False) -> DataFrame:
     """Adds ``out``: the latest non-null ``value`` at or before the row (or after it)."""
-    d = df.withColumn(_CHUNK, chunk)
-    near, far = (0, Window.unboundedFollowing) if following else (Window.unboundedPreceding, 0)
-    if strict:
-        near, far = (1, far) if following else (near, -1)
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(near, far)
-    pick = F.first if following else F.last
-    local = d.withColumn("__near", pick(value, ignorenulls=True).over(w))
-    seen = F.when(F.col(value).isNotNull(), F.struct(*order))
-    edge = (F.min_by if following else F.max_by)(F.col(value), seen)
-    edges = d.groupBy(*keys, _CHUNK).agg(edge.alias("__edge"))
-    cw = Window.partitionBy(*keys).orderBy(_CHUNK)
-    cw = cw.rowsBetween(1, Window.unboundedFollowing) if following else cw.rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select(*keys, _CHUNK, pick("__edge", ignorenulls=True).over(cw).alias("__carry"))
-    joined = _join_carry(local, carry, keys)
-    return joined.withColumn(out, F.coalesce("__near", "__carry")).drop("__near", "__carry", _CHUNK)
+    return chunked(df, keys, order, chunk, known={out: (value, following, strict)})
 
 
-_FOLD = {"sum": (F.sum, lambda a, b: F.coalesce(a, b * 0) + F.coalesce(b, a * 0)),
-         "max": (F.max, lambda a, b: F.greatest(a, b)),
-         "min": (F.min, lambda a, b: F.least(a, b))}
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+            folds: dict[str, tuple[str, str]], suffix: bool = False, totals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Adds running aggregates, inclusive of the row: ``{out: ("sum"|"max"|"min", column)}``."""
+    return chunked(df, keys, order, chunk, folds={o: (k, c, suffix) for o, (k, c) in folds.items()}, totals=totals)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-            folds: dict[str, tuple[str, str]], suffix: bool = False) -> DataFrame:
-    """Adds running aggregates, inclusive of the row: ``{out: ("sum"|"max"|"min", column)}``.
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fields: Sequence[str],
+            joins: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """Numbers the runs of consecutive rows that join their predecessor.
 
-    ``suffix`` runs from the end of the key instead of its start.
+    ``joins(previous, current)`` gets two structs of ``fields``. Borders inside a chunk
+    are counted locally; the border between two chunks is judged on the carried last
+    row of the one and first row of the other.
     """
-    d = df.withColumn(_CHUNK, chunk)
-    near = (0, Window.unboundedFollowing) if suffix else (Window.unboundedPreceding, 0)
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(*near)
-    local = d.withColumns({f"__l_{o}": _FOLD[k][0](c).over(w) for o, (k, c) in folds.items()})
-    edges = d.groupBy(*keys, _CHUNK).agg(*[_FOLD[k][0](c).alias(f"__e_{o}") for o, (k, c) in folds.items()])
-    outer = (1, Window.unboundedFollowing) if suffix else (Window.unboundedPreceding, -1)
-    cw = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*outer)
-    carry = edges.select(*keys, _CHUNK, *[_FOLD[k][0](f"__e_{o}").over(cw).alias(f"__c_{o}")
-                                          for o, (k, _) in folds.items()])
-    joined = _join_carry(local, carry, keys)
-    out = joined.withColumns({
-        o: F.coalesce(_FOLD[k][1](F.col(f"__l_{o}"), F.col(f"__c_{o}")), F.col(f"__l_{o}"), F.col(f"__c_{o}"))
-        for o, (k, _) in folds.items()})
-    return out.drop(_CHUNK, *[f"__{p}_{o}" for o in folds for p in "lc"])
+    base = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    rank, cur = F.struct(*order), F.struct(*fields)
+    brk = lambda prev, this: F.when(F.coalesce(joins(prev, this), F.lit(False)), 0).otherwise(1).cast("bigint")
+    d = df.withColumn(_CHUNK, chunk).withColumns({"__cur": cur, "__prev": F.lag(cur).over(base)})
+    d = d.withColumn("__brk", F.when(F.col("__prev").isNull(), F.lit(0).cast("bigint")).otherwise(brk(F.col("__prev"), F.col("__cur"))))
+    edges = d.groupBy(*keys, _CHUNK).agg(F.min_by("__cur", rank).alias("__head"), F.max_by("__cur", rank).alias("__tail"), F.sum("__brk").alias("__n"))
+    cw = Window.partitionBy(*keys).orderBy(_CHUNK)
+    edges = edges.withColumn("__before", F.lag("__tail").over(cw))
+    edges = edges.withColumn("__first", F.when(F.col("__before").isNull(), F.lit(1).cast("bigint")).otherwise(brk(F.col("__before"), F.col("__head"))))
+    carry = edges.select(*keys, _CHUNK, (F.coalesce(F.sum(F.col("__first") + F.col("__n")).over(cw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+                                         + F.col("__first")).alias("__offset"))
+    local = d.withColumn("__seen", F.sum("__brk").over(base.rowsBetween(Window.unboundedPreceding, 0)))
+    return _join_carry(local, carry, keys).withColumn(out, F.col("__offset") + F.col("__seen")).drop(
+        "__cur", "__prev", "__brk", "__seen", "__offset", _CHUNK)
 
 
 def halo(df: DataFrame, position: str, reach: int, width: int) -> DataFrame:
@@ -129,7 +178,4 @@ def attach(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFr
     of a hot key is split by adaptive execution, where a window would be one task.
     """
     g = df.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(*aggs)
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__g_{k}"))
-    return df.join(g, cond, "left").drop(*[f"__g_{k}" for k in keys])
+    return df.join(g, null_safe(keys, "__g_"), "left").drop(*[f"__g_{k}" for k in keys])
