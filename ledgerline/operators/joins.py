@@ -61,17 +61,23 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     return x.where(F.col("__side") == (1 if right_first else 0)).select(*lcols, out)
 
 
+def arrival_index(rides: DataFrame, keys: Sequence[str], dep: str, arr: str, ride: str, width: float) -> DataFrame:
+    """Per departure time the best arrival among it and all later departures (arr, dep, ride)."""
+    r = rides.where(F.col(arr) > F.col(dep)).withColumn("__cand", F.struct(F.col(arr).alias("arr"), F.col(dep).alias("dep"), F.col(ride).alias("ride")))
+    r = skew.running(r, keys, [dep, ride], skew.span(dep, width), {"best": ("min", "__cand")}, suffix=True)
+    return r.groupBy(*keys, F.col(dep).alias("index_dep")).agg(F.min("best").alias("best"))
+
+
+def first_arrival(left: DataFrame, index: DataFrame, keys: Sequence[str], ready: str, width: float, out: str) -> DataFrame:
+    """Forward as-of lookup in an arrival index."""
+    x = asof(left, index, keys, ready, "index_dep", ["best"], width, "__hit", following=True)
+    return x.withColumn(out, F.col("__hit.best")).drop("__hit")
+
+
 def earliest_arrival(left: DataFrame, rides: DataFrame, keys: Sequence[str], ready: str, dep: str, arr: str, ride: str, width: float,
                      out: str) -> DataFrame:
-    """Among rides leaving at or after ``ready``, the one that arrives first (then leaves first, then smallest id).
-
-    Each departure first learns the best arrival among itself and all later ones,
-    so one forward as-of lookup is enough.
-    """
-    r = rides.where(F.col(arr) > F.col(dep)).withColumn("__cand", F.struct(F.col(arr).alias("arr"), F.col(dep).alias("dep"), F.col(ride).alias("ride")))
-    r = skew.running(r, keys, [dep, ride], skew.span(dep, width), {"__best": ("min", "__cand")}, suffix=True)
-    x = asof(left, r.select(*keys, dep, "__best"), keys, ready, dep, ["__best"], width, "__hit", following=True, tie=["__best"])
-    return x.withColumn(out, F.col("__hit.__best")).drop("__hit")
+    """Among rides leaving at or after ``ready``, the one that arrives first (then leaves first, then smallest id)."""
+    return first_arrival(left, arrival_index(rides, keys, dep, arr, ride, width), keys, ready, width, out)
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: str, hi: str, at: str, width: int) -> DataFrame:
