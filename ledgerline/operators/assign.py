@@ -99,10 +99,11 @@ def scored_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, kerne
         x = x.withColumns({"centre": centre, "gap_sd": sd})
         gain = dist.log_interval_density(F.col("centre"), F.col("gap_sd"), *kern["access" if leg == 1 else "transfer"])
         x = x.withColumn("score", F.col("score") + gain).where("score is not null")
+        x = cut_lineage(x)
         x = x.withColumn("steps", F.concat("steps", F.array(F.struct(F.col("ride_id").alias("ride"), "centre", F.col("gap_sd").alias("sd")))))
         x = x.withColumnRenamed("retained", "kept_before")
         x = K.beam(x, ["cohort", "route_rank"], "score", ["steps"], beam).withColumn("retained", F.col("retained") * F.col("kept_before"))
-        x = cut_lineage(x.drop("lo", "hi", "beam_rank", "kept_before", "at", "at_sd", "ride_id", "centre", "gap_sd").withColumnsRenamed({"arr": "at", "sd": "at_sd"}))
+        x = cut_lineage(x.drop("lo", "hi", "beam_rank", "kept_before", "at", "at_sd", "ride_id", "centre", "gap_sd", "dep").withColumnsRenamed({"arr": "at", "sd": "at_sd"}))
         end = x.where(F.col("legs") == leg)
         egress = (F.col("exit") - F.col("at")).cast("double")
         end = end.withColumns({"egress_centre": egress, "egress_sd": F.col("at_sd"), "score": F.col("score") + dist.log_interval_density(egress, F.col("at_sd"), *kern["egress"])
@@ -110,7 +111,7 @@ def scored_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, kerne
         end = end.select(*cohorts.columns, "route_rank", "legs", "steps", "egress_centre", "egress_sd", "score", "retained")
         done = end if done is None else done.unionByName(end)
         nxt = legs.where(F.col("leg_no") == leg + 1).select(*OD, "route_rank", "leg_from", "leg_to")
-        cur = x.where(F.col("legs") > leg).drop("leg_from", "leg_to", "dep").join(nxt, [*OD, "route_rank"])
+        cur = x.where(F.col("legs") > leg).drop("leg_from", "leg_to").join(nxt, [*OD, "route_rank"])
     return done
 
 
@@ -130,7 +131,7 @@ def posterior(chains: DataFrame, cohort: str, score: str = "score", out: str = "
 def route_summary(post: DataFrame, cohort: str) -> DataFrame:
     """Route entropy, top route and top chain of each cohort; ties go to the lower rank."""
     r = post.groupBy(cohort, "route_rank").agg(F.sum("p").alias("rp"))
-    e = r.groupBy(cohort).agg(-F.sum(F.col("rp") * F.ln(F.greatest("rp", F.lit(1e-300)))).alias("entropy"),
+    e = r.groupBy(cohort).agg((-F.sum(F.col("rp") * F.ln(F.greatest("rp", F.lit(1e-300))))).alias("entropy"),
                               F.min_by("route_rank", F.struct(-F.col("rp"), "route_rank")).alias("top_route"), F.max("rp").alias("top_route_p"))
     return e.join(post.groupBy(cohort).agg(F.max("p").alias("top_chain_p")), cohort)
 

@@ -17,7 +17,7 @@ from ledgerline.operators import quantiles as Q
 from ledgerline.operators import topk as K
 from ledgerline.plans.scalars import gh_sql, lid_sql, lncdf_sql, phi_sql
 from ledgerline.plans.views import RIDERS, RIDES, riders, rides
-from ledgerline.registry import query
+from ledgerline.registry import query, staged
 from ledgerline.session import cut_lineage
 
 MONTH_S = 30 * clocks.DAY_S
@@ -41,7 +41,7 @@ def routes(t):
     return o.select("from_station", "to_station", F.explode(F.when(F.col("d") >= 2, F.array(*direct, *change)).otherwise(F.array(*direct))).alias("r")).select("from_station", "to_station", "r.*")
 
 
-IDX = """ix AS (SELECT from_station, to_station, dep, min(best) AS best FROM (SELECT from_station, to_station, dep, min((arr, dep, ride_id)) OVER (PARTITION BY from_station, to_station ORDER BY dep, ride_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM rides) GROUP BY ALL)"""
+IDX = """ix AS (SELECT from_station, to_station, dep, min(best) AS best FROM (SELECT from_station, to_station, dep, min((arr, dep, ride_id)) OVER (PARTITION BY from_station, to_station ORDER BY dep, ride_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM rides WHERE dep < 915148800) GROUP BY ALL)"""
 CHAIN = f"""{RIDES}, {RIDERS}, {ROUTES}, {IDX},
  g1 AS (SELECT p.*, r.route_rank, r.legs, r.f, r.t, r.leg_from, r.leg_to, p.entry+15 AS ready FROM riders p JOIN routes r ON r.f=p.from_station AND r.t=p.to_station AND r.leg_no=1),
  h1 AS (SELECT g1.*, ix.best AS b1 FROM g1 ASOF LEFT JOIN ix ON ix.from_station=g1.leg_from AND ix.to_station=g1.leg_to AND ix.dep>=g1.ready),
@@ -53,8 +53,14 @@ CHAIN = f"""{RIDES}, {RIDERS}, {ROUTES}, {IDX},
    CASE reason WHEN 'FINAL_EGRESS_HORIZON' THEN -3 WHEN 'TRANSFER_NO_DOWNSTREAM_SERVICE' THEN -2 WHEN 'FIRST_LEG_NO_SERVICE' THEN -1 ELSE 0 END, coalesce(excess,0), route_rank)=1)"""
 
 
+def timetable(t):
+    """The timetable ends with 1998, so that later travellers find no service."""
+    return rides(t).where("dep < 915148800")
+
+
+@staged
 def evaluated(t):
-    return B.earliest_chains(cohorts(t), routes(t), rides(t), MONTH_S, 2)
+    return B.earliest_chains(cohorts(t), routes(t), timetable(t), MONTH_S, 2)
 
 
 def chosen(t):
@@ -73,11 +79,11 @@ def _(t):
 
 
 @query("B03_pressure_records", f"""
-WITH {CHAIN}, fl AS (SELECT * FROM ch WHERE reason LIKE '%NO%SERVICE'), pv AS (SELECT fl.cohort, d.dep AS prev_dep FROM fl ASOF LEFT JOIN (SELECT DISTINCT from_station, to_station, dep FROM rides) d ON d.from_station=fl.leg_from AND d.to_station=fl.leg_to AND d.dep<fl.ready)
+WITH {CHAIN}, fl AS (SELECT * FROM ch WHERE reason LIKE '%NO%SERVICE'), pv AS (SELECT fl.cohort, d.dep AS prev_dep FROM fl ASOF LEFT JOIN (SELECT DISTINCT from_station, to_station, dep FROM rides WHERE dep < 915148800) d ON d.from_station=fl.leg_from AND d.to_station=fl.leg_to AND d.dep<fl.ready)
 SELECT reason, leg_from, leg_to, ready//300 AS time_bin, sum(mass)::BIGINT AS mass, max(ready-prev_dep) AS missed_by FROM fl JOIN pv USING (cohort) GROUP BY ALL""")
 def _(t):
     f = chosen(t).where("reason in ('FIRST_LEG_NO_SERVICE', 'TRANSFER_NO_DOWNSTREAM_SERVICE')").select("cohort", "mass", "reason", F.col("fail_from").alias("leg_from"), F.col("fail_to").alias("leg_to"), "ready")
-    r = rides(t).withColumnsRenamed({"from_station": "leg_from", "to_station": "leg_to"})
+    r = timetable(t).withColumnsRenamed({"from_station": "leg_from", "to_station": "leg_to"})
     x = J.asof(f, r, ["leg_from", "leg_to"], "ready", "dep", [], MONTH_S, "hit", strict=True)
     return x.groupBy("reason", "leg_from", "leg_to", F.floor(F.col("ready") / 300).alias("time_bin")).agg(F.sum("mass").alias("mass"), F.max(F.col("ready") - F.col("hit.dep")).alias("missed_by"))
 
@@ -115,11 +121,13 @@ POST = f"""{RIDES}, {RIDERS}, {ROUTES}, rd AS (SELECT *, 10.0::DOUBLE + ride_id%
  post AS (SELECT *, exp(score - max(score) OVER (PARTITION BY rider_id)) AS e0 FROM ok), po AS (SELECT *, e0/sum(e0) OVER (PARTITION BY rider_id) AS p FROM post)"""
 
 
+@staged
 def scored(t):
     r = rides(t).withColumn("sd", F.lit(10.0) + F.col("ride_id") % 20)
     return B.scored_chains(cohorts(t), routes(t), r, KERNELS, 8, clocks.DAY_S, 2)
 
 
+@staged
 def post(t):
     return B.posterior(scored(t), "cohort")
 
@@ -193,6 +201,7 @@ def _(t):
 FAC = f"""{POST}, fac AS (SELECT rider_id AS cohort, 'access' AS factor, NULL::BIGINT AS lower_root, r1 AS upper_root, a_c AS centre, a_sd AS sd, mass*p AS w FROM po UNION ALL SELECT rider_id, 'transfer', r1, r2, t_c, t_sd, mass*p FROM po WHERE r2 IS NOT NULL UNION ALL SELECT rider_id, 'egress', coalesce(r2,r1), NULL, e_c, e_sd, mass*p FROM po)"""
 
 
+@staged
 def factors(t):
     return B.factors(cut_lineage(post(t)))
 
@@ -258,8 +267,8 @@ def _(t):
 
 
 SHIFTS = [-1800, -900, 0, 900, 1800]
-SHIFTED = f"""{FAC}, at AS (SELECT upper_root AS root, 1 AS sgn, centre, sd, w FROM fac WHERE upper_root IS NOT NULL UNION ALL SELECT lower_root, -1, centre, sd, w FROM fac WHERE lower_root IS NOT NULL),
- sh AS (SELECT *, unnest({SHIFTS}) AS shift FROM at), sx AS (SELECT *, centre+sgn*shift AS c2 FROM sh), ss AS (SELECT root, shift, sum(w*coalesce({lid_sql('c2', 'sd', 14400.0, 1.2)},-1e6)) AS score, sum(w) AS usage FROM sx GROUP BY ALL),
+SHIFTED = f"""{FAC}, att AS (SELECT upper_root AS root, 1 AS sgn, centre, sd, w FROM fac WHERE upper_root IS NOT NULL UNION ALL SELECT lower_root, -1, centre, sd, w FROM fac WHERE lower_root IS NOT NULL),
+ sh AS (SELECT *, unnest({SHIFTS}) AS shift FROM att), sx AS (SELECT *, centre+sgn*shift AS c2 FROM sh), ss AS (SELECT root, shift, sum(w*coalesce({lid_sql('c2', 'sd', 14400.0, 1.2)},-1e6)) AS score, sum(w) AS usage FROM sx GROUP BY ALL),
  obj AS (SELECT *, round(score/usage - 0.5::DOUBLE*pow(shift/1200.0::DOUBLE,2),6) AS obj FROM ss), offs AS (SELECT root, max(usage) AS usage, CASE WHEN max(usage)<0.5 THEN 0 ELSE arg_min(shift,(-obj,abs(shift),shift)) END AS off FROM obj GROUP BY 1)"""
 
 
@@ -306,9 +315,10 @@ def _(t):
 
 SUB = f"""{RIDES}, nx AS (SELECT *, lag(dep) OVER (PARTITION BY from_station, to_station ORDER BY dep, ride_id) AS prev_dep FROM rides),
  tr AS (SELECT a.ride_id AS lower_root, a.from_station AS origin, a.to_station AS station, a.arr, min((b.dep,b.ride_id)) AS up FROM rides a JOIN rides b ON b.from_station=a.to_station AND b.dep>=a.arr+5 AND b.dep<=a.arr+14400 GROUP BY 1,2,3,4),
- sub AS (SELECT lower_root, origin, station, n.to_station AS dest, n.ride_id AS upper_root, arr, up[1]-arr AS upper, n.prev_dep-arr AS raw_lower, arr//1800 AS bin FROM tr JOIN nx n ON n.ride_id=up[2])"""
+ sub AS (SELECT lower_root, origin, station, n.to_station AS dest, n.ride_id AS upper_root, tr.arr, up[1]-tr.arr AS upper, n.prev_dep-tr.arr AS raw_lower, tr.arr//1800 AS bin FROM tr JOIN nx n ON n.ride_id=up[2])"""
 
 
+@staged
 def substrate(t):
     """Transfers from each ride to the next departure at its last station within four hours, with the previous departure of the boarded service."""
     r = rides(t)

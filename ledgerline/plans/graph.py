@@ -12,7 +12,7 @@ from ledgerline import skew
 from ledgerline.operators import graph as N
 from ledgerline.operators import quantiles as Q
 from ledgerline.plans.views import RIDERS, RIDES, riders, rides
-from ledgerline.registry import query
+from ledgerline.registry import query, staged
 from ledgerline.session import cut_lineage
 
 CHAIN = """ed AS (SELECT c_custkey AS a, c_custkey+1 AS b FROM customer WHERE c_custkey%5<>4 AND c_custkey+1 IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, (c_custkey*31)%(SELECT count(*) FROM customer) FROM customer WHERE c_custkey%20=0)"""
@@ -27,6 +27,7 @@ def chain_edges(t):
     return near.select("a", "b").unionByName(far)
 
 
+@staged
 def components(t):
     return N.connected_components(t.customer.select(F.col("c_custkey").alias("node")), chain_edges(t))
 
@@ -93,6 +94,7 @@ def weighted(t):
     return out
 
 
+@staged
 def policy_paths(t):
     src = hubs(t)
     both = src.withColumn("policy", F.explode(F.array(F.lit("balanced"), F.lit("few_changes"))))
@@ -127,6 +129,7 @@ WALK = f"""{NET}, ee AS (SELECT a, b, (kind='ride')::BIGINT AS dr, (kind='transf
  fr AS (SELECT * FROM wk w WHERE NOT EXISTS (SELECT 1 FROM wk v WHERE v.source=w.source AND v.node=w.node AND v.r<=w.r AND v.c<=w.c AND (v.r<w.r OR v.c<w.c)))"""
 
 
+@staged
 def frontier(t):
     e = network(t).select("a", "b", (F.col("kind") == "ride").cast("bigint").alias("dr"), (F.col("kind") == "transfer").cast("bigint").alias("dt"),
                           F.when(F.col("kind") == "transfer", F.lit(0.0)).when(F.pmod(F.least("a", "b"), F.lit(7)) != 0, F.lit(60.0) + F.least("a", "b") % 11).alias("m"))

@@ -10,7 +10,7 @@ from ledgerline.operators import quantiles as Q
 from ledgerline.operators import signal as G
 from ledgerline.operators import topk as K
 from ledgerline.plans.views import RIDES, TAPS, rides, taps
-from ledgerline.registry import query
+from ledgerline.registry import query, staged
 
 BINS, BIN_S = 288, 300
 
@@ -35,14 +35,17 @@ def binned(t):
     return taps(t).select("station", F.floor(F.pmod(F.floor(F.col("us") / 1_000_000) - clocks.SERVICE_DAY_START_S, F.lit(clocks.DAY_S)) / BIN_S).alias("bin"))
 
 
+@staged
 def grid(t):
     return G.dense_grid(binned(t), ["station"], "bin", BINS)
 
 
+@staged
 def scored(t):
     return G.pulse_scores(grid(t), ["station"], "bin", "x", 3, 20)
 
 
+@staged
 def pulses(t):
     return G.pulses(scored(t), ["station"], "bin", 0.90, 0.5, 4, guard=10, bins=BINS)
 
@@ -102,6 +105,7 @@ FALLBACK = f"""{LAGS}, b AS (SELECT u, v, arg_min(lag,(-round(corr,9),abs(lag-6)
  el AS (SELECT e.u, e.v, coalesce(g.lag::DOUBLE,(SELECT median(lag) FROM g)) AS lag, CASE WHEN g.lag IS NULL THEN 'NETWORK_MEDIAN' ELSE 'CROSS_CORRELATION' END AS source FROM edges e LEFT JOIN g USING (u,v))"""
 
 
+@staged
 def edge_lags(t):
     edges, s = lagged(t)
     return G.lags_with_fallback(edges, G.best_lag(s, ["u", "v"], F.lit(6)), ["u", "v"], 0.12).select("u", "v", "lag", "source")
@@ -152,6 +156,7 @@ CLUSTERED = f"""{PROJECTED}, ev AS (SELECT path, pos, 1.0::DOUBLE + bin%5 AS w,
  csum AS (SELECT path, k, count(*) AS events, count(DISTINCT station) AS stations, sum(w) AS support, sum(pos*w)/sum(w) AS centre FROM clus GROUP BY ALL)"""
 
 
+@staged
 def clusters(t):
     ev = projected(t).select("path", "pos", (F.lit(1.0) + F.col("bin") % 5).alias("w"), F.concat_ws(":", F.col("station").cast("string"), F.col("bin").cast("string")).alias("member"))
     c = G.running_centre_clusters(ev, ["path"], "pos", "w", "member", 1.5, 64.0)
@@ -262,6 +267,7 @@ ZED = f"""{GRID}, md AS (SELECT station, median(x) AS med FROM grid GROUP BY 1),
  z AS (SELECT station, bin, (x-med)/greatest(1.0::DOUBLE,1.4826::DOUBLE*mad) AS z, sqrt(greatest(1.0::DOUBLE,mass)) AS w FROM grid JOIN ad USING (station))"""
 
 
+@staged
 def zed(t):
     g = grid(t)
     mm = Q.median_mad(g, ["station"], "x", 4.0)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.session import cut_lineage
+
 
 class Tables:
     """The driver tables of one scale folder, as attributes."""
@@ -44,3 +46,17 @@ def query(name: str, sql: str | None = None):
         REGISTRY[name] = Query(name, fn, sql)
         return fn
     return register
+
+
+_STAGED: dict[tuple[str, str, str], object] = {}
+
+
+def staged(fn: Callable[[Tables], object]):
+    """Materialises a result that several queries read, once per application and table folder."""
+    def once(t: Tables):
+        key = (t.spark.sparkContext.applicationId, t.sf_dir, f"{fn.__module__}.{fn.__name__}")
+        if key not in _STAGED:
+            out = fn(t)
+            _STAGED[key] = tuple(cut_lineage(d) for d in out) if isinstance(out, tuple) else cut_lineage(out)
+        return _STAGED[key]
+    return once
