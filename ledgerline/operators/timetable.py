@@ -140,3 +140,56 @@ def complexity_frontier(items: DataFrame, value: str, width: float) -> DataFrame
     """For each distinct net value the nested set at or above it: size and total."""
     cells = items.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return skew.running(cells, [], [value], skew.span(value, width), {"set_size": ("sum", "n"), "set_total": ("sum", "total")}, suffix=True).select(value, "set_size", "set_total")
+
+
+def bootstrap_kernels(pairs: DataFrame, cohort: str, gaps: dict[str, str], mass: str, start: tuple[float, float], rounds: int, tie: str) -> DataFrame:
+    """Hard-assigns each cohort its best ride under the current kernels, refits them, and repeats.
+
+    ``gaps`` names the gap column of each factor. A round ends in one small parameter
+    row; the list of rows is the result.
+    """
+    kernels = {f: start for f in gaps}
+    spark, rows = pairs.sparkSession, []
+    for n in range(rounds):
+        score = F.lit(0.0)
+        for f, col in gaps.items():
+            m, s = kernels[f]
+            score = score + dist.lognormal_log_pdf(F.col(col), F.lit(m), F.lit(s))
+        best = pairs.withColumn("__s", score).where("__s is not null").groupBy(cohort).agg(
+            F.min_by(F.struct(mass, *gaps.values()), F.struct(-F.round("__s", 9), F.col(tie))).alias("b")).select("b.*")
+        fit = best.agg(*[x for f, col in gaps.items() for x in (
+            (F.sum(F.col(mass) * F.ln(col)) / F.sum(mass)).alias(f"{f}_m"), (F.sum(F.col(mass) * F.ln(col) * F.ln(col)) / F.sum(mass)).alias(f"{f}_q"))]).first()
+        for f in gaps:
+            mean, var = fit[f"{f}_m"], max(1e-8, fit[f"{f}_q"] - fit[f"{f}_m"] ** 2)
+            kernels[f] = (math.exp(mean), min(2.5, max(0.12, math.sqrt(var))))
+            rows.append((n + 1, f, *kernels[f]))
+    return spark.createDataFrame(rows, "round int, factor string, median double, sigma double")
+
+
+def schedule_scan(rides: DataFrame, cohorts: DataFrame, keys: Sequence[str], shifts: Sequence[int], horizon: int, median: float, sigma: float) -> DataFrame:
+    """Log-likelihood of candidate departure times around each ride and the best one.
+
+    A cohort supports a candidate that leaves after its entry and within the horizon.
+    """
+    from ledgerline.operators import joins as J
+    lo, hi = min(shifts), max(shifts)
+    r = rides.withColumns({"lo": F.col("dep") + lo - horizon, "hi": F.col("dep") + hi})
+    x = J.interval_join(r, cohorts.select(*keys, "entry", "mass"), keys, "lo", "hi", "entry", horizon + hi - lo)
+    x = x.withColumn("shift", F.explode(F.array(*[F.lit(s) for s in shifts]))).withColumn("gap", (F.col("dep") + F.col("shift") - F.col("entry")).cast("double"))
+    x = x.where((F.col("gap") > 0) & (F.col("gap") <= horizon))
+    s = x.groupBy("ride_id", "shift").agg(F.sum(F.col("mass") * dist.lognormal_log_pdf(F.col("gap"), F.lit(median), F.lit(sigma))).alias("score"), F.sum("mass").alias("mass"))
+    g = s.groupBy("ride_id").agg(F.max("mass").alias("mass"), F.min_by("shift", F.struct(-F.round(F.col("score") / F.col("mass"), 9), F.abs("shift"), "shift")).alias("best_shift"))
+    return g.withColumn("abs_error", F.abs("best_shift"))
+
+
+def hazard_scores(pairs: DataFrame, cohort: str, gap: str, order: str, median: float, sigma: float, skip: float) -> DataFrame:
+    """Boarding probability of each candidate when the rider may have let earlier ones pass.
+
+    P_j = (1-skip) * sum_i (F_i - F_{i-1}) * skip^(j-i) over the departures i <= j since the
+    ready time, as a running sum over the few departures of a cohort's window.
+    """
+    x = pairs.withColumns({"cdf": dist.lognormal_cdf(F.col(gap), F.lit(median), F.lit(sigma)), "__one": F.lit(1).cast("bigint")})
+    x = skew.chunked(x, [cohort], [gap, order], F.lit(0), near={"__p": (["cdf"], False)}, folds={"__j": ("sum", "__one", False)})
+    x = x.withColumn("__t", F.greatest(F.lit(0.0), F.col("cdf") - F.coalesce("__p.cdf", F.lit(0.0))) * F.pow(F.lit(skip), -F.col("__j")))
+    x = skew.running(x, [cohort], [gap, order], F.lit(0), {"__s": ("sum", "__t")})
+    return x.withColumn("boarding", (1.0 - skip) * F.pow(F.lit(skip), F.col("__j")) * F.col("__s")).drop("__one", "__p", "__j", "__t", "__s", "cdf")

@@ -184,13 +184,13 @@ def _(t):
 
 
 @query("A20_mode_with_fallback", """
-WITH train AS (SELECT CASE WHEN p_size%7=0 THEN NULL ELSE p_brand END AS g, p_size FROM part WHERE p_partkey%10<3 AND p_brand<>'Brand#4'),
+WITH train AS (SELECT CASE WHEN p_size%7=0 THEN NULL ELSE p_brand END AS g, p_size FROM part WHERE p_retailprice<1000 AND p_brand<>'Brand#4'),
  n AS (SELECT g, p_size, count(*) AS c FROM train GROUP BY ALL), per AS (SELECT g, arg_min(p_size, (-c, p_size)) AS mode FROM n GROUP BY 1),
  tot AS (SELECT arg_min(p_size, (-c,p_size)) AS mode FROM (SELECT p_size, count(*) AS c FROM train GROUP BY 1))
 SELECT p_partkey, coalesce(per.mode, (SELECT mode FROM tot)) AS mode FROM (SELECT p_partkey, CASE WHEN p_size%7=0 THEN NULL ELSE p_brand END AS g FROM part) x LEFT JOIN per ON x.g IS NOT DISTINCT FROM per.g""")
 def _(t):
-    p = t.part.select("p_partkey", "p_brand", "p_size", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("g"))
-    train = p.where((F.col("p_partkey") % 10 < 3) & (F.col("p_brand") != "Brand#4"))
+    p = t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("g"))
+    train = p.where((F.col("p_retailprice") < 1000) & (F.col("p_brand") != "Brand#4"))
     return A.mode_with_fallback(train, p.select("p_partkey", "g"), "g", "p_size", "mode").select("p_partkey", "mode")
 
 

@@ -130,45 +130,42 @@ def _(t):
 
 
 @query("J14_nearest_parent", f"""
-WITH {RIDES}, par AS (SELECT line, from_station, dep, ride_id FROM rides WHERE ride_id%3=0), ch AS (SELECT line, from_station, dep, ride_id FROM rides WHERE ride_id%3=1),
- m AS (SELECT ch.ride_id, par.ride_id AS parent_id, abs(ch.dep-par.dep) AS gap FROM ch JOIN par USING (line, from_station))
-SELECT ride_id, arg_min(parent_id,(gap,parent_id)) AS parent_id, min(gap) AS gap FROM m GROUP BY 1""")
+WITH {RIDES}, {RIDERS}, m AS (SELECT rider_id, ride_id AS parent_id, abs(entry-dep) AS gap FROM riders p JOIN rides r ON r.from_station=p.from_station AND r.to_station=p.to_station)
+SELECT rider_id, arg_min(parent_id,(gap,parent_id)) AS parent_id, min(gap) AS gap FROM m GROUP BY 1""")
 def _(t):
-    r = rides(t)
-    par = r.where("ride_id % 3 = 0").select("line", "from_station", F.col("dep").alias("parent_dep"), F.col("ride_id").alias("parent_id"))
-    ch = r.where("ride_id % 3 = 1").select("line", "from_station", "dep", "ride_id")
-    n = J.nearest(ch, par, ["line", "from_station"], "dep", "parent_dep", ["parent_id"], 10 ** 12, MONTH_S, "hit", tie=["parent_id"])
-    return n.where("hit is not null").select("ride_id", F.col("hit.parent_id").alias("parent_id"), F.abs(F.col("dep") - F.col("hit.parent_dep")).alias("gap"))
+    par = rides(t).select("from_station", "to_station", F.col("dep").alias("parent_dep"), F.col("ride_id").alias("parent_id"))
+    n = J.nearest(riders(t), par, ["from_station", "to_station"], "entry", "parent_dep", ["parent_id"], 10 ** 12, MONTH_S, "hit", tie=["parent_id"])
+    return n.where("hit is not null").select("rider_id", F.col("hit.parent_id").alias("parent_id"), F.abs(F.col("entry") - F.col("hit.parent_dep")).alias("gap"))
 
 
 HAV = "2*6371000.0::DOUBLE*asin(sqrt(pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))"
 
 
 @query("J15_spatial_nearest", f"""
-WITH {POINTS_SQL}, a AS (SELECT * FROM p WHERE vec_id%2=0), b AS (SELECT * FROM p WHERE vec_id%2=1), m AS (SELECT a.vec_id, b.vec_id AS target, {HAV} AS d FROM a, b),
+WITH {POINTS_SQL}, a AS (SELECT vec_id, lon, lat FROM p), b AS (SELECT vec_id, lon2 AS lon, lat2 AS lat FROM p), m AS (SELECT a.vec_id, b.vec_id AS target, {HAV} AS d FROM a, b),
  n AS (SELECT vec_id, arg_min(target,(d,target)) AS target, min(d) AS d FROM m WHERE d<=100000 GROUP BY 1)
 SELECT vec_id, target, round(d,3) AS distance_m, count(*) OVER (PARTITION BY target)=1 AS unique_target FROM n""")
 def _(t):
-    p = points(t).select("vec_id", "lon", "lat")
-    m = SP.nearest_point(p.where("vec_id % 2 = 0"), "vec_id", p.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "target"), "target", "lon", "lat", 100000.0, 2.0)
+    p = points(t)
+    m = SP.nearest_point(p.select("vec_id", "lon", "lat"), "vec_id", p.select(F.col("vec_id").alias("target"), F.col("lon2").alias("lon"), F.col("lat2").alias("lat")), "target", "lon", "lat", 100000.0, 2.0)
     return SP.one_to_one(m, "target").withColumn("distance_m", F.round("distance_m", 3))
 
 
 @query("J16_line_conflation", f"""
-WITH l AS (SELECT vec_id, embedding[1]::DOUBLE*1000 AS x1, embedding[2]::DOUBLE*1000 AS y1, embedding[3]::DOUBLE*1000 AS x2, embedding[4]::DOUBLE*1000 AS y2 FROM embeddings),
- a AS (SELECT vec_id, (x1+x2)/2 AS mx, (y1+y2)/2 AS my, degrees(atan2(y2-y1,x2-x1))+180 AS o FROM l WHERE vec_id%2=0), b AS (SELECT *, degrees(atan2(y2-y1,x2-x1))+180 AS o FROM l WHERE vec_id%2=1),
+WITH l AS (SELECT vec_id, embedding[1]::DOUBLE*1000 AS x1, embedding[2]::DOUBLE*1000 AS y1, embedding[3]::DOUBLE*1000 AS x2, embedding[4]::DOUBLE*1000 AS y2 FROM embeddings), l2 AS (SELECT vec_id, embedding[5]::DOUBLE*1000 AS x1, embedding[6]::DOUBLE*1000 AS y1, embedding[7]::DOUBLE*1000 AS x2, embedding[8]::DOUBLE*1000 AS y2 FROM embeddings),
+ a AS (SELECT vec_id, (x1+x2)/2 AS mx, (y1+y2)/2 AS my, degrees(atan2(y2-y1,x2-x1))+180 AS o FROM l), b AS (SELECT *, degrees(atan2(y2-y1,x2-x1))+180 AS o FROM l2),
  m AS (SELECT a.vec_id, b.vec_id AS ref_id, mx, my, x1,y1,x2,y2, greatest(0.0::DOUBLE,least(1.0::DOUBLE,((mx-x1)*(x2-x1)+(my-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t, abs((a.o-180*floor(a.o/180))-(b.o-180*floor(b.o/180))) AS da FROM a, b),
  d AS (SELECT vec_id, ref_id, sqrt(pow(mx-(x1+t*(x2-x1)),2)+pow(my-(y1+t*(y2-y1)),2)) AS distance, least(da,180-da) AS angle FROM m)
 SELECT vec_id, arg_min(ref_id,(distance,ref_id)) AS ref_id, round(min(distance),6) AS distance, round(arg_min(angle,(distance,ref_id)),6) AS angle FROM d WHERE distance<=15 AND angle<=25 GROUP BY 1""")
 def _(t):
     e = lambda i: F.element_at("embedding", i).cast("double") * 1000
-    l = t.embeddings.select("vec_id", e(1).alias("x1"), e(2).alias("y1"), e(3).alias("x2"), e(4).alias("y2"))
-    c = SP.conflate(l.where("vec_id % 2 = 0"), "vec_id", l.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "ref_id"), "ref_id", 15.0, 25.0, 100.0)
+    line = lambda key, k: t.embeddings.select(F.col("vec_id").alias(key), e(k).alias("x1"), e(k + 1).alias("y1"), e(k + 2).alias("x2"), e(k + 3).alias("y2"))
+    c = SP.conflate(line("vec_id", 1), "vec_id", line("ref_id", 5), "ref_id", 15.0, 25.0, 100.0)
     return c.withColumns({"distance": F.round("distance", 6), "angle": F.round("angle", 6)})
 
 
 @query("J17_point_in_polygon", f"""
-WITH {POINTS_SQL}, z AS (SELECT vec_id AS zone, lon-1.0 AS ax, lat-1.0 AS ay, lon+1.2 AS bx, lat-0.8 AS by_, lon+0.3 AS cx, lat+1.5 AS cy FROM p WHERE label=0),
+WITH {POINTS_SQL}, z AS (SELECT vec_id AS zone, lon-1.0 AS ax, lat-1.0 AS ay, lon+1.2 AS bx, lat-0.8 AS by_, lon+0.3 AS cx, lat+1.5 AS cy FROM p),
  e AS (SELECT zone, ax AS x1, ay AS y1, bx AS x2, by_ AS y2 FROM z UNION ALL SELECT zone,bx,by_,cx,cy FROM z UNION ALL SELECT zone,cx,cy,ax,ay FROM z)
 SELECT vec_id, zone FROM p JOIN e ON (y1>lat)<>(y2>lat) AND lon < x1+(lat-y1)*(x2-x1)/nullif(y2-y1,0) GROUP BY 1,2 HAVING count(*)%2=1""")
 def _(t):
@@ -176,7 +173,7 @@ def _(t):
     x, y = F.col("lon"), F.col("lat")
     a, b, c = (x - 1.0, y - 1.0), (x + 1.2, y - 0.8), (x + 0.3, y + 1.5)
     edge = lambda p, q: F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2"))
-    e = p.where("label = 0").select(F.col("vec_id").alias("zone"), F.explode(F.array(edge(a, b), edge(b, c), edge(c, a))).alias("e")).select("zone", "e.*")
+    e = p.select(F.col("vec_id").alias("zone"), F.explode(F.array(edge(a, b), edge(b, c), edge(c, a))).alias("e")).select("zone", "e.*")
     return SP.points_in_polygons(p, "vec_id", "lon", "lat", e, "zone", 1.0)
 
 

@@ -122,8 +122,8 @@ def _(t):
 
 @query("R12_guarded_replacement", """
 WITH s AS (SELECT l_suppkey AS root, l_linenumber AS line, sum(l_quantity)::BIGINT AS m FROM lineitem GROUP BY ALL)
-SELECT root, line, m, 'KEPT' AS cls FROM s WHERE line<>7 UNION ALL SELECT root, 7, m+1, 'REBUILT' FROM s WHERE line=7 AND root%2=0""")
+SELECT root, line, m, 'KEPT' AS cls FROM s WHERE line<>7 UNION ALL SELECT root, 7, m+1, 'REBUILT' FROM s WHERE line=7 AND m>2100""")
 def _(t):
     s = t.lineitem.groupBy(F.col("l_suppkey").alias("root"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").cast("bigint").alias("m")).withColumn("cls", F.lit("KEPT"))
-    rebuilt = s.where("line = 7 and root % 2 = 0").withColumns({"m": F.col("m") + 1, "cls": F.lit("REBUILT")})
+    rebuilt = s.where("line = 7 and m > 2100").withColumns({"m": F.col("m") + 1, "cls": F.lit("REBUILT")})
     return R.replace_class(s, rebuilt, ["root", "line"], F.col("line") == 7)

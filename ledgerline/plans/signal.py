@@ -339,16 +339,16 @@ def _(t):
 
 
 @query("G24_prior_fallbacks", f"""
-WITH {RUNS}, want AS (SELECT DISTINCT line, from_station, to_station FROM runs), src AS (SELECT * FROM runs WHERE (from_station+line)%3<>0), d AS (SELECT line, from_station, to_station, median(run) AS run FROM src GROUP BY ALL HAVING count(*)>=20),
- o AS (SELECT line, to_station AS from_station, from_station AS to_station, run FROM d), l AS (SELECT line, median(run) AS run FROM src GROUP BY 1 HAVING line<>5), g AS (SELECT median(run) AS run FROM src)
+WITH {RUNS}, want AS (SELECT DISTINCT line, from_station, to_station FROM runs), src AS (SELECT * FROM runs), d AS (SELECT line, from_station, to_station, median(run) AS run FROM src GROUP BY ALL HAVING count(*)>=34),
+ o AS (SELECT line, to_station AS from_station, from_station AS to_station, run FROM d), l AS (SELECT line, median(run) AS run FROM src GROUP BY 1 HAVING median(run)>=1620), g AS (SELECT median(run) AS run FROM src)
 SELECT w.*, coalesce(d.run,o.run,l.run,(SELECT run FROM g)) AS prior, CASE WHEN d.run IS NOT NULL THEN 'DIRECT' WHEN o.run IS NOT NULL THEN 'OPPOSITE' WHEN l.run IS NOT NULL THEN 'LINE' ELSE 'GLOBAL' END AS source
 FROM want w LEFT JOIN d USING (line,from_station,to_station) LEFT JOIN o USING (line,from_station,to_station) LEFT JOIN l USING (line)""")
 def _(t):
     r = rides(t).select("line", "from_station", "to_station", (F.col("arr") - F.col("dep")).alias("run"))
     k = ["line", "from_station", "to_station"]
-    src = r.where("(from_station + line) % 3 <> 0")
-    enough = src.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where("n >= 20").drop("n")
+    src = r
+    enough = src.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where("n >= 34").drop("n")
     d = Q.median(src, k, "run", 600.0, "prior_s").join(enough, k)
     o = d.select("line", F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), "prior_s")
-    line = Q.median(src, ["line"], "run", 600.0, "prior_s").where("line <> 5")
+    line = Q.median(src, ["line"], "run", 600.0, "prior_s").where("prior_s >= 1620")
     return G.with_fallbacks(r.select(*k).distinct(), [("DIRECT", d, k), ("OPPOSITE", o, k), ("LINE", line, ["line"]), ("GLOBAL", Q.median(src, [], "run", 600.0, "prior_s"), [])], "prior_s", "prior", "source")

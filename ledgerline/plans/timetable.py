@@ -14,7 +14,7 @@ from ledgerline.operators import timetable as TT
 from ledgerline.operators import topk as K
 from ledgerline.plans.assign import (CHAIN, EPI, FAC, LABEL, MONTH_S, OBS, POST, SHIFTED, SHIFTS, STATS, SUB, TWO, KERNELS, chosen, cohorts, episodes, factors, observations, post,
                                      routes, substrate, timetable, two_passes)
-from ledgerline.plans.scalars import gh_sql, phi_sql
+from ledgerline.plans.scalars import gh_sql, lncdf_sql, phi_sql
 from ledgerline.plans.views import RIDERS, RIDES, riders, rides
 from ledgerline.registry import query, staged
 from ledgerline.session import cut_lineage
@@ -294,3 +294,70 @@ def _(t):
     s = substrate(t)
     return s.groupBy("station", "dest").agg(F.count(F.lit(1)).alias("rows_"), F.count_if((F.col("raw_lower") > 0) & (F.col("raw_lower") < F.col("upper"))).alias("bounded"),
                                             F.count_distinct("upper_root").alias("anchors"), (F.count(F.lit(1)) >= 20).alias("fit_allowed"))
+
+
+DIRECT = f"""{RIDES}, {RIDERS}, dp AS (SELECT rider_id, mass, ride_id, (dep-entry)::DOUBLE AS g, (exit-arr)::DOUBLE AS e FROM riders p JOIN rides r ON r.from_station=p.from_station AND r.to_station=p.to_station AND dep BETWEEN entry AND exit)"""
+
+
+def direct_pairs(t):
+    p = cohorts(t).withColumns({"lo": F.col("entry"), "hi": F.col("exit")})
+    x = J.interval_join(p, rides(t), B.OD, "lo", "hi", "dep", clocks.DAY_S)
+    return x.select("cohort", "mass", "ride_id", (F.col("dep") - F.col("entry")).cast("double").alias("g"), (F.col("exit") - F.col("arr")).cast("double").alias("e"))
+
+
+def boot_sql() -> str:
+    parts = ["k0 AS (SELECT 14400.0::DOUBLE AS am, 1.2::DOUBLE AS asg, 14400.0::DOUBLE AS em, 1.2::DOUBLE AS es)"]
+    lp = lambda x, m, s: f"(-ln({x}*{s}*sqrt(2*pi())) - 0.5*pow((ln({x})-ln({m}))/{s},2))"
+    for n in (1, 2, 3):
+        parts.append(f"s{n} AS (SELECT dp.*, {lp('g', 'am', 'asg')}+{lp('e', 'em', 'es')} AS sc FROM dp, k{n-1} WHERE g>0 AND e>0)")
+        parts.append(f"b{n} AS (SELECT * FROM s{n} QUALIFY row_number() OVER (PARTITION BY rider_id ORDER BY -round(sc,9), ride_id)=1)")
+        fit = lambda x: f"sum(mass*ln({x}))/sum(mass)"
+        q = lambda x: f"sum(mass*ln({x})*ln({x}))/sum(mass)"
+        sg = lambda x: f"least(2.5,greatest(0.12,sqrt(greatest(1e-8,{q(x)}-pow({fit(x)},2)))))"
+        parts.append(f"k{n} AS (SELECT exp({fit('g')}) AS am, {sg('g')} AS asg, exp({fit('e')}) AS em, {sg('e')} AS es FROM b{n})")
+    out = " UNION ALL ".join(f"SELECT {n}::INT AS round, 'access' AS factor, round(am,2) AS median, round(asg,4) AS sigma FROM k{n} UNION ALL SELECT {n}, 'egress', round(em,2), round(es,4) FROM k{n}" for n in (1, 2, 3))
+    return f"WITH {DIRECT}, {', '.join(parts)} {out}"
+
+
+@query("B46_kernel_bootstrap", boot_sql())
+def _(t):
+    k = TT.bootstrap_kernels(cut_lineage(direct_pairs(t)), "cohort", {"access": "g", "egress": "e"}, "mass", (14400.0, 1.2), 3, "ride_id")
+    return k.withColumns({"median": F.round("median", 2), "sigma": F.round("sigma", 4)})
+
+
+@query("B47_schedule_likelihood_scan", f"""
+WITH {RIDES}, {RIDERS}, c AS (SELECT ride_id, from_station, to_station, dep, unnest([-7200,-3600,0,3600,7200]) AS shift FROM rides), x AS (SELECT c.ride_id, shift, mass, (dep+shift-entry)::DOUBLE AS gap FROM c JOIN riders p ON p.from_station=c.from_station AND p.to_station=c.to_station AND entry<dep+shift AND entry>=dep+shift-28800),
+ s AS (SELECT ride_id, shift, sum(mass) AS mass, sum(mass*(-ln(gap*0.9*sqrt(2*pi())) - 0.5*pow((ln(gap)-ln(7200.0::DOUBLE))/0.9::DOUBLE,2))) AS score FROM x GROUP BY ALL)
+SELECT ride_id, max(mass)::BIGINT AS mass, arg_min(shift,(-round(score/mass,9),abs(shift),shift))::INT AS best_shift, abs(arg_min(shift,(-round(score/mass,9),abs(shift),shift)))::INT AS abs_error FROM s GROUP BY 1""")
+def _(t):
+    return TT.schedule_scan(rides(t).select("ride_id", *B.OD, "dep"), cohorts(t), B.OD, [-7200, -3600, 0, 3600, 7200], 28800, 7200.0, 0.9)
+
+
+@query("B51_exit_horizon_qualification", f"""
+WITH {CHAIN}, hd AS (SELECT rider_id, mass, entry, exit, from_station, to_station, entry+180.0::DOUBLE*exp(-1.6448536269514722::DOUBLE*0.9) AS q05, entry+180.0::DOUBLE AS q50, entry+180.0::DOUBLE*exp(1.6448536269514722::DOUBLE*0.9) AS q95 FROM h1 WHERE route_rank=1 AND b1[1]-(exit+60)>0)
+SELECT ride_id, sum(CASE WHEN dep>=q05 THEN mass ELSE 0 END)::BIGINT AS mass05, sum(CASE WHEN dep>=q50 THEN mass ELSE 0 END)::BIGINT AS mass50, sum(CASE WHEN dep>=q95 THEN mass ELSE 0 END)::BIGINT AS mass95 FROM rides r JOIN hd ON r.from_station=hd.from_station AND dep BETWEEN entry AND exit GROUP BY 1""")
+def _(t):
+    """Cohorts whose every direct ride is past their horizon, and the rides from their station that could take them up."""
+    idx = J.arrival_index(timetable(t), B.OD, "dep", "arr", "ride_id", MONTH_S)
+    h = J.first_arrival(cohorts(t).withColumn("ready", F.col("entry") + B.ACCESS_MIN_S), idx, B.OD, "ready", MONTH_S, "hit").where(F.col("hit.arr") - (F.col("exit") + 60) > 0)
+    at = lambda z: F.col("entry") + 180.0 * F.exp(F.lit(z) * 0.9)
+    h = cut_lineage(h.select("mass", "from_station", "entry", "exit", at(-1.6448536269514722).alias("q05"), at(0.0).alias("q50"), at(1.6448536269514722).alias("q95")))
+    x = J.interval_join(h, rides(t).select("from_station", "ride_id", "dep"), ["from_station"], "entry", "exit", "dep", clocks.DAY_S)
+    part = lambda q, n: F.sum(F.when(F.col("dep") >= F.col(q), F.col("mass")).otherwise(0)).alias(n)
+    return x.groupBy("ride_id").agg(part("q05", "mass05"), part("q50", "mass50"), part("q95", "mass95"))
+
+
+@query("B52_hazard_weighted_boarding", f"""
+WITH {RIDES}, {RIDERS}, hp AS (SELECT rider_id, mass, ride_id, (dep-entry)::DOUBLE AS g, (exit-arr)::DOUBLE AS e FROM riders p JOIN rides r ON r.from_station=p.from_station AND dep BETWEEN entry+15 AND exit),
+ c AS (SELECT *, {lncdf_sql('g', 14400.0, 1.2)} AS cdf, row_number() OVER w AS j FROM hp WINDOW w AS (PARTITION BY rider_id ORDER BY g, ride_id)), d AS (SELECT *, greatest(0,cdf-coalesce(lag(cdf) OVER (PARTITION BY rider_id ORDER BY g, ride_id),0))*pow(0.2::DOUBLE,-j) AS tt FROM c),
+ b AS (SELECT *, 0.8::DOUBLE*pow(0.2::DOUBLE,j)*sum(tt) OVER (PARTITION BY rider_id ORDER BY g, ride_id ROWS UNBOUNDED PRECEDING) AS boarding FROM d),
+ s AS (SELECT rider_id, mass, ride_id, boarding, ln(greatest(boarding,1e-12::DOUBLE)) + (-ln(e*1.2*sqrt(2*pi())) - 0.5*pow((ln(e)-ln(14400.0::DOUBLE))/1.2::DOUBLE,2)) AS score FROM b WHERE e>=15)
+SELECT rider_id AS cohort, ride_id, round(boarding,6) AS boarding, round(score,4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY rider_id ORDER BY score DESC, ride_id)<=8""")
+def _(t):
+    """All departures of the entry station compete; the best eight per cohort are kept."""
+    p = cohorts(t).drop("to_station").withColumns({"lo": F.col("entry") + B.ACCESS_MIN_S, "hi": F.col("exit")}).where("lo <= hi")
+    x = J.interval_join(p, rides(t).select("from_station", "ride_id", "dep", "arr"), ["from_station"], "lo", "hi", "dep", clocks.DAY_S)
+    x = x.select("cohort", "mass", "ride_id", (F.col("dep") - F.col("entry")).cast("double").alias("g"), (F.col("exit") - F.col("arr")).cast("double").alias("e"))
+    h = TT.hazard_scores(cut_lineage(x), "cohort", "g", "ride_id", 14400.0, 1.2, 0.2).where(F.col("e") >= B.EGRESS_MIN_S)
+    h = cut_lineage(h.withColumn("score", F.ln(F.greatest("boarding", F.lit(1e-12))) + dist.lognormal_log_pdf(F.col("e"), F.lit(14400.0), F.lit(1.2))))
+    return K.beam(h, ["cohort"], "score", ["ride_id"], 8).select("cohort", "ride_id", F.round("boarding", 6).alias("boarding"), F.round("score", 4).alias("score"))
