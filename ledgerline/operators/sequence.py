@@ -169,3 +169,18 @@ def complete_corridor(events: DataFrame, trip: str, pos: str, value: str, lo: in
     far = F.least(p - a["p"], b["p"] - p)
     unc = F.when(F.col(value).isNotNull(), F.lit(0)).otherwise(F.least(F.lit(FILL_MAX_S), FILL_BASE_S + FILL_STEP_S * far))
     return x.select(trip, pos, F.round(filled, 6).alias("filled"), unc.cast("bigint").alias("uncertainty"))
+
+
+def bracketed_times(events: DataFrame, unique_paths: DataFrame, trip: str, node: str, time: str, chunk: Column) -> DataFrame:
+    """Times at stops that were observed, or lie on the only shortest path between two neighbouring observations.
+
+    ``unique_paths`` has (source, target, node, pos, length) for pairs with a single
+    shortest path. Of several brackets the tightest in time counts.
+    """
+    e = events.select(trip, F.col(node).alias("node"), F.col(time).alias("t"))
+    x = skew.neighbour(e, [trip], ["t", "node"], chunk, ["node", "t"], "nx", following=True).where("nx is not null")
+    b = x.select(trip, F.col("node").alias("source"), F.col("nx.node").alias("target"), F.col("t").alias("t0"), F.col("nx.t").alias("t1"))
+    p = b.join(unique_paths, ["source", "target"]).where("pos > 0 and pos < length")
+    p = p.select(trip, "node", (F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("pos") / F.col("length")).alias("at"), (F.col("t1") - F.col("t0")).alias("slack"), F.lit(False).alias("exact"))
+    o = e.select(trip, "node", F.col("t").cast("double").alias("at"), F.lit(0).cast(p.schema["slack"].dataType).alias("slack"), F.lit(True).alias("exact"))
+    return p.unionByName(o).groupBy(trip, "node").agg(F.min_by(F.struct("at", "exact"), F.struct(~F.col("exact"), "slack", "at")).alias("b")).select(trip, "node", "b.*")

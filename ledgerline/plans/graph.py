@@ -310,3 +310,17 @@ def _(t):
     x = N.reachable_mass(od_customers(t), "origin", "destination", "mass", N.connected_components(nodes, before), before).withColumnRenamed("mode", "before_mode")
     y = N.reachable_mass(od_customers(t), "origin", "destination", "mass", N.connected_components(nodes, after), after).withColumnRenamed("mode", "after_mode").drop("mass")
     return x.join(y, ["origin", "destination"]).groupBy("before_mode", "after_mode").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("od_pairs"))
+
+
+@query("W26_bracketed_prediction", """
+WITH ev AS (SELECT l_orderkey AS trip, l_suppkey AS node, min(epoch_us(l_shipdate)//86400000000) AS t FROM lineitem GROUP BY 1,2), nb AS (SELECT *, lead(node) OVER w AS nn, lead(t) OVER w AS nt FROM ev WINDOW w AS (PARTITION BY trip ORDER BY t, node)),
+ br AS (SELECT trip, unnest(range(least(node,nn)+1, greatest(node,nn))) AS mid, node, nn, t, nt FROM nb WHERE nn IS NOT NULL AND node//10=nn//10),
+ al AS (SELECT trip, mid AS node, t+(nt-t)*(abs(mid-node)/abs(nn-node)::DOUBLE) AS at_, nt-t AS slack, false AS exact FROM br UNION ALL SELECT trip, node, t, 0, true FROM ev)
+SELECT trip, node, round(arg_min(at_,(NOT exact, slack, at_)),6) AS at_day, bool_or(exact) AS exact FROM al GROUP BY 1,2""")
+def _(t):
+    from ledgerline.operators.sequence import bracketed_times
+    ride = cut_lineage(network(t).where("kind = 'ride'").select("a", "b", F.lit(1).cast("bigint").alias("dr"), F.lit(0).cast("bigint").alias("dt")))
+    labels, _ = N.frontier(ride, stops(t).select(F.col("node").alias("source")))
+    only = labels.where("paths = 1 and r > 1").select("source", F.col("node").alias("target"), F.col("r").alias("length"), F.posexplode("path").alias("pos", "node"))
+    ev = t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_suppkey").alias("node")).agg(F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("bigint").alias("t"))
+    return bracketed_times(ev, only, "trip", "node", "t", F.lit(0)).select("trip", "node", F.round("at", 6).alias("at_day"), "exact")

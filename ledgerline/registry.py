@@ -60,3 +60,8 @@ def staged(fn: Callable[[Tables], object]):
             _STAGED[key] = tuple(cut_lineage(d) for d in out) if isinstance(out, tuple) else cut_lineage(out)
         return _STAGED[key]
     return once
+
+
+def forget_staged() -> None:
+    """Drops the shared results, so that a timing includes making them."""
+    _STAGED.clear()
