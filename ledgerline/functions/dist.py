@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rational erf approximation (Abramowitz and Stegun 7.1.26), error below 1.5e-7.
@@ -70,6 +70,29 @@ def log_interval_density(center: Column, sd: Column, median: Column, sigma: Colu
     return F.when(sd < POINT_SD, lognormal_log_pdf(center, median, sigma)).otherwise(wide)
 
 
+def with_log_interval_density(df: DataFrame, center: str, sd: str, median: Column, sigma: Column, out: str) -> DataFrame:
+    """``log_interval_density`` as a column, built in steps.
+
+    Each step is a column of its own, so every logarithm and exponential is computed once
+    and the generated code stays small; the one-expression form repeats them in each branch.
+    """
+    c, s = F.col(center), F.col(sd)
+    x = df.withColumns({"__hi": c + Z95 * s, "__lo": F.greatest(F.lit(1e-6), c - Z95 * s), "__mu": F.ln(median), "__sg": sigma})
+    tiny = F.lit(1e-300)
+    x = x.withColumns({f"__z{k}": (F.ln(F.greatest(F.col(f"__{k}"), tiny)) - F.col("__mu")) / F.col("__sg") / F.lit(math.sqrt(2.0)) for k in ("hi", "lo")})
+    x = x.withColumns({f"__t{k}": F.lit(1.0) / (F.lit(1.0) + ERF_P * F.abs(f"__z{k}")) for k in ("hi", "lo")})
+    def cdf(k: str) -> Column:
+        t, z, poly = F.col(f"__t{k}"), F.col(f"__z{k}"), F.lit(0.0)
+        for a in reversed(ERF_A):
+            poly = (poly + F.lit(a)) * t
+        return F.lit(0.5) * (F.lit(1.0) + F.signum(z) * (F.lit(1.0) - poly * F.exp(-z * z)))
+    x = x.withColumns({f"__f{k}": cdf(k) for k in ("hi", "lo")})
+    x = x.withColumn("__p", F.greatest(F.lit(0.0), F.when(F.col("__hi") > 0, F.col("__fhi")).otherwise(F.lit(0.0)) - F.col("__flo")))
+    wide = F.when((F.col("__hi") > 0) & (F.col("__p") > DENSITY_FLOOR), F.ln(F.col("__p") / F.greatest(F.lit(1.0), F.col("__hi") - F.col("__lo"))))
+    x = x.withColumn(out, F.when(s < POINT_SD, lognormal_log_pdf(c, median, sigma)).otherwise(wide))
+    return x.drop("__mu", "__sg", "__p", *[f"__{p}{k}" for p in ("", "z", "t", "f") for k in ("hi", "lo")])
+
+
 def expected_lognormal_cdf(mean: Column, sd: Column, median: Column, sigma: Column) -> Column:
     """E[F(U)] for a Gaussian bound U, by quadrature; exact F when the sd is nil."""
     total = F.lit(0.0)

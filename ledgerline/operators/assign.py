@@ -97,18 +97,18 @@ def scored_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, kerne
         centre = (F.col("dep") - F.col("at")).cast("double")
         sd = F.sqrt(F.col("at_sd") * F.col("at_sd") + F.col("sd") * F.col("sd"))
         x = x.withColumns({"centre": centre, "gap_sd": sd})
-        gain = dist.log_interval_density(F.col("centre"), F.col("gap_sd"), *kern["access" if leg == 1 else "transfer"])
-        x = x.withColumn("score", F.col("score") + gain).where("score is not null")
-        x = cut_lineage(x)
+        x = dist.with_log_interval_density(x, "centre", "gap_sd", *kern["access" if leg == 1 else "transfer"], "gain")
+        # written before the null test: pushed below, the test would repeat the whole density
+        x = cut_lineage(x.withColumn("score", F.col("score") + F.col("gain")).drop("gain")).where("score is not null")
         x = x.withColumn("steps", F.concat("steps", F.array(F.struct(F.col("ride_id").alias("ride"), "centre", F.col("gap_sd").alias("sd")))))
         x = x.withColumnRenamed("retained", "kept_before")
         x = K.beam(x, ["cohort", "route_rank"], "score", ["steps"], beam).withColumn("retained", F.col("retained") * F.col("kept_before"))
         x = cut_lineage(x.drop("lo", "hi", "beam_rank", "kept_before", "at", "at_sd", "ride_id", "centre", "gap_sd", "dep").withColumnsRenamed({"arr": "at", "sd": "at_sd"}))
         end = x.where(F.col("legs") == leg)
         egress = (F.col("exit") - F.col("at")).cast("double")
-        end = end.withColumns({"egress_centre": egress, "egress_sd": F.col("at_sd"), "score": F.col("score") + dist.log_interval_density(egress, F.col("at_sd"), *kern["egress"])
-                               - (F.col("cost") - F.col("least_cost")) / ROUTE_PRIOR_SCALE_S}).where("score is not null")
-        end = end.select(*cohorts.columns, "route_rank", "legs", "steps", "egress_centre", "egress_sd", "score", "retained")
+        end = dist.with_log_interval_density(end.withColumns({"egress_centre": egress, "egress_sd": F.col("at_sd")}), "egress_centre", "egress_sd", *kern["egress"], "gain")
+        end = end.withColumn("score", F.col("score") + F.col("gain") - (F.col("cost") - F.col("least_cost")) / ROUTE_PRIOR_SCALE_S)
+        end = cut_lineage(end.select(*cohorts.columns, "route_rank", "legs", "steps", "egress_centre", "egress_sd", "score", "retained")).where("score is not null")
         done = end if done is None else done.unionByName(end)
         nxt = legs.where(F.col("leg_no") == leg + 1).select(*OD, "route_rank", "leg_from", "leg_to")
         cur = x.where(F.col("legs") > leg).drop("leg_from", "leg_to").join(nxt, [*OD, "route_rank"])
@@ -205,11 +205,10 @@ def shift_scores(f: DataFrame, kernels: dict[str, tuple[float, float]], shifts:
     up = f.where("upper_root is not null").select(F.col("upper_root").alias("root"), F.lit(1).alias("sign"), "factor", "centre", "sd", "w")
     down = f.where("lower_root is not null").select(F.col("lower_root").alias("root"), F.lit(-1).alias("sign"), "factor", "centre", "sd", "w")
     x = up.unionByName(down).withColumn("shift", F.explode(F.array(*[F.lit(s) for s in shifts])))
-    ll = None
-    for name, (m, s) in kernels.items():
-        v = dist.log_interval_density(F.col("centre") + F.col("sign") * F.col("shift"), F.col("sd"), F.lit(m), F.lit(s))
-        ll = F.when(F.col("factor") == name, v) if ll is None else ll.when(F.col("factor") == name, v)
-    return x.groupBy("root", "shift").agg(F.sum(F.col("w") * F.coalesce(ll, F.lit(-1e6))).alias("score"), F.sum("w").alias("usage"))
+    pick = lambda i: F.coalesce(*[F.when(F.col("factor") == name, F.lit(k[i])) for name, k in kernels.items()])
+    x = x.withColumns({"moved": F.col("centre") + F.col("sign") * F.col("shift"), "median": pick(0), "sigma": pick(1)})
+    x = dist.with_log_interval_density(x, "moved", "sd", F.col("median"), F.col("sigma"), "ll")
+    return x.groupBy("root", "shift").agg(F.sum(F.col("w") * F.coalesce("ll", F.lit(-1e6))).alias("score"), F.sum("w").alias("usage"))
 
 
 def choose_shifts(scores: DataFrame, prior_sd: float, min_usage: float) -> DataFrame:
@@ -283,6 +282,6 @@ def first_boardable_terms(episodes: DataFrame, episode: str, order: str, gap: st
     """
     cdf = dist.expected_lognormal_cdf(F.col(gap), F.col(sd), median, sigma)
     x = episodes.withColumns({"cdf": cdf, "__one": F.lit(1).cast("bigint")})
-    x = skew.chunked(x, [episode], [order], F.lit(0), near={"__prev": (["cdf"], False)}, folds={"__n": ("sum", "__one", True)})
+    x = skew.chunked(x, [episode], [order], None, near={"__prev": (["cdf"], False)}, folds={"__n": ("sum", "__one", True)})
     delta = F.greatest(F.lit(0.0), F.col("cdf") - F.coalesce("__prev.cdf", F.lit(0.0)))
     return x.withColumn("skipped", F.col("__n") - 1).withColumn("term", delta * F.pow(skip, F.col("skipped")) * (1.0 - skip)).drop("__prev", "__n", "__one")

@@ -162,7 +162,7 @@ def complete_corridor(events: DataFrame, trip: str, pos: str, value: str, lo: in
     grid = events.select(trip).distinct().withColumn(pos, F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))))
     x = grid.join(events, [trip, pos], "left")
     x = x.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-    x = skew.chunked(x, [trip], [pos], F.lit(0), known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
+    x = skew.chunked(x, [trip], [pos], None, known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
     a, b, p = F.col("__a"), F.col("__b"), F.col(pos)
     mid = a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
     filled = F.coalesce(F.col(value).cast("double"), mid, a["v"] + (p - a["p"]) * edge_s, b["v"] - (b["p"] - p) * edge_s)

@@ -121,7 +121,7 @@ def lags_with_fallback(edges: DataFrame, best: DataFrame, edge: Sequence[str], m
 
 def cumulative_offsets(edge_lags: DataFrame, path: Sequence[str], seq: str, lag: str, out: str) -> DataFrame:
     """Offset of each path position from the first; a path is a short list, one chunk is enough."""
-    return skew.running(edge_lags, path, [seq], F.lit(0), {out: ("sum", lag)})
+    return skew.running(edge_lags, path, [seq], None, {out: ("sum", lag)})
 
 
 _CLUSTER_SCHEMA = "cluster_no int, pos double, weight double, member string"

@@ -132,7 +132,7 @@ def smooth_roots(events: DataFrame) -> DataFrame:
     total = F.col("fwd.prec") + F.col("back.prec") + F.col("stops.weight")
     mean = (F.col("fwd.info") + F.col("back.info") + F.col("stops.weight") * F.col("stops.anchor")) / F.nullif(total, F.lit(0.0))
     x = x.select("root", F.col("stops.seq").alias("seq"), mean.alias("mean"), (F.lit(1.0) / F.sqrt(F.nullif(total, F.lit(0.0)))).alias("sd"))
-    x = skew.neighbour(x, ["root"], ["seq"], F.lit(0), ["mean"], "__p")
+    x = skew.neighbour(x, ["root"], ["seq"], None, ["mean"], "__p")
     return x.withColumn("forward", F.coalesce(F.col("mean") > F.col("__p.mean"), F.lit(True))).drop("__p")
 
 
@@ -189,7 +189,7 @@ def hazard_scores(pairs: DataFrame, cohort: str, gap: str, order: str, median: f
     ready time, as a running sum over the few departures of a cohort's window.
     """
     x = pairs.withColumns({"cdf": dist.lognormal_cdf(F.col(gap), F.lit(median), F.lit(sigma)), "__one": F.lit(1).cast("bigint")})
-    x = skew.chunked(x, [cohort], [gap, order], F.lit(0), near={"__p": (["cdf"], False)}, folds={"__j": ("sum", "__one", False)})
+    x = skew.chunked(x, [cohort], [gap, order], None, near={"__p": (["cdf"], False)}, folds={"__j": ("sum", "__one", False)})
     x = x.withColumn("__t", F.greatest(F.lit(0.0), F.col("cdf") - F.coalesce("__p.cdf", F.lit(0.0))) * F.pow(F.lit(skip), -F.col("__j")))
-    x = skew.running(x, [cohort], [gap, order], F.lit(0), {"__s": ("sum", "__t")})
+    x = skew.running(x, [cohort], [gap, order], None, {"__s": ("sum", "__t")})
     return x.withColumn("boarding", (1.0 - skip) * F.pow(F.lit(skip), F.col("__j")) * F.col("__s")).drop("__one", "__p", "__j", "__t", "__s", "cdf")

@@ -178,14 +178,14 @@ SELECT trip, changes, coalesce(n,0)::BIGINT AS ride_edges, coalesce(miss,0)::BIG
 def _(t):
     u, v = F.col("l_suppkey") % 25, F.col("l_partkey") % 25
     prior = t.lineitem.where("l_returnflag <> 'R'").groupBy((F.col("l_suppkey") % 3).alias("line"), F.least(u, v).alias("low"), F.greatest(u, v).alias("high")).agg(F.avg("l_quantity").alias("med"))
-    return N.path_metric(trips(t), ["trip"], "seq", "station", "line", F.lit(0), prior, "med").withColumn("med", F.round("med", 6))
+    return N.path_metric(trips(t), ["trip"], "seq", "station", "line", None, prior, "med").withColumn("med", F.round("med", 6))
 
 
 LEGS = f"{TRIP}, lg0 AS (SELECT *, CASE WHEN line=lag(line) OVER w THEN 0 ELSE 1 END AS nw FROM tr WINDOW w AS (PARTITION BY trip ORDER BY seq)), lg1 AS (SELECT *, sum(nw) OVER (PARTITION BY trip ORDER BY seq) AS leg_no FROM lg0), lg AS (SELECT trip, leg_no::BIGINT AS leg_no, line, arg_min(station,seq) AS from_node, arg_max(station,seq) AS to_node, min(seq) AS first_seq, max(seq) AS last_seq FROM lg1 GROUP BY ALL)"
 
 
 def trip_legs(t):
-    return N.legs(trips(t), ["trip"], "seq", "station", "line", F.lit(0))
+    return N.legs(trips(t), ["trip"], "seq", "station", "line", None)
 
 
 @query("N11_legs_from_path", f"WITH {LEGS} SELECT * FROM lg")
@@ -244,7 +244,7 @@ def _(t):
 @query("N17_movement_authority", f"""
 WITH {LEGS}, m AS (SELECT trip, line AS from_line, lead(line) OVER w AS to_line, to_node AS station FROM lg WINDOW w AS (PARTITION BY trip ORDER BY leg_no)) SELECT station, from_line, to_line, count(*) AS trips FROM m WHERE to_line IS NOT NULL GROUP BY ALL""")
 def _(t):
-    x = skew.neighbour(trip_legs(t), ["trip"], ["leg_no"], F.lit(0), ["line"], "nx", following=True).where("nx is not null")
+    x = skew.neighbour(trip_legs(t), ["trip"], ["leg_no"], None, ["line"], "nx", following=True).where("nx is not null")
     return x.groupBy(F.col("to_node").alias("station"), F.col("line").alias("from_line"), F.col("nx.line").alias("to_line")).agg(F.count(F.lit(1)).alias("trips"))
 
 
@@ -323,4 +323,4 @@ def _(t):
     labels, _ = N.frontier(ride, stops(t).select(F.col("node").alias("source")))
     only = labels.where("paths = 1 and r > 1").select("source", F.col("node").alias("target"), F.col("r").alias("length"), F.posexplode("path").alias("pos", "node"))
     ev = t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_suppkey").alias("node")).agg(F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("bigint").alias("t"))
-    return bracketed_times(ev, only, "trip", "node", "t", F.lit(0)).select("trip", "node", F.round("at", 6).alias("at_day"), "exact")
+    return bracketed_times(ev, only, "trip", "node", "t", None).select("trip", "node", F.round("at", 6).alias("at_day"), "exact")

@@ -126,7 +126,7 @@ SELECT trip, day, unnest(range(least(pos,nx),greatest(pos,nx)))::INT AS segment,
 def _(t):
     st = t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_linenumber").alias("seq")).agg(
         F.min(F.col("l_suppkey") % 20).cast("int").alias("pos"))
-    x = skew.neighbour(st, ["trip"], ["seq", "day", "pos"], F.lit(0), ["pos"], "nx", following=True)
+    x = skew.neighbour(st, ["trip"], ["seq", "day", "pos"], None, ["pos"], "nx", following=True)
     return J.expand_segments(x.where("nx.pos <> pos").withColumn("to_pos", F.col("nx.pos")), "pos", "to_pos").select("trip", "day", "segment", "outbound")
 
 
@@ -243,7 +243,7 @@ SELECT trip, pos, round(coalesce(obs, av+(bv-av)*(pos-ap)/nullif(bp-ap,0)::DOUBL
  CASE WHEN obs IS NOT NULL THEN 0 ELSE least(600, 30+25*least(coalesce(pos-ap,1000),coalesce(bp-pos,1000))) END::BIGINT AS uncertainty FROM k WHERE trip NOT IN (SELECT trip FROM bad)""")
 def _(t):
     ev = corridor_events(t)
-    ok = S.increasing_only(ev, ["trip"], ["pos"], "obs", F.lit(0))
+    ok = S.increasing_only(ev, ["trip"], ["pos"], "obs", None)
     return S.complete_corridor(ok, "trip", "pos", "obs", 0, 24, 90.0)
 
 
@@ -255,7 +255,7 @@ def _(t):
     ev = t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("pos")).agg(
         F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("double").alias("v"), F.sum("l_quantity").alias("w"))
     b = ev.withColumn("x", S.shrink(F.col("v"), F.lit(9000.0) + F.col("pos"), F.col("w"), 300.0))
-    return S.forward_floor(b, ["trip"], "pos", "x", 15.0, F.lit(0), "repaired").select("trip", "pos", F.round("repaired", 6).alias("repaired"))
+    return S.forward_floor(b, ["trip"], "pos", "x", 15.0, None, "repaired").select("trip", "pos", F.round("repaired", 6).alias("repaired"))
 
 
 @query("W21_min_rank", """

@@ -49,11 +49,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    """Materialise on shared storage, so that a lost executor costs no recomputation.
+
+    A written table rather than an RDD checkpoint: it is computed once (a checkpoint
+    runs its last stage again to save it), is read column by column, and its file sizes
+    tell the optimizer how large it is.
+    """
+    return stage(df, "cut")
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -54,7 +54,7 @@ def _add(a: Column, b: Column) -> Column:
 _FOLD = {"sum": (F.sum, _add), "max": (F.max, F.greatest), "min": (F.min, F.least)}
 
 
-def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
             near: dict[str, tuple[Sequence[str], bool]] | None = None,
             known: dict[str, tuple[str, bool, bool]] | None = None,
             folds: dict[str, tuple[str, str, bool]] | None = None,
@@ -69,12 +69,15 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     ``local``   adds columns from the window of the row's own chunk first; only for facts that
                 never cross a chunk border, such as equal timestamps.
 
-    ``order`` must be a total order within the key.
+    ``order`` must be a total order within the key. ``chunk`` may be None only where a key
+    is short by its nature, such as the stops of one trip: then nothing has to be carried.
     """
     near, known, folds, totals = near or {}, known or {}, folds or {}, totals or {}
-    base = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    bounded = chunk is None
+    part = keys if bounded else [*keys, _CHUNK]
+    base = Window.partitionBy(*part).orderBy(*order)
     rank = F.struct(*order)
-    d = df.withColumn(_CHUNK, chunk)
+    d = df if bounded else df.withColumn(_CHUNK, chunk)
     if local is not None:
         d = local(d, base)
     cols, edges, cw = {}, [], Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -105,30 +108,33 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
         agg = _FOLD[kind][0]
         edges.append(agg(value).alias(f"__e_{out}"))
         carried.append(agg(f"__e_{out}").over(Window.partitionBy(*keys)).alias(out))
+    if bounded:
+        whole = {out: _FOLD[kind][0](value).over(Window.partitionBy(*keys)) for out, (kind, value) in totals.items()}
+        return d.withColumns({**{o: cols[f"__l_{o}"] for o in final}, **whole})
     carry = d.groupBy(*keys, _CHUNK).agg(*edges).select(*keys, _CHUNK, *carried)
     joined = _join_carry(d.withColumns(cols) if cols else d, carry, keys)
     return joined.withColumns(final).drop(_CHUNK, *[f"__{p}_{o}" for o in final for p in "lc"])
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
               fields: Sequence[str], out: str, following: bool = False) -> DataFrame:
     """Adds ``out``: a struct of ``fields`` from the previous (or next) row of the key."""
     return chunked(df, keys, order, chunk, near={out: (fields, following)})
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
                value: str, out: str, following: bool = False, strict: bool = False) -> DataFrame:
     """Adds ``out``: the latest non-null ``value`` at or before the row (or after it)."""
     return chunked(df, keys, order, chunk, known={out: (value, following, strict)})
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
             folds: dict[str, tuple[str, str]], suffix: bool = False, totals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Adds running aggregates, inclusive of the row: ``{out: ("sum"|"max"|"min", column)}``."""
     return chunked(df, keys, order, chunk, folds={o: (k, c, suffix) for o, (k, c) in folds.items()}, totals=totals)
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fields: Sequence[str],
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, fields: Sequence[str],
             joins: Callable[[Column, Column], Column], out: str) -> DataFrame:
     """Numbers the runs of consecutive rows that join their predecessor.
 
@@ -136,9 +142,14 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     are counted locally; the border between two chunks is judged on the carried last
     row of the one and first row of the other.
     """
-    base = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     rank, cur = F.struct(*order), F.struct(*fields)
     brk = lambda prev, this: F.when(F.coalesce(joins(prev, this), F.lit(False)), 0).otherwise(1).cast("bigint")
+    if chunk is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        d = df.withColumns({"__cur": cur, "__prev": F.lag(cur).over(w)})
+        d = d.withColumn("__brk", F.when(F.col("__prev").isNull(), F.lit(1).cast("bigint")).otherwise(brk(F.col("__prev"), F.col("__cur"))))
+        return d.withColumn(out, F.sum("__brk").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__cur", "__prev", "__brk")
+    base = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     d = df.withColumn(_CHUNK, chunk).withColumns({"__cur": cur, "__prev": F.lag(cur).over(base)})
     d = d.withColumn("__brk", F.when(F.col("__prev").isNull(), F.lit(0).cast("bigint")).otherwise(brk(F.col("__prev"), F.col("__cur"))))
     edges = d.groupBy(*keys, _CHUNK).agg(F.min_by("__cur", rank).alias("__head"), F.max_by("__cur", rank).alias("__tail"), F.sum("__brk").alias("__n"))
