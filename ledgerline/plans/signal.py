@@ -172,7 +172,7 @@ def _(t):
 
 @query("G12_two_means_split")
 def _(t):
-    """Both sides of every splitting cluster; brute force in the tests."""
+    """Both sides of every splitting cluster; the split is tested on a small fixture."""
     c = clusters(t).withColumn("pos", F.col("pos") * 60)
     s = G.two_means_split(c, ["path", "island", "cluster_no"])
     return s.groupBy("path", "island", "cluster_no", "side").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("pos"), 6).alias("mean_pos"))
@@ -243,7 +243,7 @@ def discover(t, rounds: int = 2):
 
 @query("G17_iterated_discovery")
 def _(t):
-    """Two rounds of discovery; checked for stability and invariants in the tests."""
+    """Two rounds of discovery; rows only, its steps G04, G10, G11, G13 and G15 each have SQL."""
     return discover(t).select("path", "stations", "events", F.round("centre", 6).alias("centre"), F.round("evidence", 6).alias("evidence"))
 
 
