@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
 from ledgerline.llm import exact_dedup, mixing
+from ledgerline.llm.records import encode_to_records
 from ledgerline.llm.sharding import shard_by_bytes
+from ledgerline.llm.token_counts import count_tokens
+from ledgerline.llm.tokens import read_spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +42,17 @@ def op2_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = encode_to_records(table(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "at", "offset", "length")
+
+
+@register()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("byte_bpe_50k.json")), limit=512)
+
+
 @register(mixing.SQL)
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select(
