@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import require
+from ledgerline.llm.records import blocks_of
 from ledgerline.session import stage
 
 WINDOW = 10
@@ -246,14 +246,8 @@ def read_block(block: DataFrame) -> list[tuple[object, bytes]]:
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[pa.RecordBatch, int, int]]:
     for batch in batches:
-        at = held = 0
-        for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
-            if held and held + (n or 0) > shard_bytes:
-                yield batch, at, i
-                at, held = i, 0
-            held += n or 0
-        if at < batch.num_rows:
-            yield batch, at, batch.num_rows
+        for a, z in blocks_of(batch.column("text"), shard_bytes):
+            yield batch, a, z
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

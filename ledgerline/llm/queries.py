@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from ledgerline.llm import decontaminate, exact_dedup, mixing
+from ledgerline.llm.quality import score_quality
 from ledgerline.llm.records import encode_to_records
 from ledgerline.llm.sharding import shard_by_bytes
 from ledgerline.llm.token_counts import count_tokens
@@ -61,6 +62,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("byte_bpe_50k.json")), limit=512)
 
 
+@register()
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @register(mixing.SQL)
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select(

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,15 +96,14 @@ def write_records(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: st
     spread.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def blocks_of(texts: pa.Array):
-    """Slices of bounded size of an Arrow column of texts."""
-    offsets = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64, len(texts) + 1, texts.offset * (4 if pa.types.is_string(texts.type) else 8)))
+def blocks_of(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of an Arrow column of at most ``limit`` bytes of text, or of one text."""
     held = at = 0
-    for i, n in enumerate(offsets.tolist()):
-        if held and held + n > 1 << 20:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + (n or 0) > limit:
             yield at, i
             at, held = i, 0
-        held += n
+        held += n or 0
     if at < len(texts):
         yield at, len(texts)
 
