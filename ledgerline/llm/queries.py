@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from ledgerline.llm import decontaminate, exact_dedup, mixing
+from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.records import encode_to_records
 from ledgerline.llm.sharding import shard_by_bytes
@@ -49,6 +50,11 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "at", "offset", "length")
 
 
+@register()
+def op5_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register(decontaminate.SQL)
 def op7_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
