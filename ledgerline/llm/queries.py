@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerline.llm import decontaminate, exact_dedup, mixing
+from ledgerline.llm import decontaminate, exact_dedup, mixing, secrets
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.records import encode_to_records
@@ -44,6 +44,13 @@ def op2_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@register(secrets.SQL)
+def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = {f"n_{k}": secrets.count_kind("base", k) for k in secrets.BASE}
+    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 @register()
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = encode_to_records(table(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
