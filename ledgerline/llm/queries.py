@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerline.llm import decontaminate, exact_dedup, mixing, secrets
+from ledgerline.llm import decontaminate, exact_dedup, mixing, pseudonyms, secrets
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.records import encode_to_records
@@ -62,6 +62,16 @@ def op5_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: For the registered query; a deployment brings its own.
+QUERY_KEY = "public-example-key"
+
+
+@register()
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
+    return out.select("doc_id", "text", F.col("values").cast("long").alias("n_values"), F.array_join("kinds", ",").alias("kinds"))
+
+
 @register(decontaminate.SQL)
 def op7_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
