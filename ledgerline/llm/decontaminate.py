@@ -352,11 +352,12 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     Texts without an occurrence stay as they are, null ones too. A text is searched again
     after a cut until nothing is found; with several blocks of the benchmark the passes
-    are repeated until none cuts anything. All columns stay.
+    are repeated until none cuts anything. Equal rows are separate documents; an empty
+    table gives no rows. All columns stay, but ``cut`` replaces a column of its name.
     """
     require(docs, text)
     require(benchmark, item_id, item_text)
-    spark, others = docs.sparkSession, [c for c in docs.columns if c != text]
+    spark, others = docs.sparkSession, [c for c in docs.columns if c not in (text, "cut")]
     packed = docs.select(F.col(text).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), F.lit(False).alias("cut")) if others \
         else docs.select(F.col(text).cast("binary").alias("text"), F.lit(None).cast("int").alias("others"), F.lit(False).alias("cut"))
     ddl = packed.schema
@@ -375,7 +376,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         for shared in blocks:
             packed = packed.mapInArrow(_cleaned(shared, shard_bytes), ddl)
     columns = {text: F.col("text").cast("string").alias(text)}
-    return packed.select(*[columns.get(c, F.col("others")[c].alias(c)) for c in docs.columns], "cut")
+    return packed.select(*[columns.get(c, F.col("others")[c].alias(c)) for c in docs.columns if c != "cut"], "cut")
 
 
 #: The same rows in DuckDB: every window of a document against the windows of the items.

@@ -109,8 +109,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(len(found))
                 sig.append(minima.tobytes() if len(found) else None)
                 sketch.append((minima >> np.uint32(8)).astype(np.uint8).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(digest, pa.binary()), pa.array(count, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())],
-                                             ["doc_id", "digest", "shingles", "signature", "sketch"])
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, z - a) for c in others], pa.array(digest, pa.binary()), pa.array(count, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())],
+                                             [*others, "digest", "shingles", "signature", "sketch"])
 
 
 def block_pairs(df: DataFrame, keys: Sequence[str], member: str, size: Column, block: int) -> DataFrame:
@@ -266,15 +267,16 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links``.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_links, class`` and the columns of ``keep``.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased; a
     document's set holds its five-word shingles, or all its words as one shingle if it
     has fewer. Two documents are linked if their sets have a Jaccard similarity of at
     least ``threshold``. ``n_links`` counts the other documents linked to it, copies
-    included; ``class_id`` is the smallest id of those reachable over links. Null, empty
-    and wordless texts are linked to nothing. Rows with equal ids are separate documents;
+    included; ``class_id`` is the smallest id of those reachable over links, and ``class``
+    tells classes apart even where ids repeat. Null, empty and wordless texts are linked
+    to nothing. Rows with equal ids are separate documents;
     repeated rows are copies of each other. An empty table gives no rows. Other columns
     are not read.
     """
@@ -284,7 +286,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     depth = forest_depth(threshold, recall)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    signed = stage(rows.mapInArrow(_signed, f"doc_id {kind}, digest binary, shingles long, signature binary, sketch binary"), "signed")
+    carried = rows if not keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(*keep).alias("kept"))
+    kept = "" if not keep else f", kept {carried.schema['kept'].dataType.simpleString()}"
+    signed = stage(carried.mapInArrow(_signed, f"doc_id {kind}{kept}, digest binary, shingles long, signature binary, sketch binary"), "signed")
     merged = signed.where("shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"),
                                                                 F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     reps = stage(merged.withColumn("rep", F.monotonically_increasing_id()), "reps")
@@ -321,7 +325,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = links.drop("root").join(linked.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep")
     classes = reps.join(links.drop("__roots"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lowest = classes.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_digest = classes.join(lowest, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    own = signed.select("doc_id", "shingles", "digest")
-    out = own.where("shingles > 0").join(by_digest, "digest").select("doc_id", "class_id", "n_links")
-    return out.unionByName(own.where("shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    by_digest = classes.join(lowest, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("class"))
+    own = signed.withColumn("__row", F.monotonically_increasing_id()).select("doc_id", "shingles", "digest", "__row", *(["kept"] if keep else []))
+    more = [F.col(f"kept.{c}").alias(c) for c in keep]
+    out = own.where("shingles > 0").join(by_digest, "digest").select("doc_id", "class_id", "n_links", "class", *more)
+    # a document without words is a class of its own, numbered below 0
+    return out.unionByName(own.where("shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), (-1 - F.col("__row")).alias("class"), *more))

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,17 +207,8 @@ def _scored(shared):
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality",
-                  folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score``.
-
-    Held out are documents whose crc32 of the id as text leaves ``held_fold`` modulo
-    ``folds`` (a null id counts as the empty text); only labels of the others are learnt
-    from, at most ``sample_rows``. An id with several labels counts as 1 if at least half
-    of them are. Null and empty texts have zero features and get a score like any other;
-    null labels are no labels. Equal rows score alike. Without labels every score is one
-    half. An empty table gives no rows. Other columns are not read.
-    """
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, folds: int, held_fold: int, sample_rows: int):
+    """Word vectors and network as broadcasts, and the documents' features with the fold they are in."""
     require(docs, doc_id, text)
     require(labels, label_id, label)
     sc = docs.sparkSession.sparkContext
@@ -230,4 +222,38 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     sample = sample.orderBy("place", "doc_id", "features").limit(sample_rows).select("label", "features").collect()
     x = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.float32).reshape(-1, FEATURES)
     net = sc.broadcast(train(x, np.array([r[0] for r in sample], dtype=np.float64)))
+    return vectors, net, features
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality",
+                  folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per document: ``doc_id, held_out, score``.
+
+    Held out are documents whose crc32 of the id as text leaves ``held_fold`` modulo
+    ``folds`` (a null id counts as the empty text); only labels of the others are learnt
+    from, at most ``sample_rows``. An id with several labels counts as 1 if at least half
+    of them are. Null and empty texts have zero features and get a score like any other;
+    null labels are no labels. Equal rows score alike. Without labels every score is one
+    half. An empty table gives no rows. Other columns are not read.
+    """
+    _, net, features = _fit(docs, labels, doc_id, text, label_id, label, folds, held_fold, sample_rows)
+    kind = docs.schema[doc_id].dataType.simpleString()
     return features.mapInArrow(_scored(net), f"doc_id {kind}, held_out boolean, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality",
+              folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents, all columns, whose score is at least ``least``.
+
+    Scores are those of ``score_quality``; they are computed where the text is read, so
+    that no text is shuffled.
+    """
+    vectors, net, _ = _fit(docs, labels, doc_id, text, label_id, label, folds, held_fold, sample_rows)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.cast(batch.column(text), pa.binary())
+            for a, z in blocks_of(texts):
+                yield batch.slice(a, z - a).filter(pa.array(net.value.score(pool(vectors.value, texts.slice(a, z - a).to_pylist())) >= least))
+
+    return docs.mapInArrow(good, docs.schema)
