@@ -82,13 +82,12 @@ def write_records(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: st
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(WordEncoder, digest, lambda: shared.value)
-        end = encoder._pack([end_id])
-        wide = encoder.dtype.itemsize == 4
+        end, wide = np.array([end_id], dtype=encoder.dtype).tobytes(), encoder.dtype.itemsize == 4
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, z in blocks_of(texts):
-                packed = encoder.encode(texts.slice(a, z - a).to_pylist())
-                out = [frame(i, p + end, wide) for i, p in zip(ids.slice(a, z - a).to_pylist(), packed, strict=True)]
+            for a, z in blocks_of(batch.column(1), 2 << 20):
+                ids, ends = encoder.encode(batch.column(1).slice(a, z - a))
+                starts = [0, *ends[:-1].tolist()]
+                out = [frame(i, ids[s:e].tobytes() + end, wide) for i, s, e in zip(batch.column(0).slice(a, z - a).to_pylist(), starts, ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     tie = F.monotonically_increasing_id()  # a frequent id must not fill one file

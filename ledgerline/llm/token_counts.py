@@ -57,8 +57,8 @@ def count_tokens(docs: DataFrame, spec: str, limit: int, cache_path: str | None
         counter = loaded(ByteCounter, version, lambda: shared.value)
         for batch in batches:
             texts = batch.column(1)
-            for a, z in blocks_of(texts):
-                counts = counter.count(texts.slice(a, z - a).to_pylist())
+            for a, z in blocks_of(texts, 2 << 20):
+                counts = counter.count(texts.slice(a, z - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array([version] * (z - a), pa.string()), pa.array(counts, pa.int64())],
                                                  ["digest", "version", "n_tokens"])
 

@@ -1,10 +1,10 @@
 """Public tokenizers inside tasks, with a bounded cache of words already encoded.
 
 Both tokenizer kinds cut a text into words that are encoded one by one, so a text's ids
-are those of its words in order. Most words of a corpus are repeats: the cache looks
-them up, and only new words go to the tokenizers library, many in one call. Texts in
-which a word border depends on more than a plain space or line feed go to the library
-whole.
+are those of its words in order. Arrow cuts and numbers the words of many texts at once,
+each distinct word is looked up in the cache, and only new ones go to the tokenizer's
+model. Texts in which a word border depends on more than a plain space or line feed go
+to the library whole.
 """
 
 from __future__ import annotations
@@ -12,15 +12,18 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Entries of a worker's cache; it starts afresh beyond.
-CACHE_WORDS = 500_000
-#: White space next to white space, at an end, or other than a space and a line feed.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]|[ \n]{2}|[ \n]\Z|\A[ \n]")
+CACHE_WORDS = 600_000
+#: White space next to white space, at an end, or other than a space and a line feed; control characters.
+_ODD = (r"[\x{00}-\x{09}\x{0B}-\x{1F}\x{7F}-\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]"
+        r"|[ \n][ \n]|[ \n]\z|\A[ \n]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,22 +40,29 @@ class Words:
     ascii_parts: re.Pattern
 
     def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
-        self.spec = json.loads(spec)
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
-        self.special = [t["content"] for t in self.spec.get("added_tokens", [])]
+        form = json.loads(spec)
+        self.special = [t["content"] for t in form.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.cache_words = cache_words
-        pre = self.spec.get("pre_tokenizer") or {}
-        self.pre = pre.get("pretokenizers", [pre])
-        self.by_word = False
+        self.cache: dict[str, int] = {}
+        pre = form.get("pre_tokenizer") or {}
+        self.by_word = form.get("post_processor") is None and self.knows(form.get("normalizer"), pre.get("pretokenizers", [pre]))
 
-    def plain(self, text: str) -> bool:
-        return not any(s in text for s in self.special)
+    def knows(self, normalizer: dict | None, pre: list[dict]) -> bool:
+        raise NotImplementedError
 
     def whole(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)] if texts else []
 
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Texts that only the library can cut."""
+        out = np.full(len(texts), not self.by_word)
+        for s in self.special:
+            out |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
+        return out
+
     def parts(self, word: str) -> list[str] | None:
         """The word's pretokens, or None if only the library can tell."""
         if word.isascii():
@@ -63,6 +73,28 @@ class Words:
     def written(self, part: str) -> str:
         return part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.letters)
 
+    def numbers(self, texts: pa.Array, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cached values of the distinct words, each word's number among them, and each text's number of words."""
+        lists = cut(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.cache.get, words))
+        if None in found:
+            new = [k for k, v in enumerate(found) if v is None]
+            if len(self.cache) + len(new) > self.cache_words:
+                self.forget()
+                new = range(len(words))
+            self.learn([words[k] for k in new])
+            for k in new:
+                found[k] = self.cache[words[k]]
+        return np.array(found, dtype=np.int64), coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+
+    def forget(self) -> None:
+        self.cache = {}
+
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
+
 
 class WordEncoder(Words):
     """Ids of texts for a tokenizer that drops white space, lower-cases and marks word ends."""
@@ -71,100 +103,112 @@ class WordEncoder(Words):
 
     def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
         super().__init__(spec, cache_words)
-        kinds = [n.get("type") for n in (self.spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = (kinds == ["NFC", "Replace", "Lowercase"] and self.spec.get("post_processor") is None and len(self.pre) == 2
-                        and self.pre[0].get("behavior") == "Removed" and self.pre[0].get("invert", False) and self.pre[1].get("type") == "ByteLevel")
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _pack(self, ids: Iterable[int]) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache = {"": b""}
-        rest, tokenize, cache = [], self.model.tokenize, self.cache
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.forget()
+
+    def knows(self, normalizer: dict | None, pre: list[dict]) -> bool:
+        kinds = [n.get("type") for n in (normalizer or {}).get("normalizers", [])]
+        return (kinds == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and pre[0].get("behavior") == "Removed" and pre[0].get("invert", False)
+                and pre[1].get("type") == "ByteLevel")
+
+    def forget(self) -> None:
+        """The cache gives a word's number; its ids stand in ``flat`` from ``starts``."""
+        self.cache, self.flat, self.starts = {}, array(getattr(self, "code", "H")), array("q", [0])
+
+    def _put(self, word: str, ids: Sequence[int]) -> None:
+        self.cache[word] = len(self.starts) - 1
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+
+    def learn(self, words: list[str]) -> None:
+        rest, tokenize = [], self.model.tokenize
         normal = self.tokenizer.normalizer.normalize_str
-        code = "H" if self.dtype.itemsize == 2 else "I"
         for w in words:
-            parts = self.parts(w.lower() if w.isascii() else normal(w))
+            if w.isascii() and w.isalpha():
+                self._put(w, [t.id for t in tokenize(w)])
+                continue
+            low = w if w.isascii() else normal(w)
+            parts = self.parts(low) if low else []
             if parts is None:
                 rest.append(w)
-                continue
-            cache[w] = array(code, [t.id for p in parts for t in tokenize(self.written(p))]).tobytes()
+            else:
+                self._put(w, [t.id for p in parts for t in tokenize(self.written(p))])
         for w, x in zip(rest, self.whole(rest), strict=True):
-            cache[w] = self._pack(x)
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Each text's ids, packed in ``dtype``."""
-        cut = [t.replace("\n", " ").split(" ") if self.by_word and self.plain(t) else None for t in texts]
-        seen: set[str] = set()
-        for words in cut:
-            if words is not None:
-                seen.update(words)
-        new = seen.difference(self.cache)
-        if new:
-            self._learn(new)
-            if not seen.issubset(self.cache.keys()):  # the cache started afresh
-                self._learn(seen.difference(self.cache))
-        get = self.cache.__getitem__
-        others = iter([self._pack(x) for x in self.whole([t for t, words in zip(texts, cut, strict=True) if words is None])])
-        return [next(others) if words is None else b"".join(map(get, words)) for words in cut]
+            self._put(w, x)
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.Array:
+        """Words without capitals, and the mark after a word as a word; white space gives no ids."""
+        flat = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        return pc.split_pattern(pc.replace_substring_regex(flat, r"([a-z])([.,]) ", r"\1 \2 "), " ")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids end."""
+        odd = self.odd(texts)
+        plain = pc.if_else(pa.array(odd), pa.scalar(""), texts) if odd.any() else texts
+        found, word, words = self.numbers(plain, self._cut)
+        starts = np.frombuffer(self.starts, np.int64)
+        first, length = starts[found], starts[found + 1] - starts[found]
+        del starts  # the array may grow again
+        n = length[word]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(self.flat, self.dtype)[np.repeat(first[word] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[np.cumsum(words)]
+        if odd.any():
+            whole = iter(self.whole([t for t, o in zip(texts.to_pylist(), odd, strict=True) if o]))
+            each = [np.array(next(whole), dtype=self.dtype) if o else x for o, x in zip(odd, np.split(ids, ends[:-1]), strict=True)]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        return ids, ends
 
 
 class ByteCounter(Words):
-    """Number of ids of texts for a byte-level tokenizer that gives a word its leading space."""
+    """Number of ids of texts for a byte-level tokenizer that gives a word its leading space.
+
+    Words of the cache are cut before each space and line feed: one that begins with a
+    line feed stands for it and the bare word after it, any other for a space and a word.
+    """
 
     ascii_parts = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 
-    def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
-        super().__init__(spec, cache_words)
-        pre = self.pre[0]
-        self.by_word = (self.spec.get("normalizer") is None and self.spec.get("post_processor") is None and len(self.pre) == 1
-                        and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space"))
-        self.space = self.letters[0x20]
-        self.spaced: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-
-    def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        if len(self.spaced) + len(self.bare) + len(spaced) + len(bare) > self.cache_words:
-            self.spaced, self.bare = {}, {}
-        tokenize = self.model.tokenize
-        for words, cache, lead, space in ((spaced, self.spaced, " ", self.space), (bare, self.bare, "", "")):
-            rest = []
-            for w in words:
-                parts = self.parts(w)
-                if parts is None:
-                    rest.append(w)
-                    continue
-                n = len(tokenize(space + self.written(parts[0])))
-                for p in parts[1:]:
-                    n += len(tokenize(self.written(p)))
-                cache[w] = n
-            for w, x in zip(rest, self.whole([lead + w for w in rest]), strict=True):
-                cache[w] = len(x)
-
-    def count(self, texts: Sequence[str]) -> list[int]:
-        cut: list[tuple | None] = []
-        spaced, bare = set(), set()
-        for t in texts:
-            if not t or not self.by_word or not self.plain(t) or _ODD.search(t):
-                cut.append(None)
+    def knows(self, normalizer: dict | None, pre: list[dict]) -> bool:
+        return normalizer is None and len(pre) == 1 and pre[0].get("type") == "ByteLevel" and bool(pre[0].get("use_regex")) and not pre[0].get("add_prefix_space")
+
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        return super().odd(texts) | pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+
+    def learn(self, words: list[str]) -> None:
+        rest, tokenize, cache, space = [], self.model.tokenize, self.cache, self.letters[0x20]
+        for w in words:
+            line = w[:1] == "\n"
+            lead, bare = ("", w[1:]) if line else (space, w)
+            core = bare[:-1] if bare[-1:] in (".", ",") else bare
+            if core.isalpha() and core.isascii():
+                key = w[: len(core) + line]
+                n = cache.get(key)
+                if n is None:
+                    n = cache[key] = line + len(tokenize(lead + core))
+                cache[w] = n + (key != w)
+                continue
+            parts = self.parts(bare) if bare else [""]
+            if parts is None:
+                rest.append(w)
                 continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            first = [line[0] for line in lines]
-            more = [w for line in lines for w in line[1:]] if len(lines) > 1 else lines[0][1:]
-            spaced.update(more)
-            bare.update(first)
-            cut.append((first, more))
-        new, first_new = spaced.difference(self.spaced), bare.difference(self.bare)
-        if new or first_new:
-            self._learn(new, first_new)
-            if not spaced.issubset(self.spaced.keys()) or not bare.issubset(self.bare.keys()):  # the cache started afresh
-                self._learn(spaced.difference(self.spaced), bare.difference(self.bare))
-        whole = iter([len(x) for x in self.whole([t for t, c in zip(texts, cut, strict=True) if c is None])])
-        get_spaced, get_bare = self.spaced.__getitem__, self.bare.__getitem__
-        return [next(whole) if c is None else sum(map(get_bare, c[0])) + sum(map(get_spaced, c[1])) + len(c[0]) - 1 for c in cut]
+            cache[w] = line + len(tokenize(lead + self.written(parts[0]))) + sum(len(tokenize(self.written(p))) for p in parts[1:]) if bare else int(line)
+        for w, x in zip(rest, self.whole([w if w[:1] == "\n" else " " + w for w in rest]), strict=True):
+            cache[w] = len(x)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        odd = self.odd(texts)
+        plain = pc.if_else(pa.array(odd), pa.scalar(""), texts) if odd.any() else texts
+        # a line feed before the text makes its first word a bare one
+        found, word, words = self.numbers(plain, lambda t: pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", t, ""), "\n", " \n"), " "))
+        upto = np.concatenate([[0], np.cumsum(found[word])])[np.concatenate([[0], np.cumsum(words)])]
+        counts = np.diff(upto)
+        counts -= 1  # that line feed
+        if odd.any():
+            counts[odd] = [len(x) for x in self.whole([t for t, o in zip(texts.to_pylist(), odd, strict=True) if o])]
+        return counts
 
 
 def read_spec(path: str) -> str:
