@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ BOM = "﻿"
 KM_PER_MILE = 1.609344
 BARE_MPH_LIMIT = 75.0
 
-# Words that carry no meaning in a station name, and spelling joins.
-NAME_STOP_WORDS = "station|terminal|cta|line|l"
-NAME_SPELLINGS = {"&": "and", "ohare": "o hare", "harlem lake": "harlem"}
+# Words that carry no meaning in a stop's name, and spellings that mean the same; more are arguments.
+NAME_STOP_WORDS = ("station", "terminal", "line")
+NAME_SPELLINGS = {"&": "and"}
 
 # Fixed value: a fare token is "<line number>号线<station name>".
 LINE_TOKEN = r"^(\d+)号线(.+)$"
@@ -39,13 +41,14 @@ def code4(c: Column) -> Column:
     return (F.when(d == "", F.lit("")).when(F.length(d) <= 4, F.lpad(d, 4, "0")).otherwise(F.right(d, F.lit(4))))
 
 
-def normalized_name(c: Column) -> Column:
-    """Comparison key of a station name."""
+def normalized_name(c: Column, spellings: Mapping[str, str] = NAME_SPELLINGS, stop_words: Sequence[str] = NAME_STOP_WORDS) -> Column:
+    """Comparison key of a name: small letters and digits, without remarks in brackets and stop words."""
     x = F.lower(c.cast("string"))
-    for old, new in NAME_SPELLINGS.items():
+    for old, new in spellings.items():
         x = F.replace(x, F.lit(old), F.lit(new))
     x = F.regexp_replace(x, r"\([^)]*\)", " ")
-    x = F.regexp_replace(x, rf"\b({NAME_STOP_WORDS})\b", " ")
+    if stop_words:
+        x = F.regexp_replace(x, rf"\b({'|'.join(stop_words)})\b", " ")
     return F.regexp_replace(x, r"[^a-z0-9]+", "")
 
 

@@ -32,11 +32,19 @@ OD = ["from_station", "to_station"]
 _STEP = "struct<ride:bigint,leg_from:int,leg_to:int,dep:bigint,arr:bigint>"
 
 
-def earliest_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, width: float, max_legs: int) -> DataFrame:
+def longest_route(routes: DataFrame) -> int:
+    """Legs of the longest route: no route is cut short."""
+    return max(1, routes.agg(F.max("legs")).first()[0] or 0)
+
+
+def earliest_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, width: float) -> DataFrame:
     """Per cohort and route the earliest chain, or why there is none.
 
-    Each leg is one forward lookup in an arrival index for all cohorts together.
+    Each leg is one forward lookup in an arrival index for all cohorts together. Every
+    cohort and route gives one row, whatever the number of legs; a route that lacks one
+    of its legs fails there.
     """
+    max_legs = longest_route(routes)
     index = cut_lineage(J.arrival_index(rides, OD, "dep", "arr", "ride_id", width).withColumnsRenamed({"from_station": "leg_from", "to_station": "leg_to"}))
     head = routes.where("leg_no = 1").select(*OD, "route_rank", "legs", "leg_from", "leg_to")
     cur = cohorts.join(head, OD).withColumns({"ready": F.col("entry") + ACCESS_MIN_S, "chain": F.array().cast(f"array<{_STEP}>")})
@@ -50,14 +58,14 @@ def earliest_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, wid
         step = F.struct(F.col("hit.ride").alias("ride"), F.col("leg_from").cast("int").alias("leg_from"), F.col("leg_to").cast("int").alias("leg_to"),
                         F.col("hit.dep").alias("dep"), F.col("hit.arr").alias("arr"))
         x = x.withColumn("chain", F.when(miss, F.col("chain")).otherwise(F.concat("chain", F.array(step.cast(_STEP)))))
-        reason = (F.when(miss, "FIRST_LEG_NO_SERVICE" if leg == 1 else "TRANSFER_NO_DOWNSTREAM_SERVICE")
+        reason = (F.when(F.col("leg_from").isNull(), "ROUTE_HAS_NO_RIDE_LEGS").when(miss, "FIRST_LEG_NO_SERVICE" if leg == 1 else "TRANSFER_NO_DOWNSTREAM_SERVICE")
                   .when(last & (late > 0), "FINAL_EGRESS_HORIZON").when(last, "FEASIBLE_COMPLETE_CHAIN"))
         x = x.withColumns({"reason": reason, "progress": F.when(miss, F.lit(leg - 2)).when(last, F.col("legs")), "excess": F.when(last & ~miss & (late > 0), late)})
         x = cut_lineage(x) if leg < max_legs else x
         done = x.where("reason is not null").select(*keep, "reason", "progress", "excess", F.col("leg_from").alias("fail_from"), F.col("leg_to").alias("fail_to"), "ready", "chain")
         out = done if out is None else out.unionByName(done)
         nxt = routes.where(F.col("leg_no") == leg + 1).select(*OD, "route_rank", "leg_from", "leg_to")
-        cur = (x.where("reason is null").select(*keep, (F.col("hit.arr") + TRANSFER_MIN_S).alias("ready"), "chain").join(nxt, [*OD, "route_rank"]))
+        cur = (x.where("reason is null").select(*keep, (F.col("hit.arr") + TRANSFER_MIN_S).alias("ready"), "chain").join(nxt, [*OD, "route_rank"], "left"))
     return out.withColumn("ok", F.col("reason") == "FEASIBLE_COMPLETE_CHAIN")
 
 
@@ -77,12 +85,13 @@ def chain_services(chosen: DataFrame) -> DataFrame:
     return chosen.where("ok").select("cohort", "mass", F.posexplode("chain").alias("leg_index", "step")).select("cohort", "mass", "leg_index", "step.*")
 
 
-def scored_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, kernels: dict[str, tuple[float, float]], beam: int, width: int, max_legs: int) -> DataFrame:
+def scored_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, kernels: dict[str, tuple[float, float]], beam: int, width: int) -> DataFrame:
     """Access-transfer-egress scored chains, the best ``beam`` kept per cohort, route and leg.
 
     ``steps`` lists the rides with the centre and sd of the gap before each; ``score``
     includes the route prior. ``retained`` is the product of kept shares.
     """
+    max_legs = longest_route(routes)
     kern = {k: (F.lit(m), F.lit(s)) for k, (m, s) in kernels.items()}
     legs = routes.select(*OD, "route_rank", "legs", "leg_no", "leg_from", "leg_to", "cost")
     ride = rides.select(F.col("from_station").alias("leg_from"), F.col("to_station").alias("leg_to"), "ride_id", "dep", "arr", "sd")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline import skew
-from ledgerline.operators.topk import MAX_ROUNDS, NoFixpoint
 from ledgerline.session import cut_lineage
 
 
@@ -46,7 +45,7 @@ def greedy_independent(nodes: DataFrame, node: str, edges: DataFrame, rank: Sequ
     r = ranked.select(F.col(node).alias("b"), F.col("__rank").alias("rb"))
     open_edges = cut_lineage(both.join(r, "b").join(r.select(F.col("b").alias("a"), F.col("rb").alias("ra")), "a"))
     fallen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         if open_edges.isEmpty():
             break
         # a node wins when no undecided neighbour ranks before it
@@ -56,8 +55,6 @@ def greedy_independent(nodes: DataFrame, node: str, edges: DataFrame, rank: Sequ
         fallen = lost if fallen is None else fallen.unionByName(lost)
         gone = lost.select(F.col("n").alias("a")).unionByName(winners)
         open_edges = cut_lineage(open_edges.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti"))
-    else:
-        raise NoFixpoint("greedy selection did not settle")
     if fallen is None:
         return nodes
     return nodes.join(fallen.select(F.col("n").alias(node)), node, "left_anti")
@@ -71,7 +68,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -82,8 +79,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise NoFixpoint("components did not settle")
     return nodes.select("node").join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
 
@@ -121,7 +116,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, group: Sequence[str] =
     """
     start = sources.select(*group, "source", F.col("source").alias("node"), F.lit(0).cast("double").alias("cost"), F.array("source").alias("path"))
     best, front = cut_lineage(start), start
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = front.withColumnRenamed("node", "a").join(edges.select(*group, "a", "b", F.col("cost").alias("w")), [*group, "a"])
         cand = step.where(~F.array_contains("path", F.col("b"))).select(
             *group, "source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
@@ -133,7 +128,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, group: Sequence[str] =
             return best
         best = cut_lineage(best.join(better.select(*group, "source", "node"), [*group, "source", "node"], "left_anti").unionByName(better))
         front = better
-    raise NoFixpoint("shortest paths did not settle")
 
 
 def route_alternatives(paths: DataFrame, policy: str) -> DataFrame:
@@ -156,7 +150,7 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, best: DataFrame, k: int, ra
     p = p.withColumn("cap", F.greatest(F.col("base") * ratio, F.col("base") + extra))
     front = p.select("source", "target", "cap", F.col("source").alias("at"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
     done = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = front.withColumnRenamed("at", "a").join(edges.select("a", F.col("b").alias("at"), F.col("cost").alias("w")), "a")
         step = step.where(~F.array_contains("path", F.col("at"))).withColumn("cost", F.col("cost") + F.col("w"))
         step = step.join(rest, ["target", "at"]).where(F.col("cost") + F.col("left") <= F.col("cap"))
@@ -166,8 +160,6 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, best: DataFrame, k: int, ra
         front = step.where("at <> target")
         if front.isEmpty():
             break
-    else:
-        raise NoFixpoint("simple path search did not end")
     n = done.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("source", "target").orderBy("cost", "path")
     return (done.withColumn("route_rank", F.row_number().over(w)).where(F.col("route_rank") <= k)
@@ -193,7 +185,7 @@ def frontier(edges: DataFrame, sources: DataFrame, metrics: Sequence[str] = ())
     for m in metrics:
         ok = ok & F.col(m).isNotNull()
     ok = ok & (F.col("covered") > 0)
-    for _ in range(MAX_ROUNDS):
+    while True:
         x = level.withColumnRenamed("node", "a").join(edges, "a").withColumns({"nr": F.col("r") + F.col("dr"), "nc": F.col("c") + F.col("dt")})
         x = cut_lineage(x.select("source", "a", F.col("b").alias("node"), "r", "c", "nr", "nc", "paths", F.when(ok, F.col("covered")).otherwise(0).alias("covered"),
                                  F.concat("path", F.array("b")).alias("path"),
@@ -209,7 +201,6 @@ def frontier(edges: DataFrame, sources: DataFrame, metrics: Sequence[str] = ())
         link = link.join(level.select("source", "node", "r", "c"), ["source", "node", "r", "c"], "left_semi")
         parents = link if parents is None else parents.unionByName(link)
         labels = labels.unionByName(level)
-    raise NoFixpoint("frontier did not settle")
 
 
 def tied_paths(labels: DataFrame, parents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -217,7 +208,7 @@ def tied_paths(labels: DataFrame, parents: DataFrame, targets: DataFrame) -> Dat
     front = labels.join(targets.select("node"), "node", "left_semi").select(
         "source", F.col("node").alias("target"), F.col("r").alias("tr"), F.col("c").alias("tc"), "node", "r", "c", F.array("node").alias("path"))
     done = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         home = front.where("node = source and r = 0 and c = 0").select("source", "target", "tr", "tc", "path")
         done = home if done is None else done.unionByName(home)
         front = front.where("not (node = source and r = 0 and c = 0)")
@@ -226,7 +217,6 @@ def tied_paths(labels: DataFrame, parents: DataFrame, targets: DataFrame) -> Dat
         j = front.join(parents, ["source", "node", "r", "c"])
         front = cut_lineage(j.select("source", "target", "tr", "tc", F.col("pnode").alias("node"), F.col("pr").alias("r"), F.col("pc").alias("c"),
                                      F.concat(F.array("pnode"), "path").alias("path")))
-    raise NoFixpoint("path walk did not end")
 
 
 def path_metric(steps: DataFrame, path: Sequence[str], seq: str, node: str, line: str, chunk: Column, prior: DataFrame, metric: str) -> DataFrame:

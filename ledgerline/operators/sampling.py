@@ -50,8 +50,11 @@ def target_masks(df: DataFrame, key: Column, targets: Sequence[str], share: floa
     return df.withColumns({f"mask_{t}": hashing.unit_interval(F.concat(F.lit(f"{t}|"), key)) < share for t in targets})
 
 
-def poisson_weight(key: Column, seed: str | Column, upto: int = 12) -> Column:
-    """Poisson(1) count from a hash-uniform number by inverse distribution."""
+def poisson_weight(key: Column, seed: str | Column, upto: int = 20) -> Column:
+    """Poisson(1) count from a hash-uniform number by inverse distribution.
+
+    The chance of more than 20 is below the resolution of the hash number.
+    """
     u = hashing.unit_interval(F.concat(F.lit(seed) if isinstance(seed, str) else seed, F.lit("|"), key))
     total, term, w = 0.0, math.exp(-1.0), F.lit(0)
     for k in range(upto):

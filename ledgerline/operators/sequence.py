@@ -156,10 +156,11 @@ def complete_corridor(events: DataFrame, trip: str, pos: str, value: str, lo: in
     """Fills every corridor position of each trip.
 
     Between two observed stops by linear interpolation, outside them by the per-edge
-    run time; observed stops stay as they are. A trip has at most hi-lo+1 positions,
-    so the whole trip is one small ordered group.
+    run time; observed stops stay as they are, those beyond ``lo..hi`` too, which widen
+    their trip's range. The positions of one trip are one small ordered group.
     """
-    grid = events.select(trip).distinct().withColumn(pos, F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))))
+    reach = events.groupBy(trip).agg(F.least(F.lit(lo), F.min(pos)).cast("bigint").alias("__lo"), F.greatest(F.lit(hi), F.max(pos)).cast("bigint").alias("__hi"))
+    grid = reach.select(trip, F.explode(F.sequence("__lo", "__hi")).alias(pos))
     x = grid.join(events, [trip, pos], "left")
     x = x.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
     x = skew.chunked(x, [trip], [pos], None, known={"__a": ("__k", False, False), "__b": ("__k", True, False)})

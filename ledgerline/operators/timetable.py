@@ -166,6 +166,10 @@ def bootstrap_kernels(pairs: DataFrame, cohort: str, gaps: dict[str, str], mass:
     return spark.createDataFrame(rows, "round int, factor string, median double, sigma double")
 
 
+#: Departures of one block of the hazard fold: skip ** -block stays far from overflow for skips from 0.001.
+HAZARD_BLOCK = 64
+
+
 def schedule_scan(rides: DataFrame, cohorts: DataFrame, keys: Sequence[str], shifts: Sequence[int], horizon: int, median: float, sigma: float) -> DataFrame:
     """Log-likelihood of candidate departure times around each ride and the best one.
 
@@ -185,11 +189,22 @@ def schedule_scan(rides: DataFrame, cohorts: DataFrame, keys: Sequence[str], shi
 def hazard_scores(pairs: DataFrame, cohort: str, gap: str, order: str, median: float, sigma: float, skip: float) -> DataFrame:
     """Boarding probability of each candidate when the rider may have let earlier ones pass.
 
-    P_j = (1-skip) * sum_i (F_i - F_{i-1}) * skip^(j-i) over the departures i <= j since the
-    ready time, as a running sum over the few departures of a cohort's window.
+    P_j = (1-skip) * s_j with s_j = skip * s_(j-1) + (F_j - F_(j-1)) over the departures
+    since the ready time. The fold runs in blocks of HAZARD_BLOCK departures, inside which
+    powers of ``skip`` stay finite, and the end value of a block decays into the next.
     """
     x = pairs.withColumns({"cdf": dist.lognormal_cdf(F.col(gap), F.lit(median), F.lit(sigma)), "__one": F.lit(1).cast("bigint")})
     x = skew.chunked(x, [cohort], [gap, order], None, near={"__p": (["cdf"], False)}, folds={"__j": ("sum", "__one", False)})
-    x = x.withColumn("__t", F.greatest(F.lit(0.0), F.col("cdf") - F.coalesce("__p.cdf", F.lit(0.0))) * F.pow(F.lit(skip), -F.col("__j")))
-    x = skew.running(x, [cohort], [gap, order], None, {"__s": ("sum", "__t")})
-    return x.withColumn("boarding", (1.0 - skip) * F.pow(F.lit(skip), F.col("__j")) * F.col("__s")).drop("__one", "__p", "__j", "__t", "__s", "cdf")
+    x = x.withColumns({"__b": F.floor((F.col("__j") - 1) / HAZARD_BLOCK).cast("bigint"), "__i": (F.col("__j") - 1) % HAZARD_BLOCK + 1,
+                       "__d": F.greatest(F.lit(0.0), F.col("cdf") - F.coalesce("__p.cdf", F.lit(0.0)))})
+    x = skew.running(x.withColumn("__t", F.col("__d") * F.pow(F.lit(skip), -F.col("__i"))), [cohort, "__b"], [gap, order], None, {"__s": ("sum", "__t")})
+    x = x.withColumn("__s", F.pow(F.lit(skip), F.col("__i")) * F.col("__s"))
+    ends = x.groupBy(cohort, "__b").agg(F.max_by("__s", F.struct("__i")).alias("e"), F.max("__i").alias("n"))
+    blocks = ends.groupBy(cohort).agg(F.array_sort(F.collect_list(F.struct(F.col("__b").alias("b"), "e", "n"))).alias("ends"))
+    # value carried into each block: one entry per block of a cohort's window
+    fold = F.aggregate("ends", F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("into")),
+                       lambda acc, y: F.struct((acc["v"] * F.pow(F.lit(skip), y["n"]) + y["e"]).alias("v"), F.concat(acc["into"], F.array(acc["v"])).alias("into")), lambda acc: acc["into"])
+    carried = blocks.select(cohort, F.posexplode(fold).alias("__b", "__into")).withColumn("__b", F.col("__b").cast("bigint"))
+    x = x.join(carried, [cohort, "__b"])
+    return x.withColumn("boarding", (1.0 - skip) * (F.col("__s") + F.col("__into") * F.pow(F.lit(skip), F.col("__i")))).drop(
+        "__one", "__p", "__j", "__t", "__s", "cdf", "__b", "__i", "__d", "__into")

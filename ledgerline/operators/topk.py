@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from ledgerline import skew
 from ledgerline.session import cut_lineage
 
-MAX_ROUNDS = 200
-
-
-class NoFixpoint(RuntimeError):
-    """An iteration did not settle within its round cap."""
-
 
 def best_per_group(df: DataFrame, keys: Sequence[str], rank: Sequence[Column]) -> DataFrame:
     """The row with the smallest rank per key, as a map-side combined aggregate. ``rank`` must be a total order."""
@@ -52,7 +46,7 @@ def suppress(df: DataFrame, keys: Sequence[str], position: str, rank: Sequence[C
     span = Window.partitionBy(*keys, "__chunk").orderBy(position).rangeBetween(-reach, reach)
     open_rows = df.withColumn("__rank", F.struct(*rank))
     kept = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         h = skew.halo(open_rows, position, 2 * reach, max(width, 2 * reach))
         h = h.withColumn("__win", F.min("__rank").over(span) == F.col("__rank"))
         h = h.withColumn("__hit", F.max("__win").over(span))
@@ -62,7 +56,6 @@ def suppress(df: DataFrame, keys: Sequence[str], position: str, rank: Sequence[C
         open_rows = done.where("not __hit").select(*cols, "__rank")
         if open_rows.isEmpty():
             return kept
-    raise NoFixpoint(f"suppression still open after {MAX_ROUNDS} rounds")
 
 
 def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str, rank: Sequence[Column]) -> DataFrame:
@@ -74,7 +67,7 @@ def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str,
     cols = pairs.columns
     open_pairs = pairs.withColumn("__rank", F.struct(*rank))
     kept = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         l = open_pairs.groupBy(*group, left).agg(F.min("__rank").alias("__lb"))
         r = open_pairs.groupBy(*group, right).agg(F.min("__rank").alias("__rb"))
         x = open_pairs.join(l, [*group, left]).join(r, [*group, right])
@@ -84,7 +77,6 @@ def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str,
                                  .join(won.select(*group, right), [*group, right], "left_anti").select(*cols, "__rank"))
         if open_pairs.isEmpty():
             return kept
-    raise NoFixpoint(f"matching still open after {MAX_ROUNDS} rounds")
 
 
 def reject_ties(df: DataFrame, keys: Sequence[str], score: str, direction: str) -> DataFrame:

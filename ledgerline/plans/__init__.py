@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 from ledgerline.registry import REGISTRY, Query
 
@@ -13,6 +12,5 @@ MODULES = ["flagship", "sources", "contracts", "joins", "aggregates", "sequence"
 
 def load() -> dict[str, Query]:
     for name in MODULES:
-        if importlib.util.find_spec(f"{__name__}.{name}") is None: continue
         importlib.import_module(f"{__name__}.{name}")
     return dict(REGISTRY)

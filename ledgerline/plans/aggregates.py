@@ -9,6 +9,7 @@ from ledgerline.operators import aggregates as A
 from ledgerline.operators import quantiles as Q
 from ledgerline.plans.views import OD, RIDERS, TAPS, od, riders, taps
 from ledgerline.registry import query
+from ledgerline.session import cut_lineage
 
 
 @query("A01_group_sum", f"WITH {OD} SELECT slot, origin, destination, sum(flow)::BIGINT AS flow FROM od GROUP BY ALL")
@@ -311,16 +312,16 @@ def _(t):
     return j.groupBy("o_orderpriority").agg(F.round(A.weighted_mean("routes", "o_totalprice") - 1, 6).alias("inflation"))
 
 
-ZONES_SQL = """zones AS (SELECT * FROM (SELECT o_custkey AS zone, sum(o_totalprice) AS p, count(*)::DOUBLE AS a, min(o_custkey%13)::DOUBLE AS x, min(o_custkey%17)::DOUBLE AS y FROM orders GROUP BY 1) ORDER BY p DESC, zone LIMIT 200),
+ZONES_SQL = """zones AS MATERIALIZED (SELECT * FROM (SELECT o_custkey AS zone, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS p, count(*)::DOUBLE AS a, min(o_custkey%13)::DOUBLE AS x, min(o_custkey%17)::DOUBLE AS y FROM orders GROUP BY 1) ORDER BY p DESC, zone LIMIT 200),
  g AS (SELECT i.zone AS origin, j.zone AS destination, sqrt(pow(i.x-j.x,2)+pow(i.y-j.y,2)) AS d, CASE WHEN i.zone=j.zone THEN 0 ELSE i.p*j.a*exp(-0.1::DOUBLE*sqrt(pow(i.x-j.x,2)+pow(i.y-j.y,2))) END AS raw FROM zones i, zones j),
- prior AS (SELECT origin, destination, d AS distance, raw/(SELECT sum(raw) FROM g) AS prior FROM g)"""
+ prior AS (SELECT origin, destination, d AS distance, raw/sum(raw) OVER () AS prior FROM g)"""
 
 
 def zones(t):
     c = F.col("o_custkey")
-    z = t.orders.groupBy(c.alias("zone")).agg(F.sum("o_totalprice").alias("p"), F.count(F.lit(1)).cast("double").alias("a"),
+    z = t.orders.groupBy(c.alias("zone")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("a"),
                                              F.min(c % 13).cast("double").alias("x"), F.min(c % 17).cast("double").alias("y"))
-    return z.orderBy(F.desc("p"), "zone").limit(200)
+    return cut_lineage(z.orderBy(F.desc("p"), "zone").limit(200))
 
 
 @query("A32_gravity_prior", f"WITH {ZONES_SQL} SELECT origin, destination, round(distance,6) AS distance, round(prior*1e6,6) AS prior_ppm FROM prior")

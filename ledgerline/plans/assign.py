@@ -60,7 +60,7 @@ def timetable(t):
 
 @staged
 def evaluated(t):
-    return B.earliest_chains(cohorts(t), routes(t), timetable(t), MONTH_S, 2)
+    return B.earliest_chains(cohorts(t), routes(t), timetable(t), MONTH_S)
 
 
 def chosen(t):
@@ -124,7 +124,7 @@ POST = f"""{RIDES}, {RIDERS}, {ROUTES}, rd AS (SELECT *, 10.0::DOUBLE + ride_id%
 @staged
 def scored(t):
     r = rides(t).withColumn("sd", F.lit(10.0) + F.col("ride_id") % 20)
-    return B.scored_chains(cohorts(t), routes(t), r, KERNELS, 8, clocks.DAY_S, 2)
+    return B.scored_chains(cohorts(t), routes(t), r, KERNELS, 8, clocks.DAY_S)
 
 
 @staged

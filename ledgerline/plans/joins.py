@@ -217,7 +217,7 @@ WITH d AS (SELECT p_partkey, p_name||' '||p_brand AS nm FROM part), n AS (SELECT
  u AS (SELECT name_key, min(p_partkey) AS partkey FROM n GROUP BY 1 HAVING count(DISTINCT p_partkey)=1)
 SELECT n.p_partkey, u.partkey AS matched FROM n LEFT JOIN u USING (name_key)""")
 def _(t):
-    d = t.part.select("p_partkey", text.normalized_name(F.concat_ws(" ", "p_name", "p_brand")).alias("name_key"))
+    d = t.part.select("p_partkey", text.normalized_name(F.concat_ws(" ", "p_name", "p_brand"), stop_words=("station", "terminal", "cta", "line", "l")).alias("name_key"))
     u = J.unambiguous(d, "name_key", "p_partkey").withColumnRenamed("p_partkey", "matched")
     return d.join(u, "name_key", "left").select("p_partkey", "matched")
 

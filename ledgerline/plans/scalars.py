@@ -53,13 +53,18 @@ def _(t):
                          text.code4(F.col("p_brand")).alias("brand_code"))
 
 
+# Fixed values of this query: spellings and stop words of its names.
+SPELLINGS = {"&": "and", "ohare": "o hare", "harlem lake": "harlem"}
+STOP_WORDS = ("station", "terminal", "cta", "line", "l")
+
+
 @query("F02_name_normaliser", """
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
   replace(replace(replace(lower(url),'&','and'),'ohare','o hare'),'harlem lake','harlem'),
   '\\([^)]*\\)',' ','g'), '\\b(station|terminal|cta|line|l)\\b',' ','g'),'[^a-z0-9]+','','g') AS name_key
 FROM pages""")
 def _(t):
-    return t.pages.select("page_id", text.normalized_name(F.col("url")).alias("name_key"))
+    return t.pages.select("page_id", text.normalized_name(F.col("url"), SPELLINGS, STOP_WORDS).alias("name_key"))
 
 
 @query("F03_token_parse", """

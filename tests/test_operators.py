@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerline import skew
 from ledgerline.functions import clocks, dist, text
+from ledgerline.operators import assign as B
+from ledgerline.operators import audit as V
 from ledgerline.operators import contracts as C
 from ledgerline.operators import graph as N
 from ledgerline.operators import sequence as S
@@ -230,3 +232,83 @@ def test_nothing_keeps_the_card_key(spark):
     ev = spark.createDataFrame([(5, 10 ** 6, 1, 1, 3), (5, 2 * 10 ** 6, 2, 0, 4)], "user_id int, us long, seq int, status int, station int")
     p = S.pair_entry_exit(ev, "user_id", ["us", "seq"], "us", "status", ["station"], skew.span("us", 10 ** 6))
     assert "user_id" not in p.columns and p.count() == 1
+
+
+def best_links(arrivals, departures, least, most):
+    """Most links and their least total gap, over all matchings."""
+    states = {(frozenset(), 0): 0}
+    for a in arrivals:
+        for (used, links), gap in list(states.items()):
+            for j, d in enumerate(departures):
+                if j not in used and least <= d - a <= most:
+                    key = (used | {j}, links + 1)
+                    states[key] = min(states.get(key, 10**9), gap + d - a)
+    top = max(links for _, links in states)
+    return top, min(g for (_, links), g in states.items() if links == top)
+
+
+def test_turnback_links_reach_the_objective(spark):
+    rng = random.Random(5)
+    arrivals, departures, want = [], [], {}
+    for key in range(40):
+        a = [rng.randrange(0, 60) for _ in range(rng.randrange(0, 6))]
+        d = [rng.randrange(0, 60) for _ in range(rng.randrange(0, 6))]
+        arrivals += [(key, 100 * key + i, t) for i, t in enumerate(a)]
+        departures += [(key, 100 * key + 50 + i, t) for i, t in enumerate(d)]
+        want[key] = best_links(a, d, 2, 12)
+    arrivals += [(99, 1, 0), (99, 2, 100)]
+    departures += [(99, 3, 300)]
+    ddl = "key int, id long, at long"
+    out = V.turnback_links(spark.createDataFrame(arrivals, ddl), spark.createDataFrame(departures, ddl), ["key"], 2, 12, 20.0).collect()
+    for key, (links, gap) in want.items():
+        own = [r for r in out if r.key == key]
+        assert (len(own), sum(r.gap for r in own)) == (links, gap)
+        assert len({r.arrival for r in own}) == len({r.departure for r in own}) == links and all(2 <= r.gap <= 12 for r in own)
+    late = V.turnback_links(spark.createDataFrame(arrivals[-2:], ddl), spark.createDataFrame(departures[-1:], ddl), ["key"], 120, 1000, 5000.0).first()
+    assert (late.arrival, late.gap) == (2, 200)  # the later arrival waits less
+
+
+def test_routes_of_any_length_keep_their_cohorts(spark):
+    legs = [(0, 9, r, n, k + 1, a, b) for r, path in ((1, [0, 9]), (2, [0, 1, 2, 9]), (3, [0, 1, 2, 3, 4, 9])) for n in [len(path) - 1] for k, (a, b) in enumerate(zip(path, path[1:], strict=False))]
+    legs.append((0, 9, 4, 2, 1, 0, 1))  # its second leg is missing
+    routes = spark.createDataFrame(legs, "from_station int, to_station int, route_rank int, legs int, leg_no int, leg_from int, leg_to int")
+    edges = sorted({(x[5], x[6]) for x in legs} - {(0, 9)})
+    rides = spark.createDataFrame([(100 * i + k, a, b, t, t + 50) for i, (a, b) in enumerate(edges) for k, t in enumerate(range(100, 2000, 100))],
+                                  "ride_id long, from_station int, to_station int, dep long, arr long")
+    cohorts = spark.createDataFrame([(1, 0, 9, 50, 1900), (2, 0, 9, 50, 400)], "cohort long, from_station int, to_station int, entry long, exit long")
+    out = {(r.cohort, r.route_rank): r.reason for r in B.earliest_chains(cohorts, routes, rides, 1000.0).collect()}
+    assert len(out) == 8
+    assert out[1, 1] == "FIRST_LEG_NO_SERVICE" and out[1, 4] == "ROUTE_HAS_NO_RIDE_LEGS"
+    assert [out[1, k] for k in (2, 3)] == ["FEASIBLE_COMPLETE_CHAIN"] * 2 and out[2, 3] == "FINAL_EGRESS_HORIZON"
+
+
+def test_csv_values_that_do_not_fit_fail(spark, tmp_path):
+    for name, text_, bad in (("good", "a,b\n1,2.5\n,\n 7 ,3\n", False), ("fraction", "a,b\n2.5,1\n", True), ("word", "a,b\nx,1\n", True), ("number", "a,b\n1,x\n", True)):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(text_)
+        df = RD.read_csv(spark, str(path), "a bigint, b double")
+        if bad:
+            with pytest.raises(Exception, match="not a value of type"):
+                df.collect()
+        else:
+            assert [tuple(r) for r in df.collect()] == [(1, 2.5), (None, None), (7, 3.0)]
+    with pytest.raises(C.ContractError):
+        RD.read_csv(spark, str(tmp_path / "good.csv"), "a bigint, c string")
+    assert RD.read_csv(spark, str(tmp_path / "good.csv"), "a bigint, c string", optional=["c"]).where("c is null").count() == 3
+
+
+def test_hazard_of_many_departures_stays_finite(spark):
+    pairs = spark.range(1000).select(F.lit(1).alias("cohort"), (F.col("id") + 1).cast("double").alias("gap"), F.col("id").alias("order"))
+    got = [r.boarding for r in TT.hazard_scores(pairs, "cohort", "gap", "order", np.log(200.0), 0.8, 0.2).orderBy("gap").collect()]
+    cdf = [r[0] for r in pairs.orderBy("gap").select(dist.lognormal_cdf(F.col("gap"), F.lit(float(np.log(200.0))), F.lit(0.8))).collect()]
+    s, before = 0.0, 0.0
+    for value, c in zip(got, cdf, strict=True):
+        s = 0.2 * s + max(0.0, c - before)
+        before = c
+        assert value == pytest.approx(0.8 * s, rel=1e-9, abs=1e-15)
+
+
+def test_corridor_keeps_stops_beyond_its_range(spark):
+    ev = spark.createDataFrame([(1, -2, 10), (1, 3, 20)], "trip long, pos long, t long")
+    out = S.complete_corridor(ev, "trip", "pos", "t", 0, 2, 5.0)
+    assert sorted(r.pos for r in out.collect()) == [-2, -1, 0, 1, 2, 3] and out.where("pos = -2 and filled = 10").count() == 1
