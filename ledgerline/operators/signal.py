@@ -18,6 +18,7 @@ from ledgerline.operators import aggregates as A
 from ledgerline.operators import joins as J
 from ledgerline.operators import quantiles as Q
 from ledgerline.operators import topk as K
+from ledgerline.session import cut_lineage
 
 CHUNK_BINS = 4096
 
@@ -250,9 +251,10 @@ def complete_upstream(anchors: DataFrame, found: DataFrame, steps: Sequence[tupl
                       tolerance: float, min_progress: float, width: float) -> DataFrame:
     """Walks each terminal anchor upstream edge by edge.
 
-    ``steps`` lists (upstream station, downstream station, lag); a path has a few
-    dozen edges. At each step all anchors look up their nearest pulse at once; without a
-    match the predicted time stands and the variance grows.
+    ``steps`` lists (upstream station, downstream station, lag). At each step all anchors
+    look up their nearest pulse at once; without a match the predicted time stands and the
+    variance grows. A step is a written table, so that the plan does not grow with the
+    path, and its time line is cut into chunks of ``width`` seconds.
     """
     cur = anchors.select("root", F.col(time).alias("t"), F.lit(0.0).alias("var"))
     out = cur.select("root", F.lit(0).alias("step"), F.lit(steps[0][1]).cast("int").alias(station), F.col("t"), F.lit(True).alias("observed"), F.lit(0.0).alias("sd"))
@@ -261,7 +263,7 @@ def complete_upstream(anchors: DataFrame, found: DataFrame, steps: Sequence[tupl
         q = cur.select("root", "t", "var", F.lit(1).alias("__k"), (F.col("t") - lag).alias("pred"), (F.col("t") - min_progress).alias("ub"))
         q = J.nearest(q, here, ["__k"], "pred", "pt", [], tolerance, width, "hit", tie=["neg"], upper="ub")
         hit = F.col("hit").isNotNull() & (F.col("pred") >= 0)
-        cur = q.select("root", F.when(hit, F.col("hit.pt")).otherwise(F.col("pred")).alias("t"), F.when(hit, F.col("var")).otherwise(F.col("var") + 45.0 ** 2).alias("var"), hit.alias("observed"))
+        cur = cut_lineage(q.select("root", F.when(hit, F.col("hit.pt")).otherwise(F.col("pred")).alias("t"), F.when(hit, F.col("var")).otherwise(F.col("var") + 45.0 ** 2).alias("var"), hit.alias("observed")))
         out = out.unionByName(cur.select("root", F.lit(n).alias("step"), F.lit(up).cast("int").alias(station), "t", "observed",
                                          F.when(F.col("observed"), F.lit(20.0)).otherwise(F.greatest(F.lit(60.0), F.sqrt("var"))).alias("sd")))
         cur = cur.drop("observed")

@@ -311,7 +311,7 @@ UNION ALL SELECT root, 2, 1, t2, o2, CASE WHEN o2 THEN 20.0 ELSE round(greatest(
 def _(t):
     p = pulses(t).select("station", (F.col("bin") * 300.0).alias("s"), "score")
     anchors = p.where("station = 3").select(F.concat(F.lit("r"), F.floor(F.col("s") / 300).cast("string")).alias("root"), "s")
-    c = G.complete_upstream(anchors, p, [(2, 3, 600.0), (1, 2, 900.0)], "station", "s", "score", 900.0, 30.0, 86400.0)
+    c = G.complete_upstream(anchors, p, [(2, 3, 600.0), (1, 2, 900.0)], "station", "s", "score", 900.0, 30.0, 3600.0)
     return c.withColumn("sd", F.round("sd", 6))
 
 

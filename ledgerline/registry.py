@@ -48,13 +48,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-_STAGED: dict[tuple[str, str, str], object] = {}
+_STAGED: dict[tuple, object] = {}
+
+
+def _state(t: Tables) -> tuple:
+    """Names, sizes and times of the entries of a table folder: another state makes shared results anew."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(t.sf_dir)
+    entries = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries))
 
 
 def staged(fn: Callable[[Tables], object]):
-    """Materialises a result that several queries read, once per application and table folder."""
+    """Materialises a result that several queries read, once per application and state of the table folder."""
     def once(t: Tables):
-        key = (t.spark.sparkContext.applicationId, t.sf_dir, f"{fn.__module__}.{fn.__name__}")
+        key = (t.spark.sparkContext.applicationId, t.sf_dir, _state(t), f"{fn.__module__}.{fn.__name__}")
         if key not in _STAGED:
             out = fn(t)
             _STAGED[key] = tuple(cut_lineage(d) for d in out) if isinstance(out, tuple) else cut_lineage(out)

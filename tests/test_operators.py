@@ -312,3 +312,20 @@ def test_corridor_keeps_stops_beyond_its_range(spark):
     ev = spark.createDataFrame([(1, -2, 10), (1, 3, 20)], "trip long, pos long, t long")
     out = S.complete_corridor(ev, "trip", "pos", "t", 0, 2, 5.0)
     assert sorted(r.pos for r in out.collect()) == [-2, -1, 0, 1, 2, 3] and out.where("pos = -2 and filled = 10").count() == 1
+
+
+def test_upstream_completion_over_thirty_edges(spark):
+    rng = random.Random(8)
+    steps = [(29 - k, 30 - k, 100.0) for k in range(30)]
+    pulses = [(s, float(rng.randrange(0, 8000)), rng.random()) for s in range(30) for _ in range(6)]
+    anchors = [("a", 5000.0), ("b", 7777.0), ("c", 900.0)]
+    out = G.complete_upstream(spark.createDataFrame(anchors, "root string, s double"), spark.createDataFrame(pulses, "station int, s double, score double"),
+                              steps, "station", "s", "score", 60.0, 30.0, 500.0)
+    want = set()
+    for root, t in anchors:
+        want.add((root, 0, 30, t, True))
+        for n, (up, _, lag) in enumerate(steps, start=1):
+            near = [(abs(p - (t - lag)), -w, p) for s, p, w in pulses if s == up and p <= t - 30 and abs(p - (t - lag)) <= 60 and t - lag >= 0]
+            t = min(near)[2] if near else t - lag
+            want.add((root, n, up, t, bool(near)))
+    assert {(r.root, r.step, r.station, r.t, r.observed) for r in out.collect()} == want
