@@ -4,8 +4,8 @@
    Every row has a sparse random index vector; a row's context vector is the sum of the
    index vectors of all its neighbours in the corpus, counted in integers per task and
    summed by Spark, so that it covers every document and is the same in every run.
-2. A document is pooled from the vectors of its words: mean, spread, length of the mean
-   and number of words. Labels, language, source and id are not seen.
+2. A document is pooled from the vectors of its words: mean, spread, likeness of neighbours,
+   length of the mean and number of words. Labels, language, source and id are not seen.
 3. A two-layer numpy network learns from a bounded sample of labelled rows on the driver;
    its logits are divided by a temperature fitted on rows it did not learn from.
 
@@ -25,16 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import require, shuffle_order
+from ledgerline.llm.common import require
 from ledgerline.llm.records import blocks_of
 from ledgerline.session import stage
 
 ROWS, DIM, NONZERO, SEED = 1 << 13, 32, 2, 20
-#: Labelled rows that the network learns from: those that come first in an order fixed by their ids.
+#: Labelled rows that the network learns from: about as many, those that come first in an order fixed by their contents.
 SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 256, 3e-3, 1e-4
 CACHE_WORDS = 500_000
-FEATURES = 2 * DIM + 2
+#: Words at which a document's pooled features count half.
+SHRINK = 8
+FEATURES = 2 * DIM + 3
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 
 
@@ -109,11 +111,23 @@ def pool(vectors: np.ndarray, texts: Sequence[bytes | None]) -> np.ndarray:
         square = np.add.reduceat(v * v, starts[full], axis=0) / n
         out[full, :DIM] = mean
         out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean * mean, 0))
+        alike = np.zeros(len(rows), dtype=np.float32)
+        alike[:-1] = np.einsum("ij,ij->i", v[:-1], v[1:])
+        alike[ends[full] - 1] = 0  # a text's last word has no neighbour
+        out[full, -3] = np.add.reduceat(alike, starts[full]) / np.maximum(n[:, 0] - 1, 1)
         out[full, -2] = np.linalg.norm(mean, axis=1)
         out[full, -1] = np.log1p(n[:, 0])
     return out
 
 
+def standardised(x: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Inputs of the network; what few words say is drawn towards the average document."""
+    z = (x - center) / scale
+    words = np.expm1(x[:, -1:])
+    z[:, :-1] *= words / (words + SHRINK)
+    return z
+
+
 @dataclass
 class Network:
     """Standardised inputs, one hidden layer, one logit and its temperature."""
@@ -127,7 +141,7 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.maximum((x - self.center) / self.scale @ self.w1 + self.b1, 0)
+        h = np.maximum(standardised(x, self.center, self.scale) @ self.w1 + self.b1, 0)
         return h @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -150,7 +164,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     x = x.astype(np.float64)
     center, scale = x[own].mean(axis=0), x[own].std(axis=0) + 1e-6
     net = Network(center, scale, rng.normal(0, np.sqrt(2 / FEATURES), (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), 0.0)
-    z = (x - center) / scale
+    z = standardised(x, center, scale)
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -218,8 +232,12 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: s
     kind = docs.schema[doc_id].dataType.simpleString()
     features = stage(rows.mapInArrow(_pooled(vectors), f"doc_id {kind}, held_out boolean, features binary"), "features")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(label_id).alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    sample = features.where(~F.col("held_out")).join(known, "doc_id").select("label", "features", shuffle_order(F.col("doc_id")).alias("place"), "doc_id")
-    sample = sample.orderBy("place", "doc_id", "features").limit(sample_rows).select("label", "features").collect()
+    labelled = stage(features.where(~F.col("held_out")).join(known, "doc_id").select(
+        "label", "features", F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 40)).alias("place")), "labelled")
+    share = min(1.0, sample_rows / max(1, labelled.count()))
+    # rows that repeat are one example; every task sends only its share
+    sample = labelled.where(F.col("place") < int(share * (1 << 40))).distinct().select("label", "features", "place").collect()
+    sample.sort(key=lambda r: (r[2], bytes(r[1]), r[0]))
     x = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.float32).reshape(-1, FEATURES)
     net = sc.broadcast(train(x, np.array([r[0] for r in sample], dtype=np.float64)))
     return vectors, net, features
@@ -231,7 +249,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     Held out are documents whose crc32 of the id as text leaves ``held_fold`` modulo
     ``folds`` (a null id counts as the empty text); only labels of the others are learnt
-    from, at most ``sample_rows``. An id with several labels counts as 1 if at least half
+    from, about ``sample_rows`` of them. An id with several labels counts as 1 if at least half
     of them are. Null and empty texts have zero features and get a score like any other;
     null labels are no labels. Equal rows score alike. Without labels every score is one
     half. An empty table gives no rows. Other columns are not read.
