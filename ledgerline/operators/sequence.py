@@ -7,6 +7,7 @@ a card, station or line holding a large part of all events is still spread.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -81,6 +82,34 @@ def barrier_pairs(df: DataFrame, user: str, time_s: str, seq: str, kind: str, fi
                                F.col(time_s).alias("exit_s"), F.col("__pos").alias("exit_pos"))
 
 
+@dataclass(frozen=True)
+class TransferRule:
+    """A transfer outside the gates: at one station, between pairs of lines, within a time and a range of days."""
+
+    station: int | str
+    line_pairs: Sequence[tuple[int | str, int | str]]
+    first_day: int
+    last_day: int | None = None
+    max_gap_s: int = MAX_STITCH_GAP_S
+
+
+def transfer_rule(rules: Sequence[TransferRule]) -> Callable[[Column, Column], Column]:
+    """Rule for ``stitch``: the exit and next entry are at one station, their lines are a pair of it in
+    either order, the gap is positive and within the rule's, and the day of the entry is in its range."""
+    table = [(r, tuple(p)) for r in rules for p in r.line_pairs]
+
+    def joins(prev: Column, cur: Column) -> Column:
+        gap, day = cur["entry_s"] - prev["exit_s"], F.floor(cur["entry_s"] / 86400)
+        hit = F.lit(False)
+        if table:
+            rows = F.array(*[F.struct(F.lit(r.station).alias("station"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(r.max_gap_s).alias("gap"), F.lit(r.first_day).alias("lo"),
+                                      F.lit(r.last_day).cast("int").alias("hi")) for r, (a, b) in table])
+            hit = F.exists(rows, lambda r: (r["station"] == cur["entry_station"]) & (gap <= r["gap"]) & (day >= r["lo"]) & (r["hi"].isNull() | (day <= r["hi"]))
+                           & (((r["a"] == prev["exit_line"]) & (r["b"] == cur["entry_line"])) | ((r["b"] == prev["exit_line"]) & (r["a"] == cur["entry_line"]))))
+        return (prev["exit_station"] == cur["entry_station"]) & (gap > 0) & F.coalesce(hit, F.lit(False))
+    return joins
+
+
 def stitch(segments: DataFrame, user: str, chunk: Column, rule: Callable[[Column, Column], Column], fields: Sequence[str]) -> DataFrame:
     """Journeys of consecutive segments that a transfer rule joins.
 

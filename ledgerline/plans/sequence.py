@@ -76,17 +76,20 @@ def _(t):
     return S.drop_blocked(x, x.where("event_type = 'error' and value > 150"), "user_id").select("event_id", "station")
 
 
+#: Two pairs of lines per station, half an hour apart at most, two days at every third; every fifth ends on a day.
+TRANSFERS = [S.TransferRule(s, [(s % 5, (s + 1) % 5), (s % 5, (s + 2) % 5)], 19723, 19740 if s % 5 == 0 else None, 172800 if s % 3 == 0 else S.MAX_STITCH_GAP_S) for s in range(23)]
+
+
 @query("W06_transitive_stitching", f"""
-WITH {BARRIER}, s1 AS (SELECT *, lag(exit_pos) OVER w AS pp, lag(exit_s) OVER w AS px, lag(exit_line) OVER w AS pl FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY entry_s, entry_pos)),
- s2 AS (SELECT *, CASE WHEN entry_s-px>0 AND entry_s-px<=28800 AND entry_line<>pl AND entry_pos=pp+1 THEN 0 ELSE 1 END AS nw FROM s1),
+WITH {BARRIER}, r AS (SELECT s AS station, s%5 AS a, (s+k)%5 AS b, CASE WHEN s%3=0 THEN 172800 ELSE 1800 END AS max_gap, CASE WHEN s%5=0 THEN 19740 ELSE 999999 END AS last_day FROM range(23) x(s), range(1,3) y(k)),
+ s1 AS (SELECT *, lag(exit_pos) OVER w AS pp, lag(exit_s) OVER w AS px, lag(exit_line) OVER w AS pl, lag(exit_station) OVER w AS pst FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY entry_s, entry_pos)),
+ s2 AS (SELECT *, CASE WHEN entry_s-px>0 AND pst=entry_station AND entry_pos=pp+1 AND EXISTS (SELECT 1 FROM r WHERE r.station=entry_station AND entry_s-px<=max_gap AND entry_s//86400 BETWEEN 19723 AND last_day
+   AND (pl, entry_line) IN ((a, b), (b, a))) THEN 0 ELSE 1 END AS nw FROM s1),
  s3 AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY entry_s, entry_pos ROWS UNBOUNDED PRECEDING) AS j FROM s2)
 SELECT arg_min(entry_station, entry_s) AS entry_station, arg_min(entry_line, entry_s) AS entry_line, min(entry_s) AS entry_s, arg_max(exit_station, exit_s) AS exit_station, arg_max(exit_line, exit_s) AS exit_line, max(exit_s) AS exit_s, count(*)-1 AS transfers
 FROM s3 GROUP BY user_id, j""")
 def _(t):
-    def rule(prev, cur):
-        gap = cur["entry_s"] - prev["exit_s"]
-        return (gap > 0) & (gap <= 28800) & (cur["entry_line"] != prev["exit_line"])
-    return S.stitch(segments(t), "user_id", skew.span("entry_s", clocks.DAY_S), rule, ["station", "line"])
+    return S.stitch(segments(t), "user_id", skew.span("entry_s", clocks.DAY_S), S.transfer_rule(TRANSFERS), ["station", "line"])
 
 
 @query("W07_representative_event", f"""

@@ -329,3 +329,18 @@ def test_upstream_completion_over_thirty_edges(spark):
             t = min(near)[2] if near else t - lag
             want.add((root, n, up, t, bool(near)))
     assert {(r.root, r.step, r.station, r.t, r.observed) for r in out.collect()} == want
+
+
+def test_transfer_rules(spark):
+    day = 19723 * 86400
+    seg = lambda user, k, start, station, line, end_station, end_line: (user, station, line, day + start, 2 * k, end_station, end_line, day + start + 600, 2 * k + 1)
+    rows = [seg(1, 0, 0, 1, 0, 7, 2), seg(1, 1, 1800, 7, 3, 9, 3), seg(1, 2, 3000, 9, 4, 5, 4),  # lines 2 and 3 meet at 7; nothing joins at 9
+            seg(2, 0, 0, 1, 0, 7, 3), seg(2, 1, 1800, 7, 2, 9, 2),  # the pair in the other order
+            seg(3, 0, 0, 1, 0, 7, 2), seg(3, 1, 2500, 7, 3, 9, 3),  # too late
+            seg(4, 0, 0, 1, 0, 7, 2), seg(4, 1, 1800, 8, 3, 9, 3),  # another station
+            seg(5, 0, 86400, 1, 0, 7, 2), seg(5, 1, 88200, 7, 3, 9, 3)]  # after the last day
+    ddl = "user_id long, entry_station int, entry_line int, entry_s long, entry_pos long, exit_station int, exit_line int, exit_s long, exit_pos long"
+    rule = S.transfer_rule([S.TransferRule(7, [(2, 3)], 19723, 19723)])
+    out = S.stitch(spark.createDataFrame(rows, ddl), "user_id", skew.span("entry_s", 86400), rule, ["station", "line"]).collect()
+    assert sorted((r.entry_station, r.exit_station, r.transfers) for r in out) == sorted(
+        [(1, 9, 1), (9, 5, 0), (1, 9, 1), (1, 7, 0), (7, 9, 0), (1, 7, 0), (8, 9, 0), (1, 7, 0), (7, 9, 0)])
