@@ -40,7 +40,7 @@ RECALL = 0.999999
 AGREEMENT = 0.6
 NODE_BLOCK, BUNDLE_BLOCK = 4096, 512
 ROWS_PER_TASK, BYTES_PER_TASK = 20_000, 8 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1 << 16
 _VALUES = TREES * DEPTH
 
 

@@ -33,7 +33,7 @@ ROWS, DIM, NONZERO, SEED = 1 << 13, 32, 2, 20
 #: Labelled rows that the network learns from: about as many, those that come first in an order fixed by their contents.
 SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 256, 3e-3, 1e-4
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1 << 16
 #: Words at which a document's pooled features count half.
 SHRINK = 8
 FEATURES = 2 * DIM + 3
@@ -70,7 +70,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = index_vectors()
     total = np.zeros(ROWS * DIM)
     for batch in batches:
-        for a, z in blocks_of(batch.column(0), 4 << 20):
+        for a, z in blocks_of(batch.column(0)):
             rows, ends = _rows_of(batch.column(0).slice(a, z - a).to_pylist())
             inside = np.ones(max(0, len(rows) - 1), dtype=bool)
             borders = ends[(ends > 0) & (ends < len(rows))] - 1
@@ -205,7 +205,7 @@ def _pooled(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, z in blocks_of(texts):
+            for a, z in blocks_of(texts, 1 << 18):
                 x = pool(shared.value, texts.slice(a, z - a).to_pylist())
                 kept = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, z - a) for c in kept], pa.array([r.tobytes() for r in x], pa.binary())], [*kept, "features"])
@@ -271,7 +271,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float, doc_id: str = "d
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.cast(batch.column(text), pa.binary())
-            for a, z in blocks_of(texts):
+            for a, z in blocks_of(texts, 1 << 18):
                 yield batch.slice(a, z - a).filter(pa.array(net.value.score(pool(vectors.value, texts.slice(a, z - a).to_pylist())) >= least))
 
     return docs.mapInArrow(good, docs.schema)

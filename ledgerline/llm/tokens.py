@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Entries of a worker's cache; it starts afresh beyond.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: White space next to white space, at an end, or other than a space and a line feed; control characters.
 _ODD = (r"[\x{00}-\x{09}\x{0B}-\x{1F}\x{7F}-\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]"
         r"|[ \n][ \n]|[ \n]\z|\A[ \n]")
