@@ -33,7 +33,7 @@ from ledgerline.llm.tokens import WordEncoder, loaded
 from ledgerline.session import fresh_path
 
 #: Text that goes to one file; a reader holds one file at a time.
-TEXT_PER_FILE = 48 << 20
+TEXT_PER_FILE = 24 << 20
 HAS_ID, WIDE = 1, 2
 _HEAD, _CRC, _PAYLOAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 FILES_PER_CHUNK = 10_000
