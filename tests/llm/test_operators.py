@@ -75,6 +75,27 @@ def test_shards_in_many_blocks_and_odd_rows(spark, odd, nothing):
     assert len(balanced) == 4 and max(r.b for r in balanced) - min(r.b for r in balanced) <= 5
 
 
+@pytest.mark.parametrize("parts", [[0.05], [0.3], [0.3, 0.05], [0.01] * 7])
+def test_shards_of_large_groups_over_many_blocks(spark, parts):
+    rest = [int(x) for x in np.random.default_rng(5).lognormal(6, 1.5, 4000)]
+    large = [int(p / (1 - sum(parts)) * sum(rest)) for p in parts]
+    rows = [(hashlib.sha256(str(i).encode()).digest(), b + 1) for i, b in enumerate(large + rest)]
+    groups = spark.createDataFrame(rows, "digest binary, bytes long")
+    out = sharding.balance(groups, 16, per_block=100).collect()
+    size, held = dict(rows), collections.Counter()
+    for r in out:
+        held[r.shard] += size[bytes(r.digest)]
+    total = sum(size.values())
+    assert len(out) == len(rows) and set(held) == set(range(16)) and sum(held.values()) == total
+    open_bytes, shards = total, 16
+    for b in sorted(size.values(), reverse=True):  # groups above a fair share of what is left
+        if b * shards <= open_bytes:
+            break
+        open_bytes, shards = open_bytes - b, shards - 1
+    assert max(held.values()) <= max(max(size.values()), 1.001 * total / 16)
+    assert min(held.values()) >= 0.999 * open_bytes / shards
+
+
 # 2. exact duplicates
 
 def test_exact_groups_recursion_and_parts(spark, documents, odd, nothing):
