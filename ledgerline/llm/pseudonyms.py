@@ -14,14 +14,29 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import require
 
-EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Stands before a separated card number with a right check digit while values are searched; AS_IS follows a text's own.
+MARK, AS_IS = "\ue000", "\ue001"
+EMAIL = rf"[A-Za-z0-9._%+{MARK}-]*[A-Za-z0-9][A-Za-z0-9._%+{MARK}-]*@[A-Za-z0-9{MARK}-]+(?:\.[A-Za-z0-9{MARK}-]+)*\.[A-Za-z]{{2,}}"
 IPV4 = r"(?<![0-9A-Za-z.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z]|\.\d)"
-DATE = r"(?<![0-9A-Za-z/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![0-9A-Za-z/-])"
+DATE = (r"(?<![0-9A-Za-z/-])(?:\d{4}-\d{2}-\d{2}(?![0-9A-SU-Za-su-z/-]|[Tt](?!\d\d))|\d{1,2}/\d{1,2}/\d{4}(?![0-9A-Za-z/-])"
+        r"|(?<!\d\.)\d{1,2}\.\d{1,2}\.\d{4}(?![0-9A-Za-z/-]|\.\d))")
 SSN = r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])(?:\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{13,19})(?![0-9A-Za-z])"
+#: 8 to 15 digits with little between them, written out because a look behind takes no repeated group.
+_TO_15 = r"[ .()-]{0,3}\d" * 8 + r"(?:[ .()-]{0,3}\d)?" * 7
+#: With a country code, at most as many groups as give 15 digits, and not on into a date; then an area in brackets; then forms of ten digits; then a leading 0.
+PHONE = (r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}"
+         r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!\d{4}-\d{2}-\d{2}(?!\d))\d{2,4}){1,4}(?<=\+" + _TO_15 + ")"
+         r"|\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?(?!\d{4}-\d{2}-\d{2}(?!\d))\d{2,4}){1,2}(?<=\(" + _TO_15 + ")"
+         r"|(?<!\d[.-])(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3}[ -]\d{4})(?![.-]\d)"
+         r"|(?<!\d[./-])0[1-9](?:\d{1,3}[ /-](?:\d{6,8}|\d{3,4}[ -]\d{3,5})|(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![./-]\d))(?![0-9A-Za-z])")
+SPACED_CARD = r"(?<![0-9A-Za-z])(?:\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![0-9A-Za-z])"
+PLAIN_CARD = r"(?<![0-9A-Za-z])\d{13,19}(?![0-9A-Za-z])"
+CARD = f"{SPACED_CARD}|{PLAIN_CARD}"
+MARKED_CARD = (rf"{MARK}(?:\d{{4}} {MARK}?\d{{4}} {MARK}?\d{{4}} {MARK}?\d{{1,7}}|\d{{4}}-{MARK}?\d{{4}}-{MARK}?\d{{4}}-{MARK}?\d{{1,7}}"
+               rf"|\d{{4}} \d{{6}} \d{{5}}|\d{{4}}-\d{{6}}-\d{{5}})(?![0-9A-Za-z])|{PLAIN_CARD}")
 KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What can hold a value, and the search in a text with marks. All but an address begin with one of a few characters.
+HOLDS, ANY = (f"(?:{EMAIL})|(?=[0-9(+{MARK}])(?:{'|'.join(f'(?:{p})' for p in (IPV4, DATE, SSN, PHONE, card))})" for card in (CARD, MARKED_CARD))
 
 ROUNDS = 8
 #: Dates that count: 1900-01-01 to 2099-12-31, 73,049 days = 17 x 4297.
@@ -114,18 +129,50 @@ def _canonical_ip(m: Column) -> Column:
     return F.regexp_like(m, F.lit(r"^(?:(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])(?:\.|$)){4}(?<!\.)$"))
 
 
+def _date_parts(m: Column) -> tuple[Column, Column, Column]:
+    """The parts of a date with slashes or dots, if the day stands first in it, and if it is none of these but in ISO form.
+
+    With slashes the month is first if both orders fit, with dots the day.
+    """
+    part = F.split(m, "[/.]")
+    a, b = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+    return part, F.when(m.contains("/"), a.cast("int") > 12).otherwise(b.cast("int") <= 12), m.contains("-")
+
+
 def _date_of(m: Column) -> Column:
-    """The date, or null: year first, or month and day in the order that fits, month first if both do."""
-    d = lambda text: F.try_to_date(text, "yyyy-MM-dd")
-    part = F.split(m, "/")
-    iso = F.concat_ws("-", part[2], F.when(part[0].cast("int") > 12, part[1]).otherwise(part[0]), F.when(part[0].cast("int") > 12, part[0]).otherwise(part[1]))
-    return d(F.when(m.contains("/"), iso).otherwise(m))
+    """The date, or null."""
+    part, day_first, iso = _date_parts(m)
+    a, b = (F.lpad(F.get(part, F.lit(i)), 2, "0") for i in (0, 1))
+    written = F.concat_ws("-", F.get(part, F.lit(2)), F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b))
+    return F.try_to_date(F.when(iso, m).otherwise(written), "yyyy-MM-dd")
 
 
 def _date_like(m: Column, date: Column) -> Column:
-    iso = F.date_format(date, "yyyy-MM-dd")
-    day_first = F.split(m, "/")[0].cast("int") > 12
-    return F.when(~m.contains("/"), iso).when(day_first, F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "MM/dd/yyyy"))
+    """A date in the writing of another: its order, its separator, and zeros in front where it shows them or can have none."""
+    part, day_first, iso = _date_parts(m)
+    a, b = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+    shown = lambda x, own, other: F.when((F.length(own) == 2) & (own.startswith("0") | (F.length(other) == 2)), F.lpad(x, 2, "0")).otherwise(x)
+    day, month = F.dayofmonth(date).cast("string"), F.month(date).cast("string")
+    sep = F.when(m.contains("/"), "/").otherwise(".")
+    first, second = F.when(day_first, day).otherwise(month), F.when(day_first, month).otherwise(day)
+    return F.when(iso, F.date_format(date, "yyyy-MM-dd")).otherwise(
+        F.concat(shown(first, a, b), sep, shown(second, b, a), sep, F.year(date).cast("string")))
+
+
+def _checks(digits: Column) -> Column:
+    return (luhn_sum(digits) % 10 == 0) & ~F.regexp_like(digits, F.lit("^(.)\\1*$"))
+
+
+def marked(t: Column) -> Column:
+    """The text with MARK before every separated card number that is valid, wherever others begin before it."""
+    text = F.concat(F.lit(" "), F.replace(t, F.lit(MARK), F.lit(MARK + AS_IS)))  # no number at the very start: one piece more than numbers
+    valid = F.transform(F.regexp_extract_all(text, F.lit(f"(?=({SPACED_CARD}))"), F.lit(1)), lambda c: F.when(_checks(F.regexp_replace(c, "[^0-9]", "")), MARK).otherwise(""))
+    joined = F.array_join(F.zip_with(F.split(text, f"(?={SPACED_CARD})", -1), F.concat(F.array(F.lit("")), valid), lambda piece, mark: F.concat(mark, piece)), "")
+    return F.substring(joined, F.lit(2), F.length(joined))
+
+
+def unmarked(t: Column) -> Column:
+    return F.replace(F.regexp_replace(t, f"{MARK}(?!{AS_IS})", ""), F.lit(MARK + AS_IS), F.lit(MARK))
 
 
 def kind_of(m: Column) -> Column:
@@ -138,7 +185,7 @@ def kind_of(m: Column) -> Column:
             .when(whole("date"), F.when(day.between(0, DAYS[0] * DAYS[1] - 1), "date"))
             .when(whole("ssn"), F.when(~F.regexp_like(m, F.lit(NO_AREA)), "ssn"))
             .when(whole("phone"), F.when(F.length(digits).between(8, 15), "phone"))
-            .when(whole("card"), F.when((luhn_sum(digits) % 10 == 0) & ~F.regexp_like(digits, F.lit("^(.)\\1*$")), "card")))
+            .when(whole("card"), F.when(_checks(digits), "card")))
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -172,8 +219,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with valid values in their texts replaced, and the columns ``values`` (found) and ``kinds``.
 
     Found are mail addresses (the local part is replaced), IPv4 addresses, dates of 1900
-    to 2099, social security numbers, phone numbers with a country code and card numbers
-    with a right check digit; candidates that are not valid stay. A null text stays null,
+    to 2099 (also before a time, with dots, or without leading zeros), social security
+    numbers, phone numbers (with a country code, or national: area in brackets, ten digits
+    in groups, or a leading 0) and card numbers with a right check digit; candidates that
+    are not valid stay and do not hide values that begin inside them. A null text stays null,
     with null counts of nothing: ``values`` 0 and no ``kinds``. Texts without values stay
     as they are, rows with equal texts get equal results, and an empty table gives no rows.
     All columns stay, but the new ones replace columns of their names.
@@ -183,12 +232,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         raise ValueError("a key is needed")
     t = F.col(text)
     # every kind holds a digit or an at sign, so most texts need no more than that search
-    has = F.regexp_like(t, F.lit("[0-9@]")) & F.regexp_like(t, F.lit(ANY))
+    has = F.regexp_like(t, F.lit("[0-9@]")) & F.regexp_like(t, F.lit(HOLDS))
+    marks = F.regexp_like(t, F.lit(SPACED_CARD)) | t.contains(MARK)
     none = F.array().cast("array<struct<m:string,kind:string,new:string>>")
-    met = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    out = docs.withColumn("__marked", F.when(has & marks, marked(t))).withColumn("__searched", F.when(has, F.coalesce("__marked", t)))
+    u = F.col("__searched")
+    met = F.transform(F.regexp_extract_all(u, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), F.replace(m, F.lit(MARK), F.lit("")).alias("v")))
+    met = F.transform(met, lambda f: F.struct(f["v"].alias("m"), kind_of(f["v"]).alias("kind")))
     new = F.transform(met, lambda f: F.struct(f["m"].alias("m"), f["kind"].alias("kind"), F.coalesce(pseudonym(f["m"], f["kind"], key), f["m"]).alias("new")))
-    out = docs.withColumn("__found", F.when(has, new).otherwise(none))
-    pieces = F.split(t, ANY, -1)
+    out = out.withColumn("__found", F.when(u.isNotNull(), new).otherwise(none))
+    pieces = F.split(u, ANY, -1)
     rebuilt = F.array_join(F.zip_with(pieces, F.col("__found"), lambda p, f: F.concat(p, F.coalesce(f["new"], F.lit("")))), "")
+    rebuilt = F.when(F.col("__marked").isNotNull(), unmarked(rebuilt)).otherwise(rebuilt)
     valid = F.filter(F.col("__found"), lambda f: f["kind"].isNotNull())
-    return out.withColumns({text: F.when(F.size("__found") > 0, rebuilt).otherwise(t), "values": F.size(valid), "kinds": F.array_sort(F.array_distinct(F.transform(valid, lambda f: f["kind"])))}).drop("__found")
+    return out.withColumns({text: F.when(F.size("__found") > 0, rebuilt).otherwise(t), "values": F.size(valid), "kinds": F.array_sort(F.array_distinct(F.transform(valid, lambda f: f["kind"])))}).drop("__found", "__searched", "__marked")

@@ -339,6 +339,36 @@ def test_pseudonyms_against_the_network_value_by_value(spark):
         assert new != value and r.text == f"<{new}> und {new}, é {new}" and (r["values"], r.kinds) == (3, [kind]), (kind, value, r)
 
 
+#: Texts with values in braces that a search in one pass, or for one writing, leaves.
+HIDDEN = [
+    ("exp 2026 {4111 1111 1111 1111}", "card"), ("2025 2026 {4111 1111 1111 1111} 2027", "card"), ("1234-{4111-1111-1111-1111}", "card"),
+    ("{4111 1111 1111 1111} 1111 1111", "card"), ("\ue000 2026 {4111 1111 1111 1111} \ue000\ue001", "card"), ("30/02/2026 2026 {3782 822463 10005}", "card"),
+    ("2026 4111 1111 2024 {2024-01-15}", "date"), ("{+49 30 1234 5678} 4111 1111", "phone"),
+    ("2026 4111 1111 1111 {(017) 555-7713}", "phone"), ("call {(017) 555-7713}.", "phone"), ("{017-555-7713}", "phone"), ("{555.123.4567}", "phone"),
+    ("{1-800-555-1234}", "phone"), ("{030 1234567}", "phone"), ("{0171/2345678}", "phone"), ("{01 23 45 67 89}", "phone"),
+    ("{2024-01-15}T10:00:00Z", "date"), ("{1/5/2024}", "date"), ("{1/15/2024}", "date"), ("on {15.01.2024}.", "date"), ("{5.1.2024}", "date"), ("{25/1/2024}", "date"),
+    ("{4111-1111-1111-1111@x.example}", "email"), ("{joe@4111-1111-1111-1111.example}", "email"),
+]
+
+
+def test_pseudonyms_of_values_in_all_writings(spark):
+    out = pseudonyms.pseudonymise(spark.createDataFrame([(i, re.sub("[{}]", "", t)) for i, (t, _) in enumerate(HIDDEN)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    for (text, kind), r in zip(HIDDEN, out, strict=True):
+        before, value, after = re.split("[{}]", text)
+        if kind == "date" and "-" not in value:
+            a, b, year = map(int, re.split("[/.]", value))
+            month, day = (b, a) if "." in value or a > 12 else (a, b)
+            new = brute_pseudonym(f"{year}-{month:02}-{day:02}", kind)
+            year, month, day = map(int, new.split("-"))
+            wide, sep = (2 if value == "15.01.2024" else 1), "." if "." in value else "/"
+            new = sep.join([*(f"{x:0{wide}}" for x in ((day, month) if "." in value or a > 12 else (month, day))), str(year)])
+        else:
+            new = brute_pseudonym(value, kind)
+        assert r.text == before + new + after and (r["values"], r.kinds) == (1, [kind]), (text, r)
+    both = pseudonyms.pseudonymise(spark.createDataFrame([("+49 30 1234567 2024-01-15",)], "text string"), KEY).first()
+    assert both.text == f"{brute_pseudonym('+49 30 1234567', 'phone')} {brute_pseudonym('2024-01-15', 'date')}" and both["values"] == 2
+
+
 def test_pseudonyms_keep_formats_and_links(spark):
     cards = [f"{n:015d}" for n in range(0, 10**15, 10**15 // 300)]
     cards = [c + str(-luhn(c + "0") % 10) for c in cards][1:]
