@@ -285,11 +285,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("the agreement bound is set for similarities from 0.8")
     depth = forest_depth(threshold, recall)
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    carried = rows if not keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(*keep).alias("kept"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    carried = rows if not keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(*keep).alias("kept")).withColumn("text_key", F.xxhash64("text"))
     kept = "" if not keep else f", kept {carried.schema['kept'].dataType.simpleString()}"
-    signed = stage(carried.mapInArrow(_signed, f"doc_id {kind}{kept}, digest binary, shingles long, signature binary, sketch binary"), "signed")
-    merged = signed.where("shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"),
+    signed = stage(carried.mapInArrow(_signed, f"doc_id {kind}{kept}, text_key long, digest binary, shingles long, signature binary, sketch binary"), "signed")
+    merged = signed.where("shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))["text_key"].alias("text_key"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"),
                                                                 F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     reps = stage(merged.withColumn("rep", F.monotonically_increasing_id()), "reps")
 
@@ -309,8 +309,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     bundles = stage(connected_components(ends, edges).select(F.col("node").alias("rep"), F.col("component").alias("bundle")), "bundles")
     size = bundles.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"))
-    wanted = bundles.join(reps.select("rep", "digest", "first"), "rep").select("rep", "digest", F.col("first").alias("__first"))
-    found = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__first"))).select("rep", "digest", "text").mapInArrow(_texts_to_shingles, "rep long, found binary")
+    # many rows can share an id or have none, so a text is fetched by its own hash too
+    wanted = bundles.join(reps.select("rep", "digest", "first", "text_key"), "rep").select("rep", "digest", F.col("first").alias("__first"), "text_key")
+    found = rows.join(wanted.hint("shuffle_hash"), (rows["text_key"] == wanted["text_key"]) & F.col("doc_id").eqNullSafe(F.col("__first"))).select("rep", "digest", "text").mapInArrow(_texts_to_shingles, "rep long, found binary")
     found = found.join(bundles.join(size, "bundle").join(reps.select("rep", "copies"), "rep"), "rep")
     found = stage(found, "shingles")
     task_bytes = found.agg(F.coalesce(F.sum(F.length("found") * F.greatest(F.ceil(F.col("members") / BUNDLE_BLOCK), F.lit(1))), F.lit(0))).first()[0]

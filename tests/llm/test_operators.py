@@ -227,6 +227,22 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_dups.near_duplicates(df).select("doc_id", "class_id", "n_links").collect()), key=str) == want
 
 
+def test_near_duplicates_without_ids_meet_only_their_own_texts(spark, monkeypatch):
+    original = near_dups._texts_to_shingles
+
+    def strict(batches):
+        for batch in batches:
+            for got in original(iter([batch])):
+                assert got.num_rows == batch.num_rows, "a text met the representative of another"
+                yield got
+
+    monkeypatch.setattr(near_dups, "_texts_to_shingles", strict)
+    base = [" ".join(f"w{g}x{i}" for i in range(60)) for g in range(8)]
+    rows = [(None if g % 2 else 7, f"{t} {end}") for g, t in enumerate(base) for end in ("one", "two", "three")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(i, 2) for i, _ in rows], key=str)
+
+
 def test_near_duplicates_odd(odd, nothing):
     got = near_dups.near_duplicates(odd).select("doc_id", "class_id", "n_links").collect()
     want = brute_near([(i, t) for i, t, _ in ROWS])
