@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerline.llm import adaptive_rules, decontaminate, exact_dedup, mixing, pseudonyms, secrets
+from ledgerline.llm import adaptive_rules, collocations, decontaminate, exact_dedup, mixing, pseudonyms, secrets
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.records import encode_to_records
@@ -101,3 +101,8 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", F.when(F.col("n_words") > 0, F.col("level")).alias("level"))
+
+
+@register(collocations.SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
