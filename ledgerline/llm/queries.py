@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from ledgerline.llm import adaptive_rules, collocations, decontaminate, exact_dedup, mixing, pseudonyms, secrets
+from ledgerline.llm import adaptive_rules, collocations, decontaminate, exact_dedup, mixing, pseudonyms, ranked_search, secrets
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.records import encode_to_records
@@ -106,3 +106,8 @@ def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(collocations.SQL)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register(ranked_search.SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
