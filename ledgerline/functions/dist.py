@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,32 @@ def expected_lognormal_cdf(mean: Column, sd: Column, median: Column, sigma: Colu
     return F.when(sd <= 1e-9, lognormal_cdf(mean, median, sigma)).otherwise(total)
 
 
+def mixture_cdf(x: Column, components: Sequence[tuple[float, float, float]]) -> Column:
+    """CDF of a mixture of lognormals given as (weight, median, sigma)."""
+    total = F.lit(0.0)
+    for weight, median, sigma in components:
+        total = total + weight * lognormal_cdf(x, F.lit(median), F.lit(sigma))
+    return total
+
+
+def expected_mixture_cdf(mean: Column, sd: Column, components: Sequence[tuple[float, float, float]]) -> Column:
+    """E[F(U)] of a mixture for a Gaussian bound U."""
+    total = F.lit(0.0)
+    for weight, median, sigma in components:
+        total = total + weight * expected_lognormal_cdf(mean, sd, F.lit(median), F.lit(sigma))
+    return total
+
+
+def mixture_quantile(components: Sequence[tuple[float, float, float]], q: float, upper: float, steps: int = 70) -> Column:
+    """Quantile of a mixture in [0, upper] by bisection, as one expression without columns."""
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) * 0.5
+        below = mixture_cdf(mid, components) < q
+        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(float(upper)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) * 0.5)
+
+
 def softplus_loss(margin: Column, tau: float) -> Column:
     """log(1+exp(-margin/tau)) without overflow."""
     x = -margin / F.lit(tau)

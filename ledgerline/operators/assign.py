@@ -42,12 +42,12 @@ def earliest_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, wid
 
     Each leg is one forward lookup in an arrival index for all cohorts together. Every
     cohort and route gives one row, whatever the number of legs; a route that lacks one
-    of its legs fails there.
+    of its legs fails there, and a cohort without any route fails with a null route.
     """
     max_legs = longest_route(routes)
     index = cut_lineage(J.arrival_index(rides, OD, "dep", "arr", "ride_id", width).withColumnsRenamed({"from_station": "leg_from", "to_station": "leg_to"}))
     head = routes.where("leg_no = 1").select(*OD, "route_rank", "legs", "leg_from", "leg_to")
-    cur = cohorts.join(head, OD).withColumns({"ready": F.col("entry") + ACCESS_MIN_S, "chain": F.array().cast(f"array<{_STEP}>")})
+    cur = cohorts.join(head, OD, "left").withColumns({"ready": F.col("entry") + ACCESS_MIN_S, "chain": F.array().cast(f"array<{_STEP}>")})
     keep = [*cohorts.columns, "route_rank", "legs"]
     out = None
     for leg in range(1, max_legs + 1):
@@ -60,7 +60,7 @@ def earliest_chains(cohorts: DataFrame, routes: DataFrame, rides: DataFrame, wid
         x = x.withColumn("chain", F.when(miss, F.col("chain")).otherwise(F.concat("chain", F.array(step.cast(_STEP)))))
         reason = (F.when(F.col("leg_from").isNull(), "ROUTE_HAS_NO_RIDE_LEGS").when(miss, "FIRST_LEG_NO_SERVICE" if leg == 1 else "TRANSFER_NO_DOWNSTREAM_SERVICE")
                   .when(last & (late > 0), "FINAL_EGRESS_HORIZON").when(last, "FEASIBLE_COMPLETE_CHAIN"))
-        x = x.withColumns({"reason": reason, "progress": F.when(miss, F.lit(leg - 2)).when(last, F.col("legs")), "excess": F.when(last & ~miss & (late > 0), late)})
+        x = x.withColumns({"reason": reason, "progress": F.when(F.col("leg_from").isNull() & (F.lit(leg) == 1), F.lit(-2)).when(miss, F.lit(leg - 2)).when(last, F.col("legs")), "excess": F.when(last & ~miss & (late > 0), late)})
         x = cut_lineage(x) if leg < max_legs else x
         done = x.where("reason is not null").select(*keep, "reason", "progress", "excess", F.col("leg_from").alias("fail_from"), F.col("leg_to").alias("fail_to"), "ready", "chain")
         out = done if out is None else out.unionByName(done)

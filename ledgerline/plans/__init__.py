@@ -7,7 +7,7 @@ import importlib
 from ledgerline.registry import REGISTRY, Query
 
 MODULES = ["flagship", "sources", "contracts", "joins", "aggregates", "sequence", "topk", "reconcile", "scalars",
-           "signal", "graph", "assign", "timetable", "sampling", "audits", "streams"]
+           "signal", "graph", "assign", "timetable", "replay", "sampling", "audits", "streams"]
 
 
 def load() -> dict[str, Query]:

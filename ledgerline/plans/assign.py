@@ -41,33 +41,63 @@ def routes(t):
     return o.select("from_station", "to_station", F.explode(F.when(F.col("d") >= 2, F.array(*direct, *change)).otherwise(F.array(*direct))).alias("r")).select("from_station", "to_station", "r.*")
 
 
-IDX = """ix AS (SELECT from_station, to_station, dep, min(best) AS best FROM (SELECT from_station, to_station, dep, min((arr, dep, ride_id)) OVER (PARTITION BY from_station, to_station ORDER BY dep, ride_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM rides WHERE dep < 915148800) GROUP BY ALL)"""
-CHAIN = f"""{RIDES}, {RIDERS}, {ROUTES}, {IDX},
- g1 AS (SELECT p.*, r.route_rank, r.legs, r.f, r.t, r.leg_from, r.leg_to, p.entry+15 AS ready FROM riders p JOIN routes r ON r.f=p.from_station AND r.t=p.to_station AND r.leg_no=1),
- h1 AS (SELECT g1.*, ix.best AS b1 FROM g1 ASOF LEFT JOIN ix ON ix.from_station=g1.leg_from AND ix.to_station=g1.leg_to AND ix.dep>=g1.ready),
- g2 AS (SELECT h1.* EXCLUDE (leg_from, leg_to, ready), r.leg_from, r.leg_to, b1[1]+5 AS ready FROM h1 JOIN routes r ON r.f=h1.f AND r.t=h1.t AND r.route_rank=h1.route_rank AND r.leg_no=2 WHERE b1 IS NOT NULL AND h1.legs=2),
- h2 AS (SELECT g2.*, ix.best AS b2 FROM g2 ASOF LEFT JOIN ix ON ix.from_station=g2.leg_from AND ix.to_station=g2.leg_to AND ix.dep>=g2.ready),
- ev AS (SELECT rider_id AS cohort, mass, exit, route_rank, legs, leg_from, leg_to, ready, b1, NULL AS b2, CASE WHEN b1 IS NULL THEN 'FIRST_LEG_NO_SERVICE' WHEN b1[1]>exit-15 THEN 'FINAL_EGRESS_HORIZON' ELSE 'FEASIBLE_COMPLETE_CHAIN' END AS reason, CASE WHEN b1 IS NULL THEN -1 ELSE 1 END AS progress, CASE WHEN b1[1]>exit-15 THEN b1[1]-(exit-15) END AS excess FROM h1 WHERE legs=1 OR b1 IS NULL
-  UNION ALL SELECT rider_id, mass, exit, route_rank, legs, leg_from, leg_to, ready, b1, b2, CASE WHEN b2 IS NULL THEN 'TRANSFER_NO_DOWNSTREAM_SERVICE' WHEN b2[1]>exit-15 THEN 'FINAL_EGRESS_HORIZON' ELSE 'FEASIBLE_COMPLETE_CHAIN' END, CASE WHEN b2 IS NULL THEN 0 ELSE 2 END, CASE WHEN b2[1]>exit-15 THEN b2[1]-(exit-15) END FROM h2),
- ch AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY (reason<>'FEASIBLE_COMPLETE_CHAIN'), CASE WHEN reason='FEASIBLE_COMPLETE_CHAIN' THEN route_rank ELSE 0 END, -progress,
-   CASE reason WHEN 'FINAL_EGRESS_HORIZON' THEN -3 WHEN 'TRANSFER_NO_DOWNSTREAM_SERVICE' THEN -2 WHEN 'FIRST_LEG_NO_SERVICE' THEN -1 ELSE 0 END, coalesce(excess,0), route_rank)=1)"""
+#: Routes of 1 to 4 legs, each on one of three tracks, the last of which no ride serves. Platforms are station and track.
+LROUTES = """od1 AS (SELECT DISTINCT from_station AS f, to_station AS t, (to_station-from_station+25)%25 AS d FROM riders),
+ hops AS (SELECT f, t, d, k, i, (f+d*(i-1)//k)%25 AS a, (f+d*i//k)%25 AS b FROM od1, range(1,5) AS ks(k), range(1,5) AS steps(i) WHERE k<=greatest(d,1) AND i<=k),
+ lroutes AS (SELECT f, t, k::INT AS route_rank, k::INT AS legs, i::INT AS leg_no, ((a*5+k*2+i)%3)::INT AS track, (a*10+(a*5+k*2+i)%3)::INT AS leg_from, (b*10+(a*5+k*2+i)%3)::INT AS leg_to, d*1.0::DOUBLE+k AS cost FROM hops),
+ tr AS (SELECT ride_id, from_station*10+line%2 AS from_station, to_station*10+line%2 AS to_station, dep, arr FROM rides)"""
+
+
+def line_routes(t):
+    o = riders(t).select("from_station", "to_station").distinct().withColumn("d", F.pmod(F.col("to_station") - F.col("from_station"), F.lit(25)))
+    x = o.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.greatest("d", F.lit(1))))).alias("k")).select("*", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
+    stop = lambda i: F.pmod(F.col("from_station") + F.floor(F.col("d") * i / F.col("k")), F.lit(25)).cast("int")
+    x = x.withColumns({"a": stop(F.col("i") - 1), "b": stop(F.col("i"))}).withColumn("track", ((F.col("a") * 5 + F.col("k") * 2 + F.col("i")) % 3).cast("int"))
+    return x.select("from_station", "to_station", F.col("k").alias("route_rank"), F.col("k").alias("legs"), F.col("i").alias("leg_no"), "track", (F.col("a") * 10 + F.col("track")).alias("leg_from"),
+                    (F.col("b") * 10 + F.col("track")).alias("leg_to"), (F.col("d") * 1.0 + F.col("k")).alias("cost"))
+
+
+def platform_rides(t):
+    """All rides, their ends as platforms."""
+    return rides(t).withColumns({c: F.col(c) * 10 + F.col("line") % 2 for c in ("from_station", "to_station")})
 
 
-def timetable(t):
-    """The timetable ends with 1998, so that later travellers find no service."""
-    return rides(t).where("dep < 915148800")
+IDX = """ix AS (SELECT from_station, to_station, dep, min(best) AS best FROM (SELECT from_station, to_station, dep, min((arr, dep, ride_id)) OVER (PARTITION BY from_station, to_station ORDER BY dep, ride_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM tr) GROUP BY ALL)"""
+_KEPT = "rider_id, mass, entry, exit, f, t, route_rank, legs"
+
+
+def _chain_sql(travellers: str, prefix: str = "", kept: str = _KEPT, entry: str = "entry", exit_: str = "exit") -> str:
+    """Earliest chains of up to four legs: ``bs`` lists (arr, dep, ride) of the legs ridden."""
+    p, parts, ends = prefix, [], []
+    parts.append(f"{p}g1 AS (SELECT {kept}, leg_from, leg_to, {entry}+15 AS ready, []::STRUCT(a BIGINT, d BIGINT, r BIGINT)[] AS bs FROM {travellers} p JOIN lroutes r ON r.f=p.from_station AND r.t=p.to_station AND r.leg_no=1)")
+    for k in range(1, 5):
+        parts.append(f"{p}h{k} AS (SELECT g.*, ix.best AS b FROM {p}g{k} g ASOF LEFT JOIN ix ON ix.from_station=g.leg_from AND ix.to_station=g.leg_to AND ix.dep>=g.ready)")
+        if k < 4:
+            rest = ", ".join(f"h.{c.strip()}" for c in kept.split(","))
+            parts.append(f"{p}g{k + 1} AS (SELECT {rest}, r.leg_from, r.leg_to, b[1]+5 AS ready, list_append(bs, b) AS bs FROM {p}h{k} h JOIN lroutes r ON r.f=h.f AND r.t=h.t AND r.route_rank=h.route_rank AND r.leg_no={k + 1} WHERE b IS NOT NULL AND h.legs>{k})")
+        none = "FIRST_LEG_NO_SERVICE" if k == 1 else "TRANSFER_NO_DOWNSTREAM_SERVICE"
+        ends.append(f"SELECT * EXCLUDE (b, bs), rider_id AS cohort, CASE WHEN b IS NULL THEN bs ELSE list_append(bs, b) END AS bs, CASE WHEN b IS NULL THEN '{none}' WHEN b[1]>{exit_}-15 THEN 'FINAL_EGRESS_HORIZON' ELSE 'FEASIBLE_COMPLETE_CHAIN' END AS reason, "
+                    f"CASE WHEN b IS NULL THEN {k - 2} ELSE legs END AS progress, CASE WHEN b[1]>{exit_}-15 THEN b[1]-({exit_}-15) END AS excess FROM {p}h{k} WHERE legs={k} OR b IS NULL")
+    return ",\n ".join(parts) + f",\n {p}ev AS ({' UNION ALL '.join(ends)})"
+
+
+CHAIN = f"""{RIDES}, {RIDERS}, {LROUTES}, {IDX},
+ {_chain_sql("riders")},
+ ch AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY (reason<>'FEASIBLE_COMPLETE_CHAIN'), CASE WHEN reason='FEASIBLE_COMPLETE_CHAIN' THEN route_rank ELSE 0 END, -progress,
+   CASE reason WHEN 'FINAL_EGRESS_HORIZON' THEN -3 WHEN 'TRANSFER_NO_DOWNSTREAM_SERVICE' THEN -2 WHEN 'FIRST_LEG_NO_SERVICE' THEN -1 ELSE 0 END, coalesce(excess,0), route_rank)=1)"""
+SERVICES = "array_to_string(list_transform(bs, lambda s: s['r']::VARCHAR), '>')"
 
 
 @staged
 def evaluated(t):
-    return B.earliest_chains(cohorts(t), routes(t), timetable(t), MONTH_S)
+    return B.earliest_chains(cohorts(t), line_routes(t), platform_rides(t), MONTH_S)
 
 
 def chosen(t):
     return B.choose_chain(evaluated(t), "cohort")
 
 
-@query("B01_earliest_feasible_chain", f"""WITH {CHAIN} SELECT cohort, route_rank, reason='FEASIBLE_COMPLETE_CHAIN' AS ok, progress, excess, CASE WHEN reason='FEASIBLE_COMPLETE_CHAIN' THEN b1[3]::VARCHAR||coalesce('>'||b2[3]::VARCHAR,'') ELSE '' END AS rides FROM ev""")
+@query("B01_earliest_feasible_chain", f"""WITH {CHAIN} SELECT cohort, route_rank, reason='FEASIBLE_COMPLETE_CHAIN' AS ok, progress, excess, CASE WHEN reason='FEASIBLE_COMPLETE_CHAIN' THEN {SERVICES} ELSE '' END AS rides FROM ev""")
 def _(t):
     label = F.array_join(F.transform("chain", lambda s: s["ride"].cast("string")), ">")
     return evaluated(t).select("cohort", "route_rank", "ok", "progress", "excess", F.when(F.col("ok"), label).otherwise("").alias("rides"))
@@ -79,17 +109,17 @@ def _(t):
 
 
 @query("B03_pressure_records", f"""
-WITH {CHAIN}, fl AS (SELECT * FROM ch WHERE reason LIKE '%NO%SERVICE'), pv AS (SELECT fl.cohort, d.dep AS prev_dep FROM fl ASOF LEFT JOIN (SELECT DISTINCT from_station, to_station, dep FROM rides WHERE dep < 915148800) d ON d.from_station=fl.leg_from AND d.to_station=fl.leg_to AND d.dep<fl.ready)
+WITH {CHAIN}, fl AS (SELECT * FROM ch WHERE reason LIKE '%NO%SERVICE'), pv AS (SELECT fl.cohort, d.dep AS prev_dep FROM fl ASOF LEFT JOIN (SELECT DISTINCT from_station, to_station, dep FROM tr) d ON d.from_station=fl.leg_from AND d.to_station=fl.leg_to AND d.dep<fl.ready)
 SELECT reason, leg_from, leg_to, ready//300 AS time_bin, sum(mass)::BIGINT AS mass, max(ready-prev_dep) AS missed_by FROM fl JOIN pv USING (cohort) GROUP BY ALL""")
 def _(t):
     f = chosen(t).where("reason in ('FIRST_LEG_NO_SERVICE', 'TRANSFER_NO_DOWNSTREAM_SERVICE')").select("cohort", "mass", "reason", F.col("fail_from").alias("leg_from"), F.col("fail_to").alias("leg_to"), "ready")
-    r = timetable(t).withColumnsRenamed({"from_station": "leg_from", "to_station": "leg_to"})
+    r = platform_rides(t).withColumnsRenamed({"from_station": "leg_from", "to_station": "leg_to"})
     x = J.asof(f, r, ["leg_from", "leg_to"], "ready", "dep", [], MONTH_S, "hit", strict=True)
     return x.groupBy("reason", "leg_from", "leg_to", F.floor(F.col("ready") / 300).alias("time_bin")).agg(F.sum("mass").alias("mass"), F.max(F.col("ready") - F.col("hit.dep")).alias("missed_by"))
 
 
 @query("B04_assignment_mass", f"""
-WITH {CHAIN}, u AS (SELECT b1[3] AS ride, mass FROM ch WHERE reason='FEASIBLE_COMPLETE_CHAIN' UNION ALL SELECT b2[3], mass FROM ch WHERE reason='FEASIBLE_COMPLETE_CHAIN' AND b2 IS NOT NULL) SELECT ride, sum(mass)::BIGINT AS mass, count(*) AS cohorts FROM u GROUP BY 1""")
+WITH {CHAIN}, u AS (SELECT unnest(bs)['r'] AS ride, mass FROM ch WHERE reason='FEASIBLE_COMPLETE_CHAIN') SELECT ride, sum(mass)::BIGINT AS mass, count(*) AS cohorts FROM u GROUP BY 1""")
 def _(t):
     return B.chain_services(chosen(t)).groupBy("ride").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("cohorts"))
 

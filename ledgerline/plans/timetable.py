@@ -13,7 +13,7 @@ from ledgerline.operators import reconcile as R
 from ledgerline.operators import timetable as TT
 from ledgerline.operators import topk as K
 from ledgerline.plans.assign import (CHAIN, EPI, FAC, LABEL, MONTH_S, OBS, POST, SHIFTED, SHIFTS, STATS, SUB, TWO, KERNELS, chosen, cohorts, episodes, factors, observations, post,
-                                     routes, substrate, timetable, two_passes)
+                                     routes, substrate, two_passes)
 from ledgerline.plans.scalars import gh_sql, lncdf_sql, phi_sql
 from ledgerline.plans.views import RIDERS, RIDES, riders, rides
 from ledgerline.registry import query, staged
@@ -105,32 +105,6 @@ def _(t):
     return TT.soft_order_objective(factors(t)).select("root", "event", F.round("loss", 4).alias("loss"), F.round("grad", 6).alias("grad"))
 
 
-SHIFT_SCAN = [-3600, -1800, 0, 1800, 3600]
-
-
-@query("B34_clock_shift_scan", f"""
-WITH {CHAIN}, p AS (SELECT *, unnest({SHIFT_SCAN}) AS shift FROM riders), q AS (SELECT p.*, ix.best AS b FROM p ASOF LEFT JOIN ix ON ix.from_station=p.from_station AND ix.to_station=p.to_station AND ix.dep>=p.entry+15+p.shift)
-SELECT shift::INT AS shift, sum(CASE WHEN b[1]<=exit+shift-15 THEN mass ELSE 0 END)::BIGINT AS resolved_mass FROM q GROUP BY 1""")
-def _(t):
-    """Mass that the direct ride resolves when the tap clock is moved."""
-    x = cohorts(t).withColumn("shift", F.explode(F.array(*[F.lit(s) for s in SHIFT_SCAN]))).withColumn("ready", F.col("entry") + F.col("shift") + B.ACCESS_MIN_S)
-    idx = cut_lineage(J.arrival_index(timetable(t), B.OD, "dep", "arr", "ride_id", MONTH_S))
-    h = J.first_arrival(x, idx, B.OD, "ready", MONTH_S, "hit")
-    ok = F.col("hit.arr") <= F.col("exit") + F.col("shift") - B.EGRESS_MIN_S
-    return h.groupBy("shift").agg(F.sum(F.when(ok, F.col("mass")).otherwise(0)).alias("resolved_mass"))
-
-
-@query("B35_event_pressure", f"""
-WITH {CHAIN}, c AS (SELECT ch.*, p.entry, coalesce(b2[3],b1[3]) AS last_ride, coalesce(b2[1],b1[1]) AS last_arr FROM ch JOIN riders p ON p.rider_id=ch.cohort)
-SELECT last_ride AS ride, sum(CASE WHEN reason='FEASIBLE_COMPLETE_CHAIN' AND exit-15-last_arr<3600 THEN mass ELSE 0 END)::BIGINT AS endangered_by_later, sum(CASE WHEN reason='FINAL_EGRESS_HORIZON' AND excess<=3600 THEN mass ELSE 0 END)::BIGINT AS rescued_by_earlier FROM c WHERE last_ride IS NOT NULL GROUP BY 1""")
-def _(t):
-    last = F.element_at("chain", -1)
-    c = chosen(t).where(F.size("chain") > 0).withColumns({"ride": last["ride"], "last_arr": last["arr"]})
-    part = lambda cond, n: F.sum(F.when(cond, F.col("mass")).otherwise(0)).alias(n)
-    return c.groupBy("ride").agg(part(F.col("ok") & (F.col("exit") - B.EGRESS_MIN_S - F.col("last_arr") < 3600), "endangered_by_later"),
-                                 part((F.col("reason") == "FINAL_EGRESS_HORIZON") & (F.col("excess") <= 3600), "rescued_by_earlier"))
-
-
 PROP = f"""{SHIFTED}, z AS (SELECT root, obj AS zero FROM obj WHERE shift=0), pr AS (SELECT root, shift, round(obj-zero,6) AS gain, usage FROM obj JOIN z USING (root) WHERE shift<>0 AND obj-zero>0.01 AND usage>=0.2),
  best AS (SELECT * FROM pr QUALIFY rank() OVER (PARTITION BY root ORDER BY gain DESC)=1), prop AS (SELECT root, max(shift) AS shift, max(gain) AS gain, max(usage) AS usage FROM best GROUP BY 1 HAVING count(DISTINCT shift>0)=1)"""
 
@@ -195,8 +169,10 @@ def _(t):
     return mass.join(q, ["station", "dest"])
 
 
-CONS = f"""{CHAIN}, cs AS (SELECT ch.cohort, ch.mass, ch.exit, p.entry, b1, b2 FROM ch JOIN riders p ON p.rider_id=ch.cohort WHERE reason='FEASIBLE_COMPLETE_CHAIN'),
- con AS (SELECT cohort, mass, 'ABS_LOWER' AS kind, b1[3] AS root, NULL::BIGINT AS other, (entry+15)::BIGINT AS bound, b1[2]-(entry+15) AS slack FROM cs UNION ALL SELECT cohort, mass, 'DIFF_LOWER', b2[3], b1[3], 5, b2[2]-b1[1]-5 FROM cs WHERE b2 IS NOT NULL UNION ALL SELECT cohort, mass, 'ABS_UPPER', coalesce(b2[3],b1[3]), NULL, exit-15, exit-15-coalesce(b2[1],b1[1]) FROM cs)"""
+CONS = f"""{CHAIN}, cs AS (SELECT cohort, mass, exit, entry, bs FROM ch WHERE reason='FEASIBLE_COMPLETE_CHAIN'),
+ con AS (SELECT cohort, mass, 'ABS_LOWER' AS kind, bs[1]['r'] AS root, NULL::BIGINT AS other, (entry+15)::BIGINT AS bound, bs[1]['d']-(entry+15) AS slack FROM cs
+  UNION ALL SELECT cohort, mass, 'DIFF_LOWER', bs[i+1]['r'], bs[i]['r'], 5, bs[i+1]['d']-bs[i]['a']-5 FROM (SELECT *, unnest(range(1,len(bs))) AS i FROM cs)
+  UNION ALL SELECT cohort, mass, 'ABS_UPPER', bs[-1]['r'], NULL, exit-15, exit-15-bs[-1]['a'] FROM cs)"""
 
 
 def constraints(t):
@@ -223,44 +199,6 @@ def _(t):
     return TT.event_offsets(x, ["root"], "target", "mass").select("root", "w", F.round("offset", 6).alias("offset_s"))
 
 
-ENV = f"""{CHAIN}, fl AS (SELECT ch.cohort, ch.mass, leg_from, leg_to, p.entry FROM ch JOIN riders p ON p.rider_id=ch.cohort WHERE reason='FIRST_LEG_NO_SERVICE'),
- env AS (SELECT *, entry+180.0::DOUBLE*exp(-1.6448536269514722::DOUBLE*0.9) AS q05, entry+180.0::DOUBLE AS q50, entry+180.0::DOUBLE*exp(1.6448536269514722::DOUBLE*0.9) AS q95 FROM fl)"""
-
-
-def envelope(t):
-    f = chosen(t).where("reason = 'FIRST_LEG_NO_SERVICE'").select("cohort", "mass", F.col("fail_from").alias("leg_from"), F.col("fail_to").alias("leg_to"), "entry")
-    at = lambda z: F.col("entry") + 180.0 * F.exp(F.lit(z) * 0.9)
-    return f.withColumns({"q05": at(-1.6448536269514722), "q50": at(0.0), "q95": at(1.6448536269514722)})
-
-
-@query("B43_ready_envelope", f"WITH {ENV} SELECT cohort, leg_from, leg_to, round(q05,3) AS q05, round(q50,3) AS q50, round(q95,3) AS q95 FROM env")
-def _(t):
-    return envelope(t).select("cohort", "leg_from", "leg_to", *[F.round(c, 3).alias(c) for c in ("q05", "q50", "q95")])
-
-
-@query("B44_exit_horizon_audit", f"""
-WITH {CHAIN}, h AS (SELECT p.rider_id, mass, b1[1]-(exit+60) AS excess FROM h1 p WHERE route_rank=1)
-SELECT CASE WHEN excess IS NULL THEN 'NO_SERVICE' WHEN excess>0 THEN 'HARD_HORIZON' ELSE 'WITHIN' END AS class, sum(mass)::BIGINT AS mass, count(*) AS n, min(excess) AS least_excess FROM h GROUP BY 1""")
-def _(t):
-    """The earliest possible arrival against exit plus three sd: later rides can only be later."""
-    idx = J.arrival_index(timetable(t), B.OD, "dep", "arr", "ride_id", MONTH_S)
-    h = J.first_arrival(cohorts(t).withColumn("ready", F.col("entry") + B.ACCESS_MIN_S), idx, B.OD, "ready", MONTH_S, "hit").withColumn("excess", F.col("hit.arr") - (F.col("exit") + 60))
-    cls = F.when(F.col("excess").isNull(), "NO_SERVICE").when(F.col("excess") > 0, "HARD_HORIZON").otherwise("WITHIN")
-    return h.groupBy(cls.alias("class")).agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n"), F.min("excess").alias("least_excess"))
-
-
-@query("B45_root_support", f"""
-WITH {ENV}, pr AS (SELECT ride_id, from_station, to_station, dep FROM rides WHERE dep>=915148800) SELECT ride_id, sum(CASE WHEN dep>=q05 THEN mass ELSE 0 END)::BIGINT AS mass05, sum(CASE WHEN dep>=q50 THEN mass ELSE 0 END)::BIGINT AS mass50, sum(CASE WHEN dep>=q95 THEN mass ELSE 0 END)::BIGINT AS mass95
-FROM pr JOIN env ON from_station=leg_from AND to_station=leg_to AND dep BETWEEN entry AND entry+86400 GROUP BY 1""")
-def _(t):
-    """Mass of the unserved cohorts that each candidate ride could take up."""
-    e = cut_lineage(envelope(t)).withColumns({"lo": F.col("entry"), "hi": F.col("entry") + clocks.DAY_S})
-    pr = rides(t).where("dep >= 915148800").select("ride_id", F.col("from_station").alias("leg_from"), F.col("to_station").alias("leg_to"), "dep")
-    x = J.interval_join(e, pr, ["leg_from", "leg_to"], "lo", "hi", "dep", clocks.DAY_S)
-    part = lambda q, n: F.sum(F.when(F.col("dep") >= F.col(q), F.col("mass")).otherwise(0)).alias(n)
-    return x.groupBy("ride_id").agg(part("q05", "mass05"), part("q50", "mass50"), part("q95", "mass95"))
-
-
 @query("B48_prior_mass_update", f"""
 WITH {STATS}, f AS (SELECT factor, (sum_log+20*ln(14400.0::DOUBLE))/(w+20) AS m, (sum_log2+20*(1.44+pow(ln(14400.0::DOUBLE),2)))/(w+20) AS s FROM st) SELECT factor, round(exp(m),2) AS median, round(least(2.5,greatest(0.12,sqrt(greatest(1e-8,s-m*m)))),4) AS sigma FROM f""")
 def _(t):
@@ -333,20 +271,6 @@ def _(t):
     return TT.schedule_scan(rides(t).select("ride_id", *B.OD, "dep"), cohorts(t), B.OD, [-7200, -3600, 0, 3600, 7200], 28800, 7200.0, 0.9)
 
 
-@query("B51_exit_horizon_qualification", f"""
-WITH {CHAIN}, hd AS (SELECT rider_id, mass, entry, exit, from_station, to_station, entry+180.0::DOUBLE*exp(-1.6448536269514722::DOUBLE*0.9) AS q05, entry+180.0::DOUBLE AS q50, entry+180.0::DOUBLE*exp(1.6448536269514722::DOUBLE*0.9) AS q95 FROM h1 WHERE route_rank=1 AND b1[1]-(exit+60)>0)
-SELECT ride_id, sum(CASE WHEN dep>=q05 THEN mass ELSE 0 END)::BIGINT AS mass05, sum(CASE WHEN dep>=q50 THEN mass ELSE 0 END)::BIGINT AS mass50, sum(CASE WHEN dep>=q95 THEN mass ELSE 0 END)::BIGINT AS mass95 FROM rides r JOIN hd ON r.from_station=hd.from_station AND dep BETWEEN entry AND exit GROUP BY 1""")
-def _(t):
-    """Cohorts whose every direct ride is past their horizon, and the rides from their station that could take them up."""
-    idx = J.arrival_index(timetable(t), B.OD, "dep", "arr", "ride_id", MONTH_S)
-    h = J.first_arrival(cohorts(t).withColumn("ready", F.col("entry") + B.ACCESS_MIN_S), idx, B.OD, "ready", MONTH_S, "hit").where(F.col("hit.arr") - (F.col("exit") + 60) > 0)
-    at = lambda z: F.col("entry") + 180.0 * F.exp(F.lit(z) * 0.9)
-    h = cut_lineage(h.select("mass", "from_station", "entry", "exit", at(-1.6448536269514722).alias("q05"), at(0.0).alias("q50"), at(1.6448536269514722).alias("q95")))
-    x = J.interval_join(h, rides(t).select("from_station", "ride_id", "dep"), ["from_station"], "entry", "exit", "dep", clocks.DAY_S)
-    part = lambda q, n: F.sum(F.when(F.col("dep") >= F.col(q), F.col("mass")).otherwise(0)).alias(n)
-    return x.groupBy("ride_id").agg(part("q05", "mass05"), part("q50", "mass50"), part("q95", "mass95"))
-
-
 @query("B52_hazard_weighted_boarding", f"""
 WITH {RIDES}, {RIDERS}, hp AS (SELECT rider_id, mass, ride_id, (dep-entry)::DOUBLE AS g, (exit-arr)::DOUBLE AS e FROM riders p JOIN rides r ON r.from_station=p.from_station AND dep BETWEEN entry+15 AND exit),
  c AS (SELECT *, {lncdf_sql('g', 14400.0, 1.2)} AS cdf, row_number() OVER w AS j FROM hp WINDOW w AS (PARTITION BY rider_id ORDER BY g, ride_id)), d AS (SELECT *, greatest(0,cdf-coalesce(lag(cdf) OVER (PARTITION BY rider_id ORDER BY g, ride_id),0))*pow(0.2::DOUBLE,-j) AS tt FROM c),
