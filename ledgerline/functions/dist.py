@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,20 +102,32 @@ def expected_lognormal_cdf(mean: Column, sd: Column, median: Column, sigma: Colu
     return F.when(sd <= 1e-9, lognormal_cdf(mean, median, sigma)).otherwise(total)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` with the value computed once for the row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _components(components: Sequence[tuple[float, float, float]], nodes: Sequence[tuple[float, float]]) -> Column:
+    return F.array(*[F.struct(F.lit(w * v).alias("w"), F.lit(z).alias("z"), F.lit(math.log(m)).alias("mu"), F.lit(s).alias("sigma")) for w, m, s in components for z, v in nodes])
+
+
+def _mixture(mean: Column, sd: Column, parts: Column) -> Column:
+    """Sum over the parts of w F(mean + z sd), folded in the row so that the generated code stays small."""
+    def term(total: Column, c: Column) -> Column:
+        x = mean + c["z"] * sd
+        z = (F.ln(F.greatest(x, F.lit(1e-300))) - c["mu"]) / c["sigma"]
+        return total + F.when(x > 0, c["w"] * _let(z, normal_cdf)).otherwise(0.0)
+    return F.aggregate(parts, F.lit(0.0), term)
+
+
 def mixture_cdf(x: Column, components: Sequence[tuple[float, float, float]]) -> Column:
     """CDF of a mixture of lognormals given as (weight, median, sigma)."""
-    total = F.lit(0.0)
-    for weight, median, sigma in components:
-        total = total + weight * lognormal_cdf(x, F.lit(median), F.lit(sigma))
-    return total
+    return _mixture(x, F.lit(0.0), _components(components, [(0.0, 1.0)]))
 
 
 def expected_mixture_cdf(mean: Column, sd: Column, components: Sequence[tuple[float, float, float]]) -> Column:
     """E[F(U)] of a mixture for a Gaussian bound U."""
-    total = F.lit(0.0)
-    for weight, median, sigma in components:
-        total = total + weight * expected_lognormal_cdf(mean, sd, F.lit(median), F.lit(sigma))
-    return total
+    return F.when(sd <= 1e-9, mixture_cdf(mean, components)).otherwise(_mixture(mean, sd, _components(components, list(zip(GH_NODES, GH_WEIGHTS, strict=True)))))
 
 
 def mixture_quantile(components: Sequence[tuple[float, float, float]], q: float, upper: float, steps: int = 70) -> Column:

@@ -66,11 +66,14 @@ def replay(failures: DataFrame, routes: DataFrame, options: DataFrame, access: S
     start = failures.where("leg_no is not null").select(*keys, *OD, "entry", "exit", F.col("leg_no").alias("stop"))
     cur = start.withColumns({"ready": F.col("entry").cast("double"), "ready_sd": F.lit(0.0), "logp": F.lit(0.0)})
     deepest = start.agg(F.max("stop")).first()[0] or 0
+    # six numbers, found once rather than in every row
+    spark = failures.sparkSession
+    ends = {n: [float(v) for v in spark.range(1).select(*[dist.mixture_quantile(k, q, upper).alias(f"q{i}") for i, q in enumerate((0.05, 0.5, 0.95))]).first()] for n, k in (("access", access), ("transfer", transfer))}
     held = None
     for leg in range(1, deepest + 1):
         here = cur.where(F.col("stop") == leg)
         kernel = access if leg == 1 else transfer
-        q05, q50, q95 = (dist.mixture_quantile(kernel, q, upper) for q in (0.05, 0.5, 0.95))
+        q05, q50, q95 = ends["access" if leg == 1 else "transfer"]
         top = here.groupBy(*keys).agg(F.max("logp").alias("top"))
         p = F.exp(F.col("logp") - F.col("top"))
         after = F.col("ready") - F.col("entry")
