@@ -13,14 +13,15 @@ import json
 import re
 from array import array
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries of a worker's cache; it starts afresh beyond.
-CACHE_WORDS = 150_000
+#: Entries of a worker's cache; beyond, only words that were met again stay.
+CACHE_WORDS = 200_000
 #: White space next to white space, at an end, or other than a space and a line feed; control characters.
 _ODD = (r"[\x{00}-\x{09}\x{0B}-\x{1F}\x{7F}-\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]"
         r"|[ \n][ \n]|[ \n]\z|\A[ \n]")
@@ -47,6 +48,7 @@ class Words:
         self.letters = _byte_letters()
         self.cache_words = cache_words
         self.cache: dict[str, int] = {}
+        self.again = np.zeros(0, dtype=bool)
         pre = form.get("pre_tokenizer") or {}
         self.by_word = form.get("post_processor") is None and self.knows(form.get("normalizer"), pre.get("pretokenizers", [pre]))
 
@@ -83,12 +85,17 @@ class Words:
             new = [k for k, v in enumerate(found) if v is None]
             if len(self.cache) + len(new) > self.cache_words:
                 self.forget()
-                new = range(len(words))
+                found = list(map(self.cache.get, words))
+                new = [k for k, v in enumerate(found) if v is None]
+            self.met(found)
             self.learn([words[k] for k in new])
             for k in new:
                 found[k] = self.cache[words[k]]
         return np.array(found, dtype=np.int64), coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
 
+    def met(self, found: list[int | None]) -> None:
+        """Told of the values that a block found in the cache before it learnt its new words."""
+
     def forget(self) -> None:
         self.cache = {}
 
@@ -112,30 +119,50 @@ class WordEncoder(Words):
         return (kinds == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and pre[0].get("behavior") == "Removed" and pre[0].get("invert", False)
                 and pre[1].get("type") == "ByteLevel")
 
-    def forget(self) -> None:
-        """The cache gives a word's number; its ids stand in ``flat`` from ``starts``."""
-        self.cache, self.flat, self.starts = {}, array(getattr(self, "code", "H")), array("q", [0])
+    def met(self, found: list[int | None]) -> None:
+        self.again[[k for k in found if k is not None]] = True
 
-    def _put(self, word: str, ids: Sequence[int]) -> None:
-        self.cache[word] = len(self.starts) - 1
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
+    def forget(self) -> None:
+        """The cache gives a word's number; its ids stand in ``flat`` from ``starts``. Words met again since the last time stay, up to half a cache."""
+        if not self.cache:
+            self.names, self.flat, self.starts, self.again = [], array(getattr(self, "code", "H")), array("q", [0]), np.zeros(1024, dtype=bool)
+            return
+        kept = np.flatnonzero(self.again[: len(self.names)])[: self.cache_words // 2]
+        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, self.dtype)
+        n = starts[kept + 1] - starts[kept]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(starts[kept] - (upto - n), n) + np.arange(int(n.sum()))]
+        del starts, flat  # the arrays may grow again
+        self.names = [self.names[k] for k in kept]
+        self.cache = dict(zip(self.names, range(len(kept)), strict=True))
+        self.flat, self.starts = array(self.code, ids.tobytes()), array("q", np.concatenate([[0], upto]).astype(np.int64).tobytes())
+        self.again = np.zeros(2 * len(kept) + 1024, dtype=bool)
+
+    def _put(self, words: Sequence[str], ids: Sequence[Sequence[int]]) -> None:
+        first, n = len(self.names), np.fromiter(map(len, ids), np.int64, len(ids))
+        self.cache.update(zip(words, range(first, first + len(words)), strict=True))
+        self.names.extend(words)
+        self.flat.frombytes(np.fromiter(chain.from_iterable(ids), self.dtype, int(n.sum())).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(n)).tobytes())
+        if len(self.names) > len(self.again):
+            self.again = np.concatenate([self.again, np.zeros(len(self.names), dtype=bool)])
 
     def learn(self, words: list[str]) -> None:
-        rest, tokenize = [], self.model.tokenize
+        rest, known, ids, tokenize = [], [], [], self.model.tokenize
         normal = self.tokenizer.normalizer.normalize_str
         for w in words:
             if w.isascii() and w.isalpha():
-                self._put(w, [t.id for t in tokenize(w)])
+                known.append(w)
+                ids.append([t.id for t in tokenize(w)])
                 continue
             low = w if w.isascii() else normal(w)
             parts = self.parts(low) if low else []
             if parts is None:
                 rest.append(w)
             else:
-                self._put(w, [t.id for p in parts for t in tokenize(self.written(p))])
-        for w, x in zip(rest, self.whole(rest), strict=True):
-            self._put(w, x)
+                known.append(w)
+                ids.append([t.id for p in parts for t in tokenize(self.written(p))])
+        self._put(known + rest, ids + self.whole(rest))
 
     @staticmethod
     def _cut(texts: pa.Array) -> pa.Array:
