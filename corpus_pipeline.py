@@ -55,8 +55,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Binary token records in the shared folder; returns their index as read back from the files."""
-    index = records.encode_to_records(docs, read_spec(public_tokenizers.path(TOKENIZER)), END_ID)
+    """Binary token records in the shared folder, in the order of the rows of ``docs`` as written; returns their index as read back from the files.
+
+    The mixture is range-sorted, so file by file and row by row is its training order. A
+    frame that was not read from files has no such order and goes by id.
+    """
+    order = ["__file", "__row"] if docs.inputFiles() else []
+    if order:
+        docs = docs.select(*DOCUMENT, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    index = records.encode_to_records(docs, read_spec(public_tokenizers.path(TOKENIZER)), END_ID, order=order)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "at", "offset", "length")
 
 

@@ -1,6 +1,6 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
-A file holds records in ascending document order, file after file. One record:
+A file holds records in ascending document order, or in the order asked for, file after file. One record:
 
     8 bytes   length of the payload, little endian
     4 bytes   masked checksum of those 8 bytes
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,9 @@ def unframe(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     return (doc_id if flags & HAS_ID else None), ids, end + 5
 
 
-def write_records(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc_id", text: str = "text", text_per_file: int = TEXT_PER_FILE) -> None:
-    """Writes the record files: ids of each whole text with ``end_id`` after them, in ascending id order.
+def write_records(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc_id", text: str = "text", text_per_file: int = TEXT_PER_FILE,
+                  order: Sequence[str] = ()) -> None:
+    """Writes the record files: ids of each whole text with ``end_id`` after them, in ascending order of the columns ``order``, by default of the id.
 
     Null text counts as empty and gives the end id alone. Null ids come first. Rows with
     equal ids are separate records, next to each other in no fixed order; rows of one id
@@ -75,7 +76,8 @@ def write_records(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: st
     """
     require(docs, doc_id, text)
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    by = [f"__by{i}" for i in range(len(order))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), *[F.col(f"`{c}`").alias(b) for c, b in zip(order, by, strict=True)])
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast(spec)
     digest = str(zlib.crc32(spec.encode()))
@@ -91,7 +93,7 @@ def write_records(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: st
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     tie = F.monotonically_increasing_id()  # a frequent id must not fill one file
-    spread = rows.withColumn("__tie", tie).repartitionByRange(max(1, -(-int(size) // text_per_file)), "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").select("doc_id", "text")
+    spread = rows.withColumn("__tie", tie).repartitionByRange(max(1, -(-int(size) // text_per_file)), *(by or ["doc_id"]), "__tie").sortWithinPartitions(*(by or ["doc_id"]), "__tie").select("doc_id", "text")
     spread.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
@@ -166,7 +168,7 @@ def shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int = 0) ->
     return rows.mapInArrow(cut, "place long, doc_id long, ids array<long>").orderBy("place")
 
 
-def encode_to_records(docs: DataFrame, spec: str, end_id: int, path: str | None = None, **columns: str) -> DataFrame:
+def encode_to_records(docs: DataFrame, spec: str, end_id: int, path: str | None = None, **columns) -> DataFrame:
     """Writes records and index under ``path`` (by default in the shared folder) and returns the index."""
     path = path or fresh_path(docs.sparkSession, "records")
     write_records(docs, f"{path}/data", spec, end_id, **columns)

@@ -77,7 +77,17 @@ def test_records(results):
         want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     rows = after.orderBy("start").collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == sorted(want)
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    # in training order: that of the files of the mixture, along which the positions rise
+    place = before.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index")
+    assert [r.doc_id for r in rows] == [r.doc_id for r in place.collect()]
+    at = collections.defaultdict(list)
+    for r in mixing.training_order(mixing.curriculum(results[3][0])).orderBy("position").collect():
+        at[r.doc_id].append(r.position)
+    seen, positions = collections.Counter(), []
+    for r in rows:
+        positions.append(at[r.doc_id][seen[r.doc_id]])
+        seen[r.doc_id] += 1
+    assert positions == sorted(positions) and [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
 
 
