@@ -32,13 +32,14 @@ def _(t):
 @query("Z03_stream_pairing", f"""
 WITH {TAPS}, b0 AS (SELECT *, us//1000000 AS tick, CASE WHEN status=1 THEN 'ENTRY' WHEN status=0 THEN 'EXIT' ELSE 'BARRIER' END AS kind FROM taps),
  b1 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY user_id, tick)>1 THEN 'BARRIER' ELSE kind END AS role FROM b0), b2 AS (SELECT *, lag(role) OVER w AS pr, lag(tick) OVER w AS pt, lag(station) OVER w AS ps FROM b1 WINDOW w AS (PARTITION BY user_id ORDER BY tick, event_id))
-SELECT user_id, ps AS entry_station, station AS exit_station, pt AS entry_s, tick AS exit_s FROM b2 WHERE role='EXIT' AND pr='ENTRY' AND tick-pt<=21600 AND tick < (SELECT max(tick) FROM b0)""")
+SELECT ps AS entry_station, station AS exit_station, pt AS entry_s, tick AS exit_s FROM b2 WHERE role='EXIT' AND pr='ENTRY' AND tick-pt<=21600""")
 def _(t):
-    s = AC.file_stream(t.spark, t.sf_dir, t.events.schema, "events.parquet")
-    ev = F.col("event_type")
-    s = s.select("user_id", F.timestamp_seconds(clocks.epoch_s(F.col("ts"))).alias("ts"), clocks.epoch_s(F.col("ts")).alias("s"), F.col("event_id").alias("seq"),
-                 F.when(ev.isin("view", "click"), "ENTRY").when(ev.isin("purchase", "signup"), "EXIT").otherwise("BARRIER").alias("kind"), (F.col("event_id") % 23).cast("int").alias("station"))
-    out = fresh_path(t.spark, "pairs")
-    q = PA.pair_stream(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(t.spark, "progress")).outputMode("append").trigger(availableNow=True).start()
-    AC.run_to_end(q)
-    return t.spark.read.schema(PA.OUT_SCHEMA).parquet(out)
+    """The pairs of a run over the event file, with what is still open at its end."""
+    ev, schema = F.col("event_type"), t.events.schema
+
+    def events(spark):
+        return AC.file_stream(spark, t.sf_dir, schema, "events.parquet").select(
+            "user_id", F.timestamp_seconds(clocks.epoch_s(F.col("ts"))).alias("ts"), clocks.epoch_s(F.col("ts")).alias("s"), F.col("event_id").alias("seq"),
+            F.when(ev.isin("view", "click"), "ENTRY").when(ev.isin("purchase", "signup"), "EXIT").otherwise("BARRIER").alias("kind"), (F.col("event_id") % 23).cast("int").alias("station"))
+
+    return PA.pair_files(t.spark, events, fresh_path(t.spark, "pairs"), fresh_path(t.spark, "progress")).drop("user_id")

@@ -61,21 +61,29 @@ def test_barrier_pairs_equal_state_machine(spark, width):
 def test_stream_pairing_over_batches_equals_batch(spark, tmp_path):
     ev = random_events(400, 77, span=40_000)
     top = max(e[1] for e in ev)
+    # the last instant belongs to the result: two users leave at it, one of them also enters at it
+    ev += [(901, top - 500, 9001, "ENTRY", 1), (901, top, 9002, "EXIT", 2), (902, top - 400, 9003, "ENTRY", 3), (902, top, 9004, "EXIT", 4), (902, top, 9005, "ENTRY", 4)]
     src = tmp_path / "in"
-    for n, (lo, hi) in enumerate([(0, 9000), (9000, 20_000), (20_000, 10 ** 9)]):
+    schema = "user_id long, s long, seq long, kind string, station int"
+    for n, (lo, hi) in enumerate([(0, 9000), (9000, 20_000), (20_000, top - 450), (top - 450, 10 ** 9)]):
         part = [e for e in ev if lo <= e[1] < hi]
-        df = spark.createDataFrame(part, "user_id long, s long, seq long, kind string, station int")
-        df.coalesce(1).write.mode("append").parquet(str(src))
-        for f in src.glob("*.parquet"):
-            if f.stat().st_mtime < 2 * 10 ** 9 and not f.name.startswith("done"):
-                os.utime(f, (2 * 10 ** 9 + n * 10, 2 * 10 ** 9 + n * 10))
-    s = AC.file_stream(spark, str(src), "user_id long, s long, seq long, kind string, station int", files_per_batch=1).withColumn("ts", F.timestamp_seconds("s"))
-    out = str(tmp_path / "out")
-    q = PA.pair_stream(s, max_s=9000).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    AC.run_to_end(q)
-    got = sorted(tuple(r) for r in spark.read.schema(PA.OUT_SCHEMA).parquet(out).select("user_id", "entry_station", "exit_station", "entry_s", "exit_s").collect())
-    want = sorted(p for u in {e[0] for e in ev} for p in state_machine([e for e in ev if e[0] == u], 9000) if p[4] < top)
-    assert got == want
+        seen = set(src.glob("*.parquet"))
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+        for f in set(src.glob("*.parquet")) - seen:
+            os.utime(f, (10 ** 9 + n * 10, 10 ** 9 + n * 10))
+    events = lambda s: AC.file_stream(s, str(src), schema, files_per_batch=1).withColumn("ts", F.timestamp_seconds("s"))
+    store = spark.conf.get(PA.STATE_STORE[0], "")
+    pairs = PA.pair_files(spark, events, str(tmp_path / "out"), str(tmp_path / "cp"), max_s=9000)
+    got = sorted((r.user_id, r.entry_station, r.exit_station, r.entry_s, r.exit_s) for r in pairs.collect())
+    want = sorted(p for u in {e[0] for e in ev} for p in state_machine([e for e in ev if e[0] == u], 9000))
+    assert got == want and (901, 1, 2, top - 500, top) in got and not any(g[0] == 902 for g in got)
+    assert spark.conf.get(PA.STATE_STORE[0], "") == store
+    # a second run over a new file goes on from the state as if nothing had been flushed
+    more = [(901, top + 10, 9006, "ENTRY", 5), (901, top + 20, 9007, "EXIT", 6)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(src))
+    again = PA.pair_files(spark, events, str(tmp_path / "out"), str(tmp_path / "cp"), max_s=9000)
+    got = sorted((r.user_id, r.entry_station, r.exit_station, r.entry_s, r.exit_s) for r in again.collect())
+    assert got == sorted([*want, (901, 5, 6, top + 10, top + 20)])
 
 
 def test_accumulation_is_idempotent(spark, tmp_path):
