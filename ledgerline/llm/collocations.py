@@ -34,14 +34,14 @@ SUPPORT, LONGEST = 100, 5
 SHARE = 100
 MOST = 2000
 SHARDS = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Hashes are kept to 40 bits within a range; a range holds about so many entries of a shard.
 LOW_BITS, RANGE_ROWS = 40, 2_000_000
 #: Bits for each candidate in the bit table, and most bits in all (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 SLICE_BITS = 1 << 16
 #: Distinct phrases that a task combines before it passes their counts on.
-COMBINED = 400_000
+COMBINED = 200_000
 SALTS = 64
 NO_LANG = "und"
 
