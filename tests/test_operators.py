@@ -267,7 +267,7 @@ def test_turnback_links_reach_the_objective(spark):
     arrivals += [(99, 1, 0), (99, 2, 100)]
     departures += [(99, 3, 300)]
     ddl = "key int, id long, at long"
-    out = V.turnback_links(spark.createDataFrame(arrivals, ddl), spark.createDataFrame(departures, ddl), ["key"], 2, 12, 20.0).collect()
+    out = V.turnback_links(spark.createDataFrame(arrivals, ddl), spark.createDataFrame(departures, ddl), ["key"], 2, 12, 20.0, block=2).collect()
     for key, (links, gap) in want.items():
         own = [r for r in out if r.key == key]
         assert (len(own), sum(r.gap for r in own)) == (links, gap)
@@ -276,6 +276,65 @@ def test_turnback_links_reach_the_objective(spark):
     assert (late.arrival, late.gap) == (2, 200)  # the later arrival waits less
 
 
+def greedy_links(arrivals, departures, least, most):
+    """Departures of an earliest-first pass and arrivals of a latest-first pass, by rank."""
+    first, i = [], 0
+    for d in sorted(departures):
+        while i < len(arrivals) and sorted(arrivals)[i][0] < d[0] - most:
+            i += 1
+        if i < len(arrivals) and sorted(arrivals)[i][0] + least <= d[0]:
+            first.append(d)
+            i += 1
+    last, rest = [], sorted(departures)
+    for a in sorted(arrivals, reverse=True):
+        while rest and rest[-1][0] > a[0] + most:
+            rest.pop()
+        if rest and rest[-1][0] >= a[0] + least:
+            last.append(a)
+            rest.pop()
+    return sorted((a[1], d[1], d[0] - a[0]) for a, d in zip(sorted(last), first, strict=True))
+
+
+def test_turnback_links_of_a_busy_key_in_blocks(spark):
+    rng = random.Random(11)
+    # one key has nine tenths of the rows and no quiet time; a null key is a key
+    rows = [(1 if rng.random() < 0.9 else None, i, rng.randrange(0, 900), rng.random() < 0.5) for i in range(600)]
+    part = lambda leaves: spark.createDataFrame([r[:3] for r in rows if r[3] is leaves], "key int, id long, at long")
+    out = V.turnback_links(part(False), part(True), ["key"], 5, 40, 50.0, block=16).collect()
+    for key in (1, None):
+        own = [(t, i) for k, i, t, leaves in rows if k == key and not leaves], [(t, i) for k, i, t, leaves in rows if k == key and leaves]
+        assert sorted((r.arrival, r.departure, r.gap) for r in out if r.key == key) == greedy_links(*own, 5, 40)
+
+
+def test_circulations_are_ordered_chains(spark):
+    n = 1000
+    services = [(i, 10 * i) for i in range(n)] + [(5000, 5), (6001, 7), (6000, 7)]
+    links = [(i, i + 1) for i in range(n - 1)] + [(6000, 6001)]
+    random.Random(1).shuffle(links)
+    sv = lambda rows: spark.createDataFrame(rows, "id long, at long")
+    ln = lambda rows: spark.createDataFrame(rows, "arrival long, departure long")
+    rounds = []
+    cut = V.cut_lineage
+    V.cut_lineage = lambda df: rounds.append(1) or cut(df)
+    try:
+        out = V.circulations(sv(services), ln(links), 1000.0).collect()
+    finally:
+        V.cut_lineage = cut
+    assert (len(rounds) - 3) / 2 < 12  # two tables a round
+    got = {r.id: (r.circulation, r.position, r.length) for r in out}
+    assert len(out) == len(services) and all(got[i] == (0, i, n) for i in range(n))
+    assert got[5000] == (1, 0, 1) and got[6000] == (2, 0, 2) and got[6001] == (2, 1, 2)
+    with pytest.raises(ValueError, match="predecessors"):
+        V.circulations(sv(services), ln([(1, 3), (2, 3)]), 1000.0)
+    with pytest.raises(ValueError, match="successors"):
+        V.circulations(sv(services), ln([(1, 3), (1, 4)]), 1000.0)
+    with pytest.raises(ValueError, match="cycle"):
+        V.circulations(sv(services), ln([(1, 2), (2, 3), (3, 1)]), 1000.0)
+    # an alternating chain and a service left alone
+    out = V.circulations(spark.createDataFrame([(1, 0), (2, 140), (3, 280), (4, 430), (9, 900)], "id long, at long"), ln([(1, 2), (2, 3), (3, 4)]), 1000.0).collect()
+    assert sorted((r.circulation, r.position, r.id) for r in out) == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (0, 3, 4), (1, 0, 9)]
+
+
 def test_routes_of_any_length_keep_their_cohorts(spark):
     legs = [(0, 9, r, n, k + 1, a, b) for r, path in ((1, [0, 9]), (2, [0, 1, 2, 9]), (3, [0, 1, 2, 3, 4, 9])) for n in [len(path) - 1] for k, (a, b) in enumerate(zip(path, path[1:], strict=False))]
     legs.append((0, 9, 4, 2, 1, 0, 1))  # its second leg is missing
