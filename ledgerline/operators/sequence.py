@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline import skew
+from ledgerline.operators import quantiles as Q
+from ledgerline.session import cut_lineage
 
 # Longest journey of the status form, of the fare form, longest stitch gap.
 MAX_STATUS_JOURNEY_S = 8 * 3600
@@ -177,28 +179,100 @@ def increasing_only(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     return df.join(bad, list(keys), "left_anti")
 
 
-# Uncertainty of a filled stop grows by 25 s per stop from 30 s, up to 600 s.
+# Uncertainty of a filled stop grows by 25 s per unit of distance from 30 s, up to 600 s; run times per edge that count, and the one without any.
 FILL_BASE_S, FILL_STEP_S, FILL_MAX_S = 30, 25, 600
+EDGE_LEAST_S, EDGE_MOST_S, EDGE_DEFAULT_S = 30, 300, 121.0
+# Largest event offset, least gap between events of a root, prior weight of its old offsets.
+OFFSET_MOST_S, EVENT_GAP_S, OFFSET_PRIOR = 180.0, 1.0, 300.0
 
 
-def complete_corridor(events: DataFrame, trip: str, pos: str, value: str, lo: int, hi: int, edge_s: float) -> DataFrame:
-    """Fills every corridor position of each trip.
+def _middle(values: Column) -> Column:
+    """Median of a short sorted array."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2.0
 
-    Between two observed stops by linear interpolation, outside them by the per-edge
-    run time; observed stops stay as they are, those beyond ``lo..hi`` too, which widen
-    their trip's range. The positions of one trip are one small ordered group.
+
+def observed_stops(events: DataFrame, trip: str, line: str, pos: str, time: str) -> DataFrame:
+    """One row per trip with its observed stops as an array in corridor order; a trip has at most one stop for each position."""
+    return events.groupBy(trip, line).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(time).cast("double").alias("t")))).alias("obs"))
+
+
+def edge_times(stops: DataFrame, line: str, width: float = 10.0) -> DataFrame:
+    """Median run time per edge of each line, from neighbouring observed stops; lines without one take that of all lines."""
+    pair = F.zip_with(F.slice("obs", 1, F.size("obs") - 1), F.slice("obs", 2, F.size("obs")), lambda a, b: F.abs(b["t"] - a["t"]) / (b["p"] - a["p"]))
+    each = cut_lineage(stops.select(line, F.explode(pair).alias("per")).where(F.col("per").between(EDGE_LEAST_S, EDGE_MOST_S)))
+    own, whole = Q.median(each, [line], "per", width, "per"), Q.median(each, [], "per", width, "per")
+    lines = stops.select(line).distinct()
+    return lines.join(own, line, "left").select(line, F.coalesce("per", F.coalesce(whole.scalar(), F.lit(EDGE_DEFAULT_S))).alias("per_edge"))
+
+
+def complete_trips(events: DataFrame, trip: str, line: str, pos: str, time: str, lo: int, hi: int) -> DataFrame:
+    """Every corridor position of each trip: ``trip, pos, filled, uncertainty, original``.
+
+    Observed stops stay as they are. The others lie on a line with the run time per edge
+    of the trip's line through the median of the intercepts that the observed stops give.
+    Trips with one stop only are left as they are. One shuffle brings the stops of a trip
+    together; all else happens in its row.
+    """
+    stops = cut_lineage(observed_stops(events, trip, line, pos, time))
+    x = stops.join(edge_times(stops, line), line)
+    first, last = F.get("obs", F.lit(0)), F.element_at("obs", -1)
+    x = x.withColumns({"sign": F.when(last["t"] >= first["t"], 1.0).otherwise(-1.0), "ref": _middle(F.transform("obs", lambda o: o["p"].cast("double")))})
+    x = x.withColumn("at", _middle(F.array_sort(F.transform("obs", lambda o: o["t"] - F.col("sign") * (o["p"] - F.col("ref")) * F.col("per_edge")))))
+    reach = F.sequence(F.least(F.lit(lo).cast("bigint"), first["p"].cast("bigint")), F.greatest(F.lit(hi).cast("bigint"), last["p"].cast("bigint")))
+    asked = F.when(F.size("obs") >= 2, reach).otherwise(F.transform("obs", lambda o: o["p"].cast("bigint")))
+    y = x.select(trip, "obs", "sign", "ref", "at", "per_edge", F.explode(asked).alias(pos))
+    own = F.get(F.filter("obs", lambda o: o["p"] == F.col(pos)), F.lit(0))["t"]
+    near = F.array_min(F.transform("obs", lambda o: F.abs(o["p"] - F.col(pos))))
+    filled = F.coalesce(own, F.col("at") + F.col("sign") * (F.col(pos) - F.col("ref")) * F.col("per_edge"))
+    unc = F.when(own.isNotNull(), 0).otherwise(F.least(F.lit(FILL_MAX_S), FILL_BASE_S + FILL_STEP_S * near))
+    return y.select(trip, pos, filled.alias("filled"), unc.cast("bigint").alias("uncertainty"), own.isNotNull().alias("original"))
+
+
+def complete_variants(events: DataFrame, variants: DataFrame, trip: str, line: str, node: str, time: str, base_s: float) -> DataFrame:
+    """Completions that keep every observed event: ``trip, variant, node, filled, uncertainty, role``.
+
+    ``variants`` has (line, variant, i, node, cum): the nodes of each corridor variant in
+    order with their distance from its start. A variant counts for a trip of two stops or
+    more if it holds all its stops and they come at rising places in the order of time.
+    Between two observed stops time goes with distance, outside them by the run time per
+    unit that the observed stops of the line have.
+    """
+    paths = variants.groupBy(line, "variant").agg(F.array_sort(F.collect_list(F.struct("i", F.col("node").alias("n"), F.col("cum").cast("double").alias("c")))).alias("path"))
+    seen = cut_lineage(observed_stops(events, trip, line, node, time).where(F.size("obs") >= 2))
+    x = seen.join(edge_times(seen, line), line).join(paths, line)
+    place = lambda n: F.get(F.filter("path", lambda q: q["n"] == n), F.lit(0))
+    x = x.withColumn("on", F.array_sort(F.transform("obs", lambda o: F.struct(o["t"].alias("t"), place(o["p"]).alias("at")))))
+    rising = F.forall(F.zip_with(F.slice("on", 1, F.size("on") - 1), F.slice("on", 2, F.size("on")), lambda a, b: F.coalesce((a["t"] < b["t"]) & (a["at"]["i"] < b["at"]["i"]), F.lit(False))), lambda ok: ok)
+    x = cut_lineage(x.where(rising & F.forall("on", lambda o: o["at"].isNotNull())).select(trip, "variant", "per_edge", "on", F.explode("path").alias("q")))
+    i, c = F.col("q.i"), F.col("q.c")
+    x = x.withColumns({"own": F.get(F.filter("on", lambda o: o["at"]["i"] == i), F.lit(0)), "left": F.try_element_at(F.filter("on", lambda o: o["at"]["i"] < i), F.lit(-1)),
+                       "right": F.get(F.filter("on", lambda o: o["at"]["i"] > i), F.lit(0))})
+    lc, rc, lt, rt = F.col("left.at.c"), F.col("right.at.c"), F.col("left.t"), F.col("right.t")
+    share = F.when(rc - lc <= 1e-9, 0.5).otherwise((c - lc) / (rc - lc))
+    filled = F.coalesce(F.col("own.t"), lt + share * (rt - lt), lt + (c - lc) * F.col("per_edge"), rt - (rc - c) * F.col("per_edge"))
+    far = F.least(c - lc, rc - c)
+    unc = F.when(F.col("own").isNotNull(), base_s).otherwise(F.least(F.lit(float(FILL_MAX_S)), F.greatest(F.lit(float(base_s)), FILL_BASE_S + FILL_STEP_S * far)))
+    role = (F.when(F.col("own").isNotNull(), "ORIGINAL").when(F.col("left").isNotNull() & F.col("right").isNotNull(), "BETWEEN_OBSERVED_ANCHORS")
+            .when(F.col("left").isNotNull(), "EXTRAPOLATED_AFTER_LAST_OBSERVED").otherwise("EXTRAPOLATED_BEFORE_FIRST_OBSERVED"))
+    return x.select(trip, "variant", F.col("q.n").alias(node), filled.alias("filled"), unc.alias("uncertainty"), role.alias("role"))
+
+
+def repair_offsets(events: DataFrame, root: str, seq: str, time: str, old: str, direct: str, weight: str) -> DataFrame:
+    """New offsets of a root's events: ``root, seq, offset, repaired``.
+
+    Direct offsets are interpolated over the event numbers, the nearest one holds outside
+    them; the blend with the old offsets goes by the largest weight of the root; then
+    events are pushed apart in order. A root without direct offsets keeps its old ones.
     """
-    reach = events.groupBy(trip).agg(F.least(F.lit(lo), F.min(pos)).cast("bigint").alias("__lo"), F.greatest(F.lit(hi), F.max(pos)).cast("bigint").alias("__hi"))
-    grid = reach.select(trip, F.explode(F.sequence("__lo", "__hi")).alias(pos))
-    x = grid.join(events, [trip, pos], "left")
-    x = x.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-    x = skew.chunked(x, [trip], [pos], None, known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
-    a, b, p = F.col("__a"), F.col("__b"), F.col(pos)
-    mid = a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
-    filled = F.coalesce(F.col(value).cast("double"), mid, a["v"] + (p - a["p"]) * edge_s, b["v"] - (b["p"] - p) * edge_s)
-    far = F.least(p - a["p"], b["p"] - p)
-    unc = F.when(F.col(value).isNotNull(), F.lit(0)).otherwise(F.least(F.lit(FILL_MAX_S), FILL_BASE_S + FILL_STEP_S * far))
-    return x.select(trip, pos, F.round(filled, 6).alias("filled"), unc.cast("bigint").alias("uncertainty"))
+    clip = lambda c: F.greatest(F.lit(-OFFSET_MOST_S), F.least(F.lit(OFFSET_MOST_S), c))
+    x = interpolate(events, [root], seq, direct, None, "__i")
+    x = skew.chunked(x.withColumn("__w0", F.when(F.col(direct).isNotNull(), F.col(weight))), [root], [seq], None, totals={"__w": ("max", "__w0")})
+    alpha = F.col("__w") / (F.col("__w") + OFFSET_PRIOR)
+    x = x.withColumn("__v", clip(alpha * F.col("__i") + (F.lit(1.0) - alpha) * F.col(old))).withColumn("__t", F.col(time) + F.col("__v"))
+    x = forward_floor(x, [root], seq, "__t", EVENT_GAP_S, None, "__fixed")
+    offset = F.when(F.col("__w").isNull(), F.col(old)).otherwise(clip(F.col("__fixed") - F.col(time)))
+    return x.select(root, seq, offset.alias("offset"), (F.col("__w").isNotNull() & (F.col("__fixed") > F.col("__t") + 1e-9)).alias("repaired"))
 
 
 def bracketed_times(events: DataFrame, unique_paths: DataFrame, trip: str, node: str, time: str, chunk: Column) -> DataFrame:

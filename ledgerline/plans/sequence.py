@@ -216,49 +216,71 @@ def _(t):
     return x.select("event_id", F.round("filled", 6).alias("filled"))
 
 
-CORRIDOR = """ev AS (SELECT l_orderkey AS trip, l_linenumber*3 AS pos, min(epoch_us(l_shipdate)//86400000000) AS obs FROM lineitem GROUP BY 1,2),
- grid AS (SELECT trip, unnest(range(0,25)) AS pos FROM (SELECT DISTINCT trip FROM ev)), j AS (SELECT trip, pos, obs FROM grid LEFT JOIN ev USING (trip,pos)),
- k AS (SELECT *, last_value(CASE WHEN obs IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS ap, last_value(obs IGNORE NULLS) OVER b AS av,
-  first_value(CASE WHEN obs IS NOT NULL THEN pos END IGNORE NULLS) OVER f AS bp, first_value(obs IGNORE NULLS) OVER f AS bv FROM j
-  WINDOW b AS (PARTITION BY trip ORDER BY pos ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY trip ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+STOPS = """ev AS (SELECT l_orderkey AS trip, l_orderkey%6 AS line, l_linenumber*3 AS pos, min((l_orderkey*97)%86400 + (CASE WHEN l_orderkey%4=3 THEN -1 ELSE 1 END)*l_linenumber*3*(60+l_orderkey%6*15) + l_partkey%40)::DOUBLE AS t FROM lineitem GROUP BY 1,2,3),
+ per AS (SELECT line, abs(t-pt)/(pos-pp) AS per FROM (SELECT *, lag(t) OVER w AS pt, lag(pos) OVER w AS pp FROM ev WINDOW w AS (PARTITION BY trip ORDER BY pos)) WHERE pp IS NOT NULL AND abs(t-pt)/(pos-pp) BETWEEN 30 AND 300),
+ edge AS (SELECT line, coalesce(m, (SELECT median(per) FROM per), 121.0) AS per_edge FROM (SELECT DISTINCT line FROM ev) LEFT JOIN (SELECT line, median(per) AS m FROM per GROUP BY 1) USING (line))"""
 
 
-def corridor_events(t):
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), (F.col("l_linenumber") * 3).cast("bigint").alias("pos")).agg(
-        F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("bigint").alias("obs"))
+def trip_stops(t):
+    """Stops of trips on six lines, every fourth trip against the corridor's order."""
+    sign = F.when(F.col("l_orderkey") % 4 == 3, -1).otherwise(1)
+    at = F.col("l_orderkey") * 97 % 86400 + sign * F.col("l_linenumber") * 3 * (60 + F.col("l_orderkey") % 6 * 15) + F.col("l_partkey") % 40
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), (F.col("l_orderkey") % 6).alias("line"), (F.col("l_linenumber") * 3).cast("bigint").alias("pos")).agg(F.min(at).cast("double").alias("t"))
 
 
 @query("W18_gap_completion", f"""
-WITH {CORRIDOR} SELECT trip, pos, round(coalesce(obs, av+(bv-av)*(pos-ap)/nullif(bp-ap,0)::DOUBLE, av+(pos-ap)*90.0, bv-(bp-pos)*90.0)::DOUBLE,6) AS filled,
- CASE WHEN obs IS NOT NULL THEN 0 ELSE least(600, 30+25*least(coalesce(pos-ap,1000),coalesce(bp-pos,1000))) END::BIGINT AS uncertainty FROM k""")
+WITH {STOPS}, tr AS (SELECT trip, line, per_edge, count(*) AS n, median(pos::DOUBLE) AS ref, CASE WHEN arg_max(t,pos)>=arg_min(t,pos) THEN 1.0 ELSE -1.0 END::DOUBLE AS sgn FROM ev JOIN edge USING (line) GROUP BY ALL),
+ ic AS (SELECT trip, median(t-sgn*(pos-ref)*per_edge) AS at_ FROM ev JOIN tr USING (trip) GROUP BY 1),
+ grid AS (SELECT trip, unnest(range(0,25)) AS pos FROM tr WHERE n>=2 UNION SELECT trip, pos FROM ev),
+ near AS (SELECT g.trip, g.pos, min(abs(g.pos-ev.pos)) AS d FROM grid g JOIN ev USING (trip) GROUP BY ALL)
+SELECT grid.trip, grid.pos, round(coalesce(ev.t, at_+sgn*(grid.pos-ref)*per_edge),4) AS filled, CASE WHEN ev.t IS NOT NULL THEN 0 ELSE least(600, 30+25*d) END::BIGINT AS uncertainty, ev.t IS NOT NULL AS original
+FROM grid JOIN tr USING (trip) JOIN ic USING (trip) JOIN near ON near.trip=grid.trip AND near.pos=grid.pos LEFT JOIN ev ON ev.trip=grid.trip AND ev.pos=grid.pos""")
 def _(t):
-    return S.complete_corridor(corridor_events(t), "trip", "pos", "obs", 0, 24, 90.0)
+    return S.complete_trips(trip_stops(t), "trip", "line", "pos", "t", 0, 24).withColumn("filled", F.round("filled", 4))
+
+
+#: Corridors out of the nations' numbers: the plain order, the order back, and one that leaves out every node of the form 5k + 1.
+VARIANTS = """vn AS (SELECT line, v AS variant, n_nationkey AS node, (1+n_nationkey%3)::DOUBLE AS len, CASE WHEN v=1 THEN 24-n_nationkey ELSE n_nationkey END AS o FROM nation, range(0,6) AS l(line), range(0,3) AS k(v) WHERE v<2 OR n_nationkey%5<>1),
+ va AS (SELECT line, variant, node, row_number() OVER w - 1 AS i, sum(len) OVER w AS cum FROM vn WINDOW w AS (PARTITION BY line, variant ORDER BY o))"""
+
+
+def corridor_variants(t):
+    x = t.nation.select(F.col("n_nationkey").cast("bigint").alias("node"), (1 + F.col("n_nationkey") % 3).cast("double").alias("len"))
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("line")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("variant")).where("variant < 2 or node % 5 <> 1")
+    x = x.withColumns({"o": F.when(F.col("variant") == 1, 24 - F.col("node")).otherwise(F.col("node")), "one": F.lit(1).cast("bigint"), "line": F.col("line").cast("bigint")})
+    x = skew.running(x, ["line", "variant"], ["o"], None, {"i": ("sum", "one"), "cum": ("sum", "len")})
+    return x.select("line", "variant", (F.col("i") - 1).alias("i"), "node", "cum")
 
 
 @query("W19_observed_preserving_completion", f"""
-WITH ev AS (SELECT l_orderkey AS trip, l_linenumber*3 AS pos, min(epoch_us(l_shipdate)//86400000000) AS obs FROM lineitem GROUP BY 1,2),
- bad AS (SELECT DISTINCT trip FROM (SELECT trip, obs <= lag(obs) OVER (PARTITION BY trip ORDER BY pos) AS b FROM ev) WHERE b),
- grid AS (SELECT trip, unnest(range(0,25)) AS pos FROM (SELECT DISTINCT trip FROM ev)), j AS (SELECT trip, pos, obs FROM grid LEFT JOIN ev USING (trip,pos)),
- k AS (SELECT *, last_value(CASE WHEN obs IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS ap, last_value(obs IGNORE NULLS) OVER b AS av,
-  first_value(CASE WHEN obs IS NOT NULL THEN pos END IGNORE NULLS) OVER f AS bp, first_value(obs IGNORE NULLS) OVER f AS bv FROM j
-  WINDOW b AS (PARTITION BY trip ORDER BY pos ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY trip ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT trip, pos, round(coalesce(obs, av+(bv-av)*(pos-ap)/nullif(bp-ap,0)::DOUBLE, av+(pos-ap)*90.0, bv-(bp-pos)*90.0)::DOUBLE,6) AS filled,
- CASE WHEN obs IS NOT NULL THEN 0 ELSE least(600, 30+25*least(coalesce(pos-ap,1000),coalesce(bp-pos,1000))) END::BIGINT AS uncertainty FROM k WHERE trip NOT IN (SELECT trip FROM bad)""")
+WITH {STOPS}, {VARIANTS}, many AS (SELECT trip FROM ev GROUP BY 1 HAVING count(*)>=2),
+ seen AS (SELECT ev.trip, vs.variant, ev.line, ev.pos, ev.t, va.i, va.cum FROM ev SEMI JOIN many USING (trip) JOIN (SELECT DISTINCT line, variant FROM va) vs ON vs.line=ev.line LEFT JOIN va ON va.line=ev.line AND va.variant=vs.variant AND va.node=ev.pos),
+ gate AS (SELECT trip, variant FROM (SELECT *, lag(i) OVER w AS pi, lag(t) OVER w AS pt, row_number() OVER w AS rn FROM seen WINDOW w AS (PARTITION BY trip, variant ORDER BY t, pos)) GROUP BY 1,2 HAVING bool_and(i IS NOT NULL AND (rn=1 OR coalesce(pi<i AND pt<t,false)))),
+ grid AS (SELECT g.trip, g.variant, va.node, va.i, va.cum, s.t FROM gate g JOIN (SELECT DISTINCT trip, line FROM ev) e USING (trip) JOIN va ON va.line=e.line AND va.variant=g.variant LEFT JOIN seen s ON s.trip=g.trip AND s.variant=g.variant AND s.i=va.i),
+ k AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN cum END IGNORE NULLS) OVER b AS lc, last_value(t IGNORE NULLS) OVER b AS lt, first_value(CASE WHEN t IS NOT NULL THEN cum END IGNORE NULLS) OVER f AS rc, first_value(t IGNORE NULLS) OVER f AS rt FROM grid
+  WINDOW b AS (PARTITION BY trip, variant ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY trip, variant ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT k.trip, variant::INT AS variant, node AS pos, round(coalesce(t, lt+CASE WHEN rc-lc<=1e-9 THEN 0.5 ELSE (cum-lc)/(rc-lc) END*(rt-lt), lt+(cum-lc)*per_edge, rt-(rc-cum)*per_edge),4) AS filled,
+ CASE WHEN t IS NOT NULL THEN 15.0 ELSE least(600.0, greatest(15.0, 30+25*least(coalesce(cum-lc,1e9), coalesce(rc-cum,1e9)))) END::DOUBLE AS uncertainty,
+ CASE WHEN t IS NOT NULL THEN 'ORIGINAL' WHEN lt IS NOT NULL AND rt IS NOT NULL THEN 'BETWEEN_OBSERVED_ANCHORS' WHEN lt IS NOT NULL THEN 'EXTRAPOLATED_AFTER_LAST_OBSERVED' ELSE 'EXTRAPOLATED_BEFORE_FIRST_OBSERVED' END AS role
+FROM k JOIN (SELECT DISTINCT trip, line FROM ev) e USING (trip) JOIN edge USING (line)""")
 def _(t):
-    ev = corridor_events(t)
-    ok = S.increasing_only(ev, ["trip"], ["pos"], "obs", None)
-    return S.complete_corridor(ok, "trip", "pos", "obs", 0, 24, 90.0)
+    x = S.complete_variants(trip_stops(t), corridor_variants(t), "trip", "line", "pos", "t", 15.0)
+    return x.withColumn("filled", F.round("filled", 4))
 
 
 @query("W20_monotone_repair", """
-WITH ev AS (SELECT l_orderkey AS trip, l_linenumber AS pos, min(epoch_us(l_shipdate)//86400000000)::DOUBLE AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1,2),
- b AS (SELECT trip, pos, v*(w/(w+300.0::DOUBLE)) + (9000.0::DOUBLE+pos)*(300.0::DOUBLE/(w+300.0::DOUBLE)) AS x FROM ev)
-SELECT trip, pos, round(max(x-pos*15.0::DOUBLE) OVER (PARTITION BY trip ORDER BY pos ROWS UNBOUNDED PRECEDING)+pos*15.0::DOUBLE,6) AS repaired FROM b""")
+WITH ev AS (SELECT l_orderkey AS root, l_linenumber AS seq, min((l_orderkey*97)%86400 + l_linenumber*40 + l_partkey%20)::DOUBLE AS base, min(l_discount*1000-50) AS old, min(CASE WHEN l_returnflag<>'N' THEN l_tax*6000-240 END) AS direct, min(l_quantity*10) AS w FROM lineitem GROUP BY 1,2),
+ k AS (SELECT *, last_value(CASE WHEN direct IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS ap, last_value(direct IGNORE NULLS) OVER b AS av, first_value(CASE WHEN direct IS NOT NULL THEN seq END IGNORE NULLS) OVER f AS bp, first_value(direct IGNORE NULLS) OVER f AS bv,
+  max(CASE WHEN direct IS NOT NULL THEN w END) OVER (PARTITION BY root) AS wm FROM ev WINDOW b AS (PARTITION BY root ORDER BY seq ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY root ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ v AS (SELECT *, greatest(-180.0, least(180.0, wm/(wm+300.0)*coalesce(direct, av+(bv-av)*(seq-ap)/nullif(bp-ap,0), av, bv) + (1-wm/(wm+300.0))*old)) AS v FROM k),
+ f AS (SELECT *, max(base+v-seq*1.0) OVER (PARTITION BY root ORDER BY seq ROWS UNBOUNDED PRECEDING)+seq*1.0 AS fixed FROM v)
+SELECT root, seq, round(CASE WHEN wm IS NULL THEN old ELSE greatest(-180.0, least(180.0, fixed-base)) END,6) AS offset_s, wm IS NOT NULL AND fixed>base+v+1e-9 AS repaired FROM f""")
 def _(t):
-    ev = t.lineitem.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("pos")).agg(
-        F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("double").alias("v"), F.sum("l_quantity").alias("w"))
-    b = ev.withColumn("x", S.shrink(F.col("v"), F.lit(9000.0) + F.col("pos"), F.col("w"), 300.0))
-    return S.forward_floor(b, ["trip"], "pos", "x", 15.0, None, "repaired").select("trip", "pos", F.round("repaired", 6).alias("repaired"))
+    ev = t.lineitem.groupBy(F.col("l_orderkey").alias("root"), F.col("l_linenumber").alias("seq")).agg(
+        F.min(F.col("l_orderkey") * 97 % 86400 + F.col("l_linenumber") * 40 + F.col("l_partkey") % 20).cast("double").alias("base"), F.min(F.col("l_discount") * 1000 - 50).alias("old"),
+        F.min(F.when(F.col("l_returnflag") != "N", F.col("l_tax") * 6000 - 240)).alias("direct"), F.min(F.col("l_quantity") * 10).alias("w"))
+    x = S.repair_offsets(ev, "root", "seq", "base", "old", "direct", "w")
+    return x.select("root", "seq", F.round("offset", 6).alias("offset_s"), "repaired")
 
 
 @query("W21_min_rank", """

@@ -375,10 +375,104 @@ def test_hazard_of_many_departures_stays_finite(spark):
         assert value == pytest.approx(0.8 * s, rel=1e-9, abs=1e-15)
 
 
-def test_corridor_keeps_stops_beyond_its_range(spark):
-    ev = spark.createDataFrame([(1, -2, 10), (1, 3, 20)], "trip long, pos long, t long")
-    out = S.complete_corridor(ev, "trip", "pos", "t", 0, 2, 5.0)
-    assert sorted(r.pos for r in out.collect()) == [-2, -1, 0, 1, 2, 3] and out.where("pos = -2 and filled = 10").count() == 1
+def brute_edge_times(trips):
+    """Median run time per edge of each line and of all lines."""
+    each = {}
+    for line, obs in trips.values():
+        for (p, a), (q, b) in zip(obs, obs[1:], strict=False):
+            if 30 <= abs(b - a) / (q - p) <= 300:
+                each.setdefault(line, []).append(abs(b - a) / (q - p))
+    every = sorted(x for v in each.values() for x in v)
+    return lambda line: float(np.median(each[line])) if line in each else float(np.median(every)) if every else 121.0
+
+
+def random_trips(seed, n=30):
+    rng, trips = random.Random(seed), {}
+    for k in range(n):
+        obs = sorted(rng.sample(range(-2, 12), rng.randrange(1, 6)))
+        back = rng.random() < 0.4
+        trips[k] = (k % 4, [(p, 1000.0 + (-1 if back else 1) * p * rng.randrange(60, 90) + rng.randrange(15)) for p in obs])
+    return trips
+
+
+def trip_frame(spark, trips):
+    return spark.createDataFrame([(k, line, p, t) for k, (line, obs) in trips.items() for p, t in obs], "trip long, line long, pos long, t double")
+
+
+def test_trips_are_completed_from_learnt_run_times(spark):
+    trips = random_trips(3)
+    trips[99] = (77, [(0, 5.0), (1, 6.0)])  # a line without a plausible run time
+    per = brute_edge_times(trips)
+    want = {}
+    for k, (line, obs) in trips.items():
+        ps, seen = [p for p, _ in obs], dict(obs)
+        if len(obs) < 2:
+            want |= {(k, p): (t, 0, True) for p, t in obs}
+            continue
+        sign, ref = (1 if obs[-1][1] >= obs[0][1] else -1), float(np.median(ps))
+        at = float(np.median([t - sign * (p - ref) * per(line) for p, t in obs]))
+        for p in range(min(0, *ps), max(10, *ps) + 1):
+            want[k, p] = (seen[p], 0, True) if p in seen else (at + sign * (p - ref) * per(line), min(600, 30 + 25 * min(abs(p - q) for q in ps)), False)
+    got = {(r.trip, r.pos): (r.filled, r.uncertainty, r.original) for r in S.complete_trips(trip_frame(spark, trips), "trip", "line", "pos", "t", 0, 10).collect()}
+    assert got.keys() == want.keys()
+    for key, (filled, unc, original) in want.items():
+        assert got[key][0] == pytest.approx(filled, abs=1e-6) and got[key][1:] == (unc, original)
+
+
+def test_completion_variants_keep_observed_events(spark):
+    trips = random_trips(4)
+    paths = {(line, v): order for line in range(4) for v, order in enumerate([list(range(-2, 13)), list(range(12, -3, -1)), [p for p in range(-2, 13) if p % 5 != 1]])}
+    length = lambda a, b: 0.5 + (a + b) % 3
+    cum = {key: [0.0 + sum(length(a, b) for a, b in zip(path[:i + 1], path[1:i + 1], strict=False)) for i in range(len(path))] for key, path in paths.items()}
+    rows = [(line, v, i, n, cum[line, v][i]) for (line, v), path in paths.items() for i, n in enumerate(path)]
+    per, want = brute_edge_times({k: x for k, x in trips.items() if len(x[1]) > 1}), {}
+    for k, (line, obs) in trips.items():
+        for v in range(3):
+            path, c = paths[line, v], cum[line, v]
+            ordered = sorted((t, p) for p, t in obs)
+            if len(obs) < 2 or not all(p in path for p, _ in obs):
+                continue
+            on = [(path.index(p), t) for t, p in ordered]
+            if not all(a[0] < b[0] and a[1] < b[1] for a, b in zip(on, on[1:], strict=False)):
+                continue
+            for i, n in enumerate(path):
+                own, left, right = [t for j, t in on if j == i], [x for x in on if x[0] < i], [x for x in on if x[0] > i]
+                if own:
+                    want[k, v, n] = own[0]
+                elif left and right:
+                    (a, s), (b, e) = left[-1], right[0]
+                    want[k, v, n] = s + (c[i] - c[a]) / (c[b] - c[a]) * (e - s)
+                else:
+                    want[k, v, n] = left[-1][1] + (c[i] - c[left[-1][0]]) * per(line) if left else right[0][1] - (c[right[0][0]] - c[i]) * per(line)
+    variants = spark.createDataFrame(rows, "line long, variant int, i int, node long, cum double")
+    out = S.complete_variants(trip_frame(spark, trips), variants, "trip", "line", "pos", "t", 15.0).collect()
+    got = {(r.trip, r.variant, r.pos): r.filled for r in out}
+    assert got.keys() == want.keys() and len({k[1] for k in want}) == 3
+    assert all(got[k] == pytest.approx(t, abs=1e-6) for k, t in want.items())
+    assert all(r.uncertainty == 15.0 for r in out if r.role == "ORIGINAL")
+
+
+def test_offset_repair_interpolates_before_the_floor(spark):
+    rng, rows, want = random.Random(6), [], {}
+    for root in range(25):
+        n = rng.randrange(1, 9)
+        base, old = sorted(rng.uniform(0, 40 * n) for _ in range(n)), [rng.uniform(-60, 60) for _ in range(n)]
+        direct = [rng.uniform(-400, 400) if rng.random() < 0.4 else None for _ in range(n)]
+        w = [rng.uniform(1, 900) for _ in range(n)]
+        rows += [(root, i, base[i], old[i], direct[i], w[i]) for i in range(n)]
+        at = [i for i in range(n) if direct[i] is not None]
+        if not at:
+            want |= {(root, i): old[i] for i in range(n)}
+            continue
+        alpha = max(w[i] for i in at) / (max(w[i] for i in at) + 300.0)
+        v = np.clip(alpha * np.interp(range(n), at, [direct[i] for i in at]) + (1 - alpha) * np.array(old), -180, 180)
+        t = np.array(base) + v
+        for i in range(1, n):
+            t[i] = max(t[i], t[i - 1] + 1.0)
+        want |= {(root, i): x for i, x in enumerate(np.clip(t - np.array(base), -180, 180))}
+    df = spark.createDataFrame(rows, "root long, seq long, base double, old double, direct double, w double")
+    got = {(r.root, r.seq): r.offset for r in S.repair_offsets(df, "root", "seq", "base", "old", "direct", "w").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(x, abs=1e-6) for k, x in want.items())
 
 
 def test_upstream_completion_over_thirty_edges(spark):
