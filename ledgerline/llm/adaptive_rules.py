@@ -79,7 +79,7 @@ def text_facts(text: Column) -> Column:
 
 def metrics() -> dict[str, Column]:
     """Whole thousandths; null without words."""
-    share = lambda part, of: F.floor(F.col(part) * 1000 / F.col(of)).cast("long")
+    share = lambda part, of: F.expr(f"{part} * 1000 DIV nullif({of}, 0)")
     return {"word_length": share("word_chars", "n_words"), "symbols": share("n_symbols", "n_words"),
             "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words")}
 

@@ -188,7 +188,7 @@ def _mined(range_bits: int, longest: int, shared):
             part = (key >> np.uint64(LOW_BITS)).astype(np.int64)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             rows = []
-            for a, z in zip(cut, np.append(cut[1:], len(part)), strict=True):
+            for a, z in zip(cut, np.append(cut, len(part))[1:], strict=True):
                 often = count[a:z] > 1
                 rows.append((int(part[a]), _pack(key[a:z][~often]), _pack(key[a:z][often]), count[a:z][often].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "once", "often", "counts"])
