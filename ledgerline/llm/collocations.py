@@ -3,7 +3,9 @@
 The documents fall into a fixed number of shards. A phrase with a count of at least the
 support has, in one shard at least, a count of at least the support times the shard's
 share of all text, so mining each shard completely at its lowered support and uniting
-what is found misses nothing. A second reading counts every candidate exactly.
+what is found misses nothing. Candidates whose local counts, with the most they can have
+in the other shards, stay below the support go again. A second reading counts every
+candidate exactly.
 
 A shard may be far larger than a task: the tasks reduce blocks of text to sorted phrase
 hashes with counts, packed as binary values, and the blocks of a shard meet by ranges
@@ -15,7 +17,8 @@ phrases through to the exact count, and never fewer.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -40,8 +43,8 @@ LOW_BITS, RANGE_ROWS = 40, 2_000_000
 #: Bits for each candidate in the bit table, and most bits in all (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 SLICE_BITS = 1 << 16
-#: Distinct phrases that a task combines before it passes their counts on.
-COMBINED = 200_000
+#: Counts of blocks that a task holds before it combines them.
+COMBINED = 1_000_000
 SALTS = 64
 NO_LANG = "und"
 
@@ -195,8 +198,13 @@ def _mined(range_bits: int, longest: int, shared):
     return run
 
 
+def below_support(least: float) -> int:
+    """The largest count that does not reach a local support."""
+    return max(0, math.ceil(least) - 1)
+
+
 def _frequent(range_bits: int, least: dict[int, float]):
-    """The keys of a shard's range that reach the shard's support."""
+    """The keys of a shard's range that reach the shard's support, with their count over what a phrase that does not reach it may have."""
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         once, often = _unpack(table.column("once")), _unpack(table.column("often"))
@@ -207,8 +215,10 @@ def _frequent(range_bits: int, least: dict[int, float]):
         low = keys & np.uint64((1 << LOW_BITS) - 1)
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
         total = np.add.reduceat(weight, start) if len(start) else weight
-        kept = low[start][total >= least.get(part >> range_bits, 0.0)]
-        return pa.table({"key": pa.array((kept | np.uint64((part & ((1 << range_bits) - 1)) << LOW_BITS)).astype(np.int64), pa.int64())})
+        below = below_support(least.get(part >> range_bits, 0.0))
+        found = total > below
+        key = low[start][found] | np.uint64((part & ((1 << range_bits) - 1)) << LOW_BITS)
+        return pa.table({"key": pa.array(key.astype(np.int64), pa.int64()), "over": pa.array(total[found] - below, pa.int64())})
     return run
 
 
@@ -247,11 +257,13 @@ def _counted(range_bits: int, longest: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for phrases, _ in _blocks(batches, longest):
-            held = [combined([*held, *of_block(phrases, shared.value)])]
-            if held[0].num_rows > COMBINED:
-                yield from out(held.pop())
-        for t in held:
-            yield from out(t)
+            held += of_block(phrases, shared.value)
+            if sum(t.num_rows for t in held) > COMBINED:
+                held = [combined(held)]
+                if held[0].num_rows > COMBINED // 2:
+                    yield from out(held.pop())
+        if held:
+            yield from out(combined(held))
     return run
 
 
@@ -278,7 +290,9 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", do
     def mine(table: BitTable | None) -> DataFrame:
         shared = spark.sparkContext.broadcast(table) if table else None
         packed = rows.mapInArrow(_mined(range_bits, longest, shared), "part long, once binary, often binary, counts binary")
-        return stage(packed.groupBy("part").applyInArrow(_frequent(range_bits, least), "key long").distinct(), "phrases")
+        found = packed.groupBy("part").applyInArrow(_frequent(range_bits, least), "key long, over long").groupBy("key").agg(F.sum("over").alias("over"))
+        # where a phrase was not found it has less than the local support: with all of that it must be able to reach the support
+        return stage(found.where(F.col("over") >= support - sum(map(below_support, least.values()))).select("key"), "phrases")
 
     short = mine(None)
     candidates = short.unionByName(mine(bit_table(short))).distinct() if longest > 2 else short
