@@ -275,3 +275,34 @@ def bridge_evidence(nodes: DataFrame, keys: dict[str, tuple[str, int]], componen
     b = rows.select("kind", "key", F.col(component).alias("cb"), F.col(line).alias("lb"))
     j = rows.withColumnsRenamed({component: "ca", line: "la"}).join(b, ["kind", "key"]).where("ca < cb and la <> lb")
     return j.groupBy("ca", "cb").agg(F.max("strength").alias("strength"), F.count_distinct("kind").alias("kinds"), F.count_distinct("kind", "key").alias("keys"))
+
+
+def segment_classes(want: DataFrame, variants: DataFrame, line: str, root: str, reach: int) -> DataFrame:
+    """Class of each wanted segment (line, o, d) by the service variants (line, root, f, t) of its line.
+
+    EXACT: a variant runs from o to d. VARIANT: one root stops at both, in different
+    variants. INTERIOR: a variant passes both. NEAR: one stops within ``reach`` stations of
+    an end. OPPOSITE: one joins both against the direction. Else NONE. Stations are
+    numbered along the line; but for OPPOSITE only variants in the segment's direction
+    count. Every class is found by an equality join or a running maximum, none by pairs.
+    """
+    sign = lambda a, b: F.signum(F.col(b) - F.col(a)).cast("int")
+    w = want.select(line, "o", "d").distinct().withColumn("s", sign("o", "d"))
+    v = variants.select(line, root, "f", "t").distinct().withColumn("s", sign("f", "t"))
+    keys = [line, "o", "d"]
+    stops = v.select(line, root, "s", F.explode(F.array("f", "t")).alias("stop")).distinct()
+    exact = w.join(v.select(line, F.col("f").alias("o"), F.col("t").alias("d"), "s"), [*keys, "s"], "left_semi")
+    against = w.join(v.select(line, F.col("t").alias("o"), F.col("f").alias("d"), (-F.col("s")).alias("s")), [*keys, "s"], "left_semi")
+    at = lambda end: w.join(stops.withColumnRenamed("stop", end), [line, "s", end]).select(*keys, root)
+    both = at("o").join(at("d"), [*keys, root], "left_semi")
+    lo, hi = F.least("o", "d"), F.greatest("o", "d")
+    marks = v.select(line, "s", F.least("f", "t").alias("at"), F.greatest("f", "t").alias("upto"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("o"), F.lit(None).cast("int").alias("d"))
+    asks = w.select(line, "s", lo.alias("at"), F.lit(None).cast("int").alias("upto"), F.lit(1).alias("side"), "o", "d")
+    run = skew.running(marks.unionByName(asks).withColumn("__id", F.monotonically_increasing_id()), [line, "s"], ["at", "side", "__id"], skew.span("at", 1000), {"reached": ("max", "upto")})
+    inside = run.where((F.col("side") == 1) & (F.col("reached") >= hi))
+    beside = w.select(*keys, "s", F.explode(F.flatten(F.array(*[F.sequence(F.col(e) - reach, F.col(e) + reach) for e in ("o", "d")]))).alias("stop")).join(stops, [line, "s", "stop"], "left_semi")
+    out = w
+    for name, found in (("exact", exact), ("variant", both), ("interior", inside), ("near", beside), ("opposite", against)):
+        out = out.join(found.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+    cls = F.when(F.col("exact"), "EXACT").when(F.col("variant"), "VARIANT").when(F.col("interior"), "INTERIOR").when(F.col("near"), "NEAR").when(F.col("opposite"), "OPPOSITE").otherwise("NONE")
+    return out.select(*keys, cls.alias("class"))

@@ -48,11 +48,10 @@ def _(t):
 
 
 @query("A05_zero_filled_bins", f"""
-WITH {TAPS}, h AS (SELECT ((us//1000000)%86400)//900 AS bin, count(*) AS n, count_if(status=1) AS entries, count_if(status=0) AS exits FROM taps WHERE event_type<>'view' OR hour(ts)<12 GROUP BY 1)
+WITH {TAPS}, h AS (SELECT ((us//1000000)%86400)//900 AS bin, count(*) AS n, count_if(status=1) AS entries, count_if(status=0) AS exits FROM taps GROUP BY 1)
 SELECT r.bin, coalesce(n,0)::BIGINT AS n, coalesce(entries,0)::BIGINT AS entries, coalesce(exits,0)::BIGINT AS exits FROM (SELECT unnest(range(96)) AS bin) r LEFT JOIN h USING (bin)""")
 def _(t):
-    x = taps(t).where((F.col("event_type") != "view") | (F.hour("ts") < 12)).withColumn(
-        "bin", F.floor(F.floor(F.col("us") / 1_000_000) % clocks.DAY_S / 900))
+    x = taps(t).withColumn("bin", F.floor(F.floor(F.col("us") / 1_000_000) % clocks.DAY_S / 900))
     return A.zero_filled(x, "bin", 96, {"n": F.count(F.lit(1)), "entries": F.count_if(F.col("status") == 1),
                                         "exits": F.count_if(F.col("status") == 0)})
 
