@@ -242,6 +242,42 @@ def test_nothing_keeps_the_card_key(spark):
     assert "user_id" not in p.columns and p.count() == 1
 
 
+def test_headway_authority_with_open_fields(spark):
+    rng = random.Random(12)
+    bands = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, 2, None]), rng.choice(["Down", "Up", None]), 3600 * (s := rng.randrange(0, 20)) + 30, 3600 * (s + rng.randrange(1, 4)), rng.choice([60, 300, 600])) for i in range(14)]
+    events = [(i, r := rng.choice([0, 1, 2]), rng.choice([0, 1, 2]), rng.choice(["Down", "Up"]), 10 * r + rng.randrange(2), rng.randrange(0, 2 * 86400)) for i in range(300)]
+    events += [(0, 0, 0, "Down", 5, 50_000), (1, 0, 0, "Down", 5, 50_010), (0, 0, 0, "Down", 6, 50_000), (1, 0, 0, "Down", 6, 50_040)]
+
+    def floor(resource, path, direction, at):
+        live = [(f, -b) for b, r, p, d, lo, hi, f in bands if r in (None, resource) and p in (None, path) and d in (None, direction) and lo <= at < hi and f > 90]
+        return (max(live)[0], -max(live)[1]) if live else (90, None)
+
+    b = spark.createDataFrame(bands, "band_id long, resource int, path int, direction string, band_start long, band_end long, floor long")
+    e = spark.createDataFrame(events, "service long, resource int, path int, direction string, station int, at long")
+    got = V.headway_floors(e.withColumn("clock", F.col("at") % 86400), b, "clock").collect()
+    assert sorted((r.service, r.station, r.at, r.floor, r.band_id or -1) for r in got) == sorted(
+        (s, st, at, floor(r, p, d, at % 86400)[0], floor(r, p, d, at % 86400)[1] or (floor(r, p, d, at % 86400)[1] == 0 and 0) or -1) for s, r, p, d, st, at in events)
+    want, line = {}, {}
+    for s, r, p, d, st, at in events:
+        line.setdefault((r, d, st), []).append((at, s, p))
+    for (r, d, st), seq in line.items():
+        seq.sort()
+        for (t0, a, p0), (t1, c, p1) in zip(seq, seq[1:], strict=False):
+            mid = ((t0 + t1) / 2) % 86400
+            sides = [floor(r, p, d, mid) for p in (p0, p1)]
+            need = max(f for f, _ in sides)
+            if t1 - t0 < need:
+                x = want.setdefault((min(a, c), max(a, c)), [0, set(), set(), []])
+                x[0] += 1
+                x[1].add(r)
+                x[2] |= {i for _, i in sides if i is not None}
+                x[3].append((t1 - t0 - need, r, d, st))
+    rows = V.headway_conflicts(e, b, 20_000.0).collect()
+    assert {(r.a, r.b): (r.observations, r.resources, r.bands, (-r.shortfall, r.worst_resource, r.worst_direction, r.worst_station)) for r in rows} == {
+        k: (n, sorted(res), sorted(ids), min(obs)) for k, (n, res, ids, obs) in want.items()}
+    assert want[0, 1][0] >= 2
+
+
 def best_links(arrivals, departures, least, most):
     """Most links and their least total gap, over all matchings."""
     states = {(frozenset(), 0): 0}
