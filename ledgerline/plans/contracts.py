@@ -8,6 +8,8 @@ from ledgerline.functions import clocks
 from ledgerline.operators import contracts as C
 from ledgerline.plans.views import OD, RIDES, TAPS, od, rides, taps
 from ledgerline.registry import query
+from ledgerline.session import fresh_path
+from ledgerline.sources import sinks as SK
 
 
 @query("P01_exact_int_coercion", """
@@ -90,9 +92,12 @@ def reject_reasons():
 REASONS = "CASE WHEN event_type='error' THEN 'BARRIER_TYPE' WHEN value<5 THEN 'LOW_VALUE' WHEN station=22 THEN 'BAD_STATION' ELSE 'ACCEPTED' END"
 
 
-@query("P10_reject_routing", f"WITH {TAPS} SELECT {REASONS} AS reason, count(*) AS n FROM taps GROUP BY 1")
+@query("P10_reject_routing", f"WITH {TAPS} SELECT {REASONS} AS reason, count(*) AS n, min(event_id) AS first_event, round(sum(value),4) AS value, count(*) AS counted FROM taps GROUP BY 1")
 def _(t):
-    return C.reason_histogram(C.with_reason(taps(t), reject_reasons()))
+    """Good and rejected rows written to their folders in one pass; what is read back beside what the write counted."""
+    back, counts = SK.route_rejects(taps(t), reject_reasons(), fresh_path(t.spark, "routed"))
+    counted = F.coalesce(*[F.when(F.col("reason") == n, F.lit(c)) for n, c in counts.items()])
+    return back.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("value")).withColumn("counted", counted.cast("bigint"))
 
 
 @query("P11_period_labels", """

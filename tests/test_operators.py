@@ -242,6 +242,41 @@ def test_nothing_keeps_the_card_key(spark):
     assert "user_id" not in p.columns and p.count() == 1
 
 
+def test_rejects_are_written_by_reason_and_counted(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 7, None if i % 5 == 0 else i) for i in range(200)], "id long, kind int, value long").repartition(4)
+    reasons = [("NO_VALUE", F.col("value").isNull()), ("KIND", F.col("kind") > 4), ("NEVER", F.col("id") < 0)]
+    back, counts = SK.route_rejects(df, reasons, str(tmp_path / "routed"))
+    want = {}
+    for i in range(200):
+        want.setdefault("NO_VALUE" if i % 5 == 0 else "KIND" if i % 7 > 4 else "ACCEPTED", set()).add(i)
+    got = {}
+    for r in back.select("reason", "id").collect():
+        got.setdefault(r.reason, set()).add(r.id)
+    assert got == want and counts == {"ACCEPTED": len(want["ACCEPTED"]), "NO_VALUE": len(want["NO_VALUE"]), "KIND": len(want["KIND"]), "NEVER": 0}
+    back, counts = SK.route_rejects(df.where("id < 0"), reasons, str(tmp_path / "none"))
+    assert back.count() == 0 and not any(counts.values())
+
+
+def test_parts_are_checked_against_their_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(i // 10, i, f"é{i}") for i in range(40)], "part long, id long, word string").repartition(5)
+    path = str(tmp_path / "parts")
+    SK.write_text_parts(df, "part", ["id"], path)
+    manifest = SK.text_manifest(df, "part", ["id"], ["id", "word"])
+    body = "id,word\n" + "".join(f"{i},é{i}\n" for i in range(10))
+    first = manifest.where("part = 0").first()
+    assert (first.rows, first.bytes, first.sha256) == (10, len(body.encode()), hashlib.sha256(body.encode()).hexdigest())
+    status = lambda: {r.part: r.status for r in SK.verify_parts(spark, path, manifest, "part").collect()}
+    assert status() == {k: "OK" for k in range(4)}
+    file = {int(f.parent.name.split("=")[1]): f for f in (tmp_path / "parts").glob("part=*/part-*.csv")}
+    for f in (tmp_path / "parts").glob("part=*/.*.crc"):  # the local file system's own checksums
+        f.unlink()
+    file[1].write_bytes(file[1].read_bytes().replace(b"15", b"51"))  # same length
+    file[2].unlink()
+    (tmp_path / "parts" / "part=9").mkdir()
+    (tmp_path / "parts" / "part=9" / "part-0.csv").write_text("id,word\n")
+    assert status() == {0: "OK", 1: "CHANGED", 2: "MISSING", 3: "OK", 9: "EXTRA"}
+
+
 def test_headway_authority_with_open_fields(spark):
     rng = random.Random(12)
     bands = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, 2, None]), rng.choice(["Down", "Up", None]), 3600 * (s := rng.randrange(0, 20)) + 30, 3600 * (s + rng.randrange(1, 4)), rng.choice([60, 300, 600])) for i in range(14)]
