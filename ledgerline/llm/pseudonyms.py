@@ -25,7 +25,7 @@ SSN = r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"
 _TO_15 = r"[ .()-]{0,3}\d" * 8 + r"(?:[ .()-]{0,3}\d)?" * 7
 #: With a country code, at most as many groups as give 15 digits, and not on into a date; then an area in brackets; then forms of ten digits; then a leading 0.
 PHONE = (r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}"
-         r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?(?!\d{4}-\d{2}-\d{2}(?!\d))\d{2,4}){1,4}(?<=\+" + _TO_15 + ")"
+         r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?(?!\d{4}-\d{2}-\d{2}(?!\d))\d{2,4}){1,4}(?<=\+" + _TO_15 + ")"
          r"|\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?(?!\d{4}-\d{2}-\d{2}(?!\d))\d{2,4}){1,2}(?<=\(" + _TO_15 + ")"
          r"|(?<!\d[.-])(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3}[ -]\d{4})(?![.-]\d)"
          r"|(?<!\d[./-])0[1-9](?:\d{1,3}[ /-](?:\d{6,8}|\d{3,4}[ -]\d{3,5})|(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![./-]\d))(?![0-9A-Za-z])")
@@ -38,6 +38,9 @@ KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE,
 #: What can hold a value, and the search in a text with marks. All but an address begin with one of a few characters.
 HOLDS, ANY = (f"(?:{EMAIL})|(?=[0-9(+{MARK}])(?:{'|'.join(f'(?:{p})' for p in (IPV4, DATE, SSN, PHONE, card))})" for card in (CARD, MARKED_CARD))
 
+# The country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 ROUNDS = 8
 #: Dates that count: 1900-01-01 to 2099-12-31, 73,049 days = 17 x 4297.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
@@ -202,8 +205,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     moved = F.transform(F.array(permute_pair(F.floor(day / b), day % b, a, b, F.lit("date"), key)), lambda p: F.date_add(F.to_date(F.lit(FIRST_DAY)), (p["l"] * b + p["r"]).cast("int")))[0]
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(digits.alias("v"), F.lit(False).alias("ok")),
                        lambda s, _: F.when(s["ok"], s).otherwise(_checked(permute_letters(s["v"], F.lit("ssn"), key))), lambda s: s["v"])
-    # a leading country code of up to three digits stays if it stands apart, else the first digit
-    code = F.greatest(F.length(F.regexp_extract(m, r"^\+(\d{1,3})[^0-9]", 1)), F.lit(1))
+    # the country code stays, told from the digits alone, so that all writings of a number give one pseudonym; without one the first digit stays
+    code = F.when(m.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0))).otherwise(F.lit(1))
     phone = F.concat(F.substring(digits, F.lit(1), code), permute_letters(F.substring(digits, code + 1, F.length(digits)), tweak, key))
     body = permute_letters(F.substring(digits, F.lit(1), F.length(digits) - 1), tweak, key)
     card = F.transform(F.array(body), lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))[0]
@@ -222,7 +225,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     to 2099 (also before a time, with dots, or without leading zeros), social security
     numbers, phone numbers (with a country code, or national: area in brackets, ten digits
     in groups, or a leading 0) and card numbers with a right check digit; candidates that
-    are not valid stay and do not hide values that begin inside them. A null text stays null,
+    are not valid stay and do not hide values that begin inside them. A number with its
+    country code gets one pseudonym in all writings; the national form of it gets another,
+    since a text does not tell the country. A null text stays null,
     with null counts of nothing: ``values`` 0 and no ``kinds``. Texts without values stay
     as they are, rows with equal texts get equal results, and an empty table gives no rows.
     All columns stay, but the new ones replace columns of their names.

@@ -330,8 +330,8 @@ def brute_pseudonym(m, kind):
             new = letters(new, "ssn")
         return fill(new)
     if kind == "phone":
-        code = re.match(r"\+(\d{1,3})[^0-9]", m)
-        n = len(code[1]) if code else 1
+        two = {"20", "27", *map(str, (*range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98))}
+        n = 1 if m[0] != "+" or digits[0] in "17" else 2 if digits[:2] in two else 3
         return fill(digits[:n] + letters(digits[n:], f"phone{len(digits)}"))
     body = letters(digits[:-1], f"card{len(digits)}")
     return fill(body + str(-luhn(body + "0") % 10))
@@ -381,6 +381,15 @@ def test_pseudonyms_of_values_in_all_writings(spark):
         else:
             new = brute_pseudonym(value, kind)
         assert r.text == before + new + after and (r["values"], r.kinds) == (1, [kind]), (text, r)
+    # four writings of a number are one value, and its country stays
+    for forms in (["+49 30 12345678", "+493012345678", "+49 (30) 1234 5678", "+49-30-12345678"], ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (20) 7946 0958"],
+                  ["+353 1 234 5678", "+35312345678"], ["+1 212 555 7713", "+1 (212) 555-7713", "+12125557713"]):
+        new = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(f,) for f in forms], "text string").coalesce(1), KEY).collect()]
+        plain = {re.sub("[^0-9+]", "", x) for x in new}
+        assert len(plain) == 1 and plain != {re.sub("[^0-9+]", "", forms[0])}, (forms, new)
+        assert [re.sub("[0-9]", "#", x) for x in new] == [re.sub("[0-9]", "#", x) for x in forms]
+        code = {"+4": 2, "+3": 3, "+1": 1}[forms[0][:2]]
+        assert plain.pop()[1 : 1 + code] == re.sub("[^0-9]", "", forms[0])[:code]
     both = pseudonyms.pseudonymise(spark.createDataFrame([("+49 30 1234567 2024-01-15",)], "text string"), KEY).first()
     assert both.text == f"{brute_pseudonym('+49 30 1234567', 'phone')} {brute_pseudonym('2024-01-15', 'date')}" and both["values"] == 2
 
