@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import adaptive_rules, collocations, ranked_search
 from ledgerline.llm.wordscan import scan
-from tests.llm.conftest import LONG, ROWS, frame
+from tests.llm.conftest import LONG, ROWS
 
 SPACE = "[^\x20\x09-\x0d]+"
 
