@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -613,3 +614,18 @@ def test_scored_chains_write_beams_not_pairs(spark, monkeypatch):
     assert {(r.cohort, r.route_rank, tuple(x.ride for x in r.steps)) for r in got} == set(want)
     for r in got:
         assert want[r.cohort, r.route_rank, tuple(x.ride for x in r.steps)] == pytest.approx((r.score, r.retained), rel=1e-9)
+
+
+def test_following_and_suffix_columns_of_a_large_chunk(spark):
+    """60,000 rows in one chunk: a frame that ends at the chunk's last row is computed anew for every row and takes minutes."""
+    n = 60_000
+    rows = spark.range(n).select(F.col("id").alias("at"), F.when(F.col("id") % 1000 == 999, F.col("id")).alias("mark"), (F.col("id") * 7919 % n).alias("v")).repartition(4)
+    x = skew.chunked(rows, [], ["at"], skew.span("at", n), known={"next": ("mark", True, False), "later": ("mark", True, True)}, folds={"rest": ("sum", "v", True), "least": ("min", "v", True)})
+    began = time.monotonic()
+    got = {r["at"]: r for r in x.collect()}
+    assert time.monotonic() - began < 40
+    rest, least = 0, n
+    for at in range(n - 1, -1, -1):
+        rest, least = rest + at * 7919 % n, min(least, at * 7919 % n)
+        assert (got[at]["rest"], got[at]["least"], got[at]["next"]) == (rest, least, at // 1000 * 1000 + 999)
+        assert got[at]["later"] == ((at + 1) // 1000 * 1000 + 999 if at + 1 < n else None)
