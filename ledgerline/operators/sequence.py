@@ -148,10 +148,10 @@ def next_gap(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     return x.withColumn(out, F.col(f"__next.{time}") - F.col(time)).drop("__next")
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], position: str, value: str, chunk: Column, out: str) -> DataFrame:
-    """Linear fill between the known neighbours; the nearest known value outside them."""
+def interpolate(df: DataFrame, keys: Sequence[str], position: str, value: str, chunk: Column, out: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Linear fill between the known neighbours; the nearest known value outside them. ``tie`` orders rows at the same position."""
     x = df.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v"))))
-    x = skew.chunked(x, keys, [position], chunk, known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
+    x = skew.chunked(x, keys, [position, *tie], chunk, known={"__a": ("__k", False, False), "__b": ("__k", True, False)})
     a, b = F.col("__a"), F.col("__b")
     mid = a["v"] + (b["v"] - a["v"]) * (F.col(position) - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
     return x.withColumn(out, F.coalesce(F.col(value), mid, a["v"], b["v"])).drop("__k", "__a", "__b")

@@ -212,7 +212,7 @@ INTERP = f"""WITH {GAPPED}, k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL T
 
 @query("W17_interpolation", f"""{INTERP} SELECT event_id, round(coalesce(v, av+(bv-av)*(s-ap)/nullif(bp-ap,0), av, bv),6) AS filled FROM k""")
 def _(t):
-    x = S.interpolate(gapped(t), ["user_id"], "s", "v", skew.span("s", clocks.DAY_S), "filled")
+    x = S.interpolate(gapped(t), ["user_id"], "s", "v", skew.span("s", clocks.DAY_S), "filled", tie=["event_id"])
     return x.select("event_id", F.round("filled", 6).alias("filled"))
 
 

@@ -629,3 +629,11 @@ def test_following_and_suffix_columns_of_a_large_chunk(spark):
         rest, least = rest + at * 7919 % n, min(least, at * 7919 % n)
         assert (got[at]["rest"], got[at]["least"], got[at]["next"]) == (rest, least, at // 1000 * 1000 + 999)
         assert got[at]["later"] == ((at + 1) // 1000 * 1000 + 999 if at + 1 < n else None)
+
+
+def test_interpolation_at_equal_positions_follows_the_tie(spark):
+    rows = [("u", 15, 5, None), ("u", 10, 3, None), ("u", 10, 2, 7.0), ("u", 10, 1, 3.0), ("u", 5, 0, None)]
+    df = spark.createDataFrame(rows, "k string, s long, id long, v double").coalesce(1)
+    for chunk in (skew.span("s", 100), skew.span("s", 5)):
+        got = {r.id: r.o for r in S.interpolate(df, ["k"], "s", "v", chunk, "o", tie=["id"]).collect()}
+        assert got == {0: 3.0, 1: 3.0, 2: 7.0, 3: 7.0, 5: 7.0}
