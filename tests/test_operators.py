@@ -18,6 +18,7 @@ from ledgerline.operators import contracts as C
 from ledgerline.operators import graph as N
 from ledgerline.operators import sequence as S
 from ledgerline.operators import signal as G
+from ledgerline.operators import spatial as SP
 from ledgerline.operators import timetable as TT
 from ledgerline.session import fresh_path
 from ledgerline.sources import readers as RD
@@ -637,3 +638,25 @@ def test_interpolation_at_equal_positions_follows_the_tie(spark):
     for chunk in (skew.span("s", 100), skew.span("s", 5)):
         got = {r.id: r.o for r in S.interpolate(df, ["k"], "s", "v", chunk, "o", tie=["id"]).collect()}
         assert got == {0: 3.0, 1: 3.0, 2: 7.0, 3: 7.0, 5: 7.0}
+
+
+def test_nearest_points_by_brute_force_over_all_widths(spark):
+    """600 points near 3,000 targets: dense, sparse, at one place, at equal distance, outside the cap, near a pole."""
+    rng = random.Random(8)
+    at = lambda n, lon, lat, s: [(lon + rng.gauss(0, s), lat + rng.gauss(0, s)) for _ in range(n)]
+    targets = at(2500, 3.0, 41.0, 0.05) + at(380, 3.0, 41.0, 2.0) + [(5.0, 44.0)] * 40 + at(80, 10.0, 89.5, 0.3)
+    points = at(400, 3.0, 41.0, 0.3) + at(150, 3.0, 42.0, 3.0) + at(49, 10.0, 89.5, 0.3) + [(5.0, 44.0)]
+    t = spark.createDataFrame([(len(targets) - i, x, y) for i, (x, y) in enumerate(targets)], "t long, lon double, lat double")
+    p = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "p long, lon double, lat double")
+    want = {}
+    for i, (x, y) in enumerate(points):
+        tx, ty = np.radians(np.array([v[0] for v in targets])), np.radians(np.array([v[1] for v in targets]))
+        d = 2 * 6371000.0 * np.arcsin(np.sqrt(np.sin((ty - np.radians(y)) / 2) ** 2 + np.cos(ty) * np.cos(np.radians(y)) * np.sin((tx - np.radians(x)) / 2) ** 2))
+        near = (np.abs(np.floor(np.degrees(tx) / 2) - np.floor(x / 2)) <= 1) & (np.abs(np.floor(np.degrees(ty) / 2) - np.floor(y / 2)) <= 1)
+        ok = np.flatnonzero(near & (d <= 100000))
+        if len(ok):
+            want[i] = min((round(d[k], 4), len(targets) - k) for k in ok)
+    levels = SP._finest(t, "lon", "lat", 2.0)
+    assert levels > 3
+    got = {r.p: (round(r.distance_m, 4), r.t) for r in SP.nearest_point(p, "p", t, "t", "lon", "lat", 100000.0, 2.0).collect()}
+    assert got == want
