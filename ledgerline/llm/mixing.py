@@ -114,6 +114,19 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return copy.withColumn("position", when_reached(share, F.col("tilt"))).orderBy("position", "doc_id", "copy")
 
 
+def scheduled(docs: DataFrame, **options) -> DataFrame:
+    """``curriculum`` carried out: one row per document, counted from the copies in training order.
+
+    The range-sorted copies are written; what a document takes, how often, and when it comes
+    first are read from them, so a document without a copy there takes nothing.
+    """
+    mixed = stage(curriculum(docs.withColumn("__row", F.monotonically_increasing_id()), keep=["__row"], **options), "mixed")
+    order = stage(training_order(mixed), "training-order")
+    read = order.groupBy("__row").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("taken"), F.min("position").alias("position"))
+    whole = mixed.drop("copies", "taken", "position").join(read, "__row", "left").drop("__row")
+    return whole.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("copies", "taken")})
+
+
 #: The same rows for the given ``documents`` in DuckDB: levels by sorting sources by cap per weight.
 SQL = r"""
 WITH facts AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

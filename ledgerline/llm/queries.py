@@ -93,7 +93,7 @@ def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(mixing.SQL)
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(table(spark, sf_dir, "documents")).select(
+    return mixing.scheduled(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
 
 
