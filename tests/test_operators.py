@@ -660,3 +660,39 @@ def test_nearest_points_by_brute_force_over_all_widths(spark):
     assert levels > 3
     got = {r.p: (round(r.distance_m, 4), r.t) for r in SP.nearest_point(p, "p", t, "t", "lon", "lat", 100000.0, 2.0).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["B05_scored_beam", "B21_pass_summary", "B29_timetable_consistency", "B49_raw_weight_membership"])
+def test_no_row_per_chain_or_factor_is_written(spark, monkeypatch, name):
+    """Chains are written as lists, one row per traveller; chains and factors as rows of their own filled the disk."""
+    from ledgerline import registry
+    from ledgerline.plans import load, timetable
+    written, cut = [], registry.cut_lineage
+
+    def seen(df):
+        written.append(set(df.columns))
+        return cut(df)
+    for module in (registry, timetable, B):
+        monkeypatch.setattr(module, "cut_lineage", seen)
+    registry.forget_staged()
+    assert load()[name](spark, "/root/testdata/sf0.001").count() >= 0
+    assert written and not [c for c in written if c & {"steps", "factor", "root_chain"}]
+
+
+def test_posterior_lists(spark):
+    """Shares of a cohort over all its routes, and new shares after a reweighting, against plain Python."""
+    step = lambda r: [(r, 1.0, 2.0)]
+    rows = [(1, 5, 100, 1, 1, [(step(1), 40.0, 3.0, -2.0), (step(2), 50.0, 3.0, -2.5)]), (1, 5, 100, 2, 1, [(step(3), 60.0, 3.0, -900.0)]),
+            (2, 7, 200, 1, 1, [(step(4), 150.0, 3.0, -4000.0)]), (3, 1, 9, 1, 1, [(step(5), 1.0, 3.0, -1.0), (step(0), 2.0, 3.0, -1.0)])]
+    found = spark.createDataFrame(rows, f"cohort long, mass long, exit long, route_rank int, legs int, chains array<{B._CHAIN}>")
+    post = B.reweight(B.posterior(found, "cohort"), lambda c: F.when(c["steps"][0]["ride"] > 0, -c["steps"][0]["ride"] * 1.0))
+    got = {(r.cohort, r.steps[0].ride): r for r in B.chains_of(post, "cohort").collect()}
+    a, b, c = 1.0, np.exp(-0.5), np.exp(-898.0)
+    x, y = np.exp(-1.0), np.exp(-0.5) * np.exp(-2.0)
+    want = {(1, 1): (a / (a + b + c), x / (x + y)), (1, 2): (b / (a + b + c), y / (x + y)), (1, 3): (0.0, 0.0), (2, 4): (1.0, 1.0), (3, 5): (0.5, 0.5), (3, 0): (0.5, 0.5)}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert (got[k].p, got[k].new_p) == pytest.approx(v, abs=1e-12)
+    assert got[1, 2].egress_centre == 50.0 and got[1, 2].mass == 5
+    top = {r.cohort: r for r in B.route_summary(post, "cohort").collect()}
+    assert (top[1].top_route, top[2].entropy, top[3].top_chain_p) == (1, pytest.approx(0.0), pytest.approx(0.5))
