@@ -79,7 +79,7 @@ class Words:
         """Cached values of the distinct words, each word's number among them, and each text's number of words."""
         lists = cut(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.cache.get, words))
         if None in found:
             new = [k for k, v in enumerate(found) if v is None]
@@ -150,12 +150,15 @@ class WordEncoder(Words):
     def learn(self, words: list[str]) -> None:
         rest, known, ids, tokenize = [], [], [], self.model.tokenize
         normal = self.tokenizer.normalizer.normalize_str
+        # words of letters are normalised in one call: nothing in them joins with a space
+        plain = [w for w in words if not w.isascii() and (w[:-1] if w[-1] in ".," else w).isalpha()]
+        lowered = dict(zip(plain, normal(" ".join(plain)).split(" "), strict=True)) if plain else {}
         for w in words:
             if w.isascii() and w.isalpha():
                 known.append(w)
                 ids.append([t.id for t in tokenize(w)])
                 continue
-            low = w if w.isascii() else normal(w)
+            low = w if w.isascii() else lowered[w] if w in lowered else normal(w)
             parts = self.parts(low) if low else []
             if parts is None:
                 rest.append(w)

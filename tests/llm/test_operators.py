@@ -9,12 +9,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm import decontaminate, exact_dedup, mixing, near_dups, pseudonyms, quality, queries, records, secrets, sharding, token_counts
-from ledgerline.llm.tokens import read_spec
+from ledgerline.llm.tokens import WordEncoder, read_spec
 from ledgerline.session import fresh_path
 from tests.llm.conftest import ROWS, SF, frame
 
@@ -572,3 +573,26 @@ def test_mixture_odd(odd, nothing):
     assert out.count() == len(ROWS) and mixing.curriculum(nothing).count() == 0
     assert tuples(out) == tuples(mixing.curriculum(odd.repartition(7)))
     assert mixing.training_order(out).count() == out.agg(F.sum("copies")).first()[0]
+
+
+def test_words_of_letters_are_normalised_in_one_call():
+    """One call for all new words of a block, with the library's own ids also for words whose letters depend on their neighbours."""
+    encoder = WordEncoder(read_spec(str(public_tokenizers.path("word_bpe_49k.json"))))
+    library, calls = encoder.tokenizer, []
+
+    class Normalizer:
+        def normalize_str(self, text):
+            calls.append(text)
+            return library.normalizer.normalize_str(text)
+
+    class Counted:
+        normalizer = Normalizer()
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+    encoder.tokenizer = Counted()
+    texts = ["Größe über ÉTÉ, ΟΔΟΣ. ΣΑΣ İstanbul ẞ Ǆ 한 ᅡᆫ", "é é ́a ü. ångström ünd naïve", "Größe äöü, Ωmega ΑΣ ΣΑ ﬁne"]
+    ids, ends = encoder.encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    assert len(calls) <= 3  # the letters, and one each for two words with a combining mark
