@@ -133,11 +133,16 @@ ANCHOR = f"""{RIDES}, {RIDERS}, ex AS (SELECT to_station, exit AS tap_at FROM ri
 
 
 def anchors(t):
+    """Distance of each ride's arrival, and of the arrival half an hour later, to the nearest exit tap.
+
+    A time line reads its rows twice, so the rides and what the first lookup found are written before the next step.
+    """
     pulses = riders(t).select("to_station", F.col("exit").alias("at")).distinct()
-    x = rides(t).select("ride_id", "to_station", "arr", (F.col("arr") + 1800).alias("moved"))
+    x = cut_lineage(rides(t).select("ride_id", "to_station", "arr"))
     x = J.nearest(x, pulses, ["to_station"], "arr", "at", [], clocks.DAY_S, MONTH_S, "h1", tie=["at"])
+    x = cut_lineage(x.select("ride_id", "to_station", F.abs(F.col("h1.at") - F.col("arr")).alias("before_gap"), (F.col("arr") + 1800).alias("moved")))
     x = J.nearest(x, pulses, ["to_station"], "moved", "at", [], clocks.DAY_S, MONTH_S, "h2", tie=["at"])
-    return x.select("ride_id", "to_station", F.abs(F.col("h1.at") - F.col("arr")).alias("before_gap"), F.abs(F.col("h2.at") - F.col("moved")).alias("after_gap"))
+    return x.select("ride_id", "to_station", "before_gap", F.abs(F.col("h2.at") - F.col("moved")).alias("after_gap"))
 
 
 @query("B38_anchor_check", f"WITH {ANCHOR} SELECT ride_id, before_gap, after_gap FROM nn")
@@ -159,9 +164,9 @@ WITH {SUB}, k AS (SELECT DISTINCT station, dest FROM sub), n AS (SELECT station,
 SELECT station, dest, round(max(tot),4) AS mass, min(upper) FILTER (u>=tot*0.5::DOUBLE-1e-6) AS median_gap FROM c GROUP BY ALL""")
 def _(t):
     """Each transfer is shared over the onward directions of its station; equal gaps are combined before the share."""
-    s = substrate(t).select("station", "dest", "upper")
+    s = cut_lineage(substrate(t).groupBy("station", "dest", "upper").agg(F.count(F.lit(1)).alias("n")))
     k = s.select("station", "dest").distinct()
-    cells = s.groupBy("station", "upper").agg(F.count(F.lit(1)).alias("n"))
+    cells = s.groupBy("station", "upper").agg(F.sum("n").alias("n"))
     x = J.split_over_candidates(cells, ["station"], k, "station").withColumn("w", F.round(F.col("n") * F.col("share"), 9))
     mass = x.groupBy("station", "dest").agg(F.round(F.sum("w"), 4).alias("mass"))
     # all directions of a station share one distribution shape, so counts give the same median as shares

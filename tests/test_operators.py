@@ -696,3 +696,12 @@ def test_posterior_lists(spark):
     assert got[1, 2].egress_centre == 50.0 and got[1, 2].mass == 5
     top = {r.cohort: r for r in B.route_summary(post, "cohort").collect()}
     assert (top[1].top_route, top[2].entropy, top[3].top_chain_p) == (1, pytest.approx(0.0), pytest.approx(0.5))
+
+
+def test_time_lines_read_written_rides(spark):
+    """The lookups of anchors and directions read what was written once, not the order lines or all transfers over and over."""
+    from ledgerline.plans import load
+    anchors = load()["B38_anchor_check"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in anchors.inputFiles() if "lineitem" in f]
+    directions = load()["B40_directional_transfer_evidence"](spark, "/root/testdata/sf0.001")
+    assert set(spark.read.parquet(*directions.inputFiles()).columns) == {"station", "dest", "upper", "n"}
