@@ -705,3 +705,19 @@ def test_time_lines_read_written_rides(spark):
     assert not [f for f in anchors.inputFiles() if "lineitem" in f]
     directions = load()["B40_directional_transfer_evidence"](spark, "/root/testdata/sf0.001")
     assert set(spark.read.parquet(*directions.inputFiles()).columns) == {"station", "dest", "upper", "n"}
+
+
+def test_offsets_of_a_lineage_are_written_once_and_match_brute_force(spark):
+    rng = random.Random(30)
+    children = [(rng.randrange(2), rng.randrange(400), i) for i in range(80)]
+    parents = [(rng.randrange(2), rng.randrange(400), i) for i in range(30)]
+    ddl = "station int, s long, event_id long"
+    out = V.offset_lineage(spark.createDataFrame(children, ddl), spark.createDataFrame(parents, ddl), ["station"], "s", "event_id", ["station"], 20, 50)
+    want = {}
+    for station, s, _ in children:
+        near = min(((abs(p - s), i, s - p) for st, p, i in parents if st == station and abs(p - s) <= 20), default=None)
+        if near:
+            want.setdefault(station, []).append(near[2])
+    want = {k: (float(np.median(v)), float(np.median(np.abs(np.array(v) - np.median(v)))), len(v)) for k, v in want.items()}
+    assert {r.station: (r.med, r.mad, r.n) for r in out.collect()} == want
+    assert "__pt" not in out._jdf.queryExecution().optimizedPlan().toString()
