@@ -243,12 +243,6 @@ def _(t):
 DIRECT = f"""{RIDES}, {RIDERS}, dp AS (SELECT rider_id, mass, ride_id, (dep-entry)::DOUBLE AS g, (exit-arr)::DOUBLE AS e FROM riders p JOIN rides r ON r.from_station=p.from_station AND r.to_station=p.to_station AND dep BETWEEN entry AND exit)"""
 
 
-def direct_pairs(t):
-    p = cohorts(t).withColumns({"lo": F.col("entry"), "hi": F.col("exit")})
-    x = J.interval_join(p, rides(t), B.OD, "lo", "hi", "dep", clocks.DAY_S)
-    return x.select("cohort", "mass", "ride_id", (F.col("dep") - F.col("entry")).cast("double").alias("g"), (F.col("exit") - F.col("arr")).cast("double").alias("e"))
-
-
 def boot_sql() -> str:
     parts = ["k0 AS (SELECT 14400.0::DOUBLE AS am, 1.2::DOUBLE AS asg, 14400.0::DOUBLE AS em, 1.2::DOUBLE AS es)"]
     lp = lambda x, m, s: f"(-ln({x}*{s}*sqrt(2*pi())) - 0.5*pow((ln({x})-ln({m}))/{s},2))"
@@ -265,7 +259,7 @@ def boot_sql() -> str:
 
 @query("B46_kernel_bootstrap", boot_sql())
 def _(t):
-    k = TT.bootstrap_kernels(cut_lineage(direct_pairs(t)), "cohort", {"access": "g", "egress": "e"}, "mass", (14400.0, 1.2), 3, "ride_id")
+    k = TT.bootstrap_kernels(cohorts(t), rides(t).select("ride_id", *B.OD, "dep", "arr"), B.OD, (14400.0, 1.2), 3)
     return k.withColumns({"median": F.round("median", 2), "sigma": F.round("sigma", 4)})
 
 

@@ -721,3 +721,54 @@ def test_offsets_of_a_lineage_are_written_once_and_match_brute_force(spark):
     want = {k: (float(np.median(v)), float(np.median(np.abs(np.array(v) - np.median(v)))), len(v)) for k, v in want.items()}
     assert {r.station: (r.med, r.mad, r.n) for r in out.collect()} == want
     assert "__pt" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _riders_and_rides(spark, seed):
+    rng = random.Random(seed)
+    riders = [(i, rng.randrange(2), 1, e, e + rng.randrange(-5, 90), rng.randrange(1, 4)) for i, e in enumerate(rng.randrange(600) for _ in range(60))]
+    trains = [(i, rng.randrange(2), 1, d, d + rng.randrange(1, 30)) for i, d in enumerate(rng.randrange(700) for _ in range(150))]
+    return (riders, trains, spark.createDataFrame(riders, "cohort long, from_station int, to_station int, entry long, exit long, mass long"),
+            spark.createDataFrame(trains, "ride_id long, from_station int, to_station int, dep long, arr long"))
+
+
+def _log_density(x, median, sigma):
+    return -np.log(x * sigma * np.sqrt(2 * np.pi)) - 0.5 * ((np.log(x) - np.log(median)) / sigma) ** 2
+
+
+@pytest.mark.parametrize("block", [7, 500_000])
+def test_bootstrap_takes_the_best_ride_of_each_cohort_without_writing_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(TT, "PAIR_BLOCK", block)
+    written = []
+    monkeypatch.setattr(TT, "cut_lineage", lambda df: written.append(df.count()) or df)
+    riders, trains, c, r = _riders_and_rides(spark, 46)
+    out = {(x["round"], x.factor): (x.median, x.sigma) for x in TT.bootstrap_kernels(c, r, ["from_station", "to_station"], (30.0, 1.2), 2, width=100).collect()}
+    access = egress = (30.0, 1.2)
+    for n in (1, 2):
+        best = []
+        for _, f, to, entry, leave, mass in riders:
+            met = [(-round(_log_density(d - entry, *access) + _log_density(leave - a, *egress), 9), i, d - entry, leave - a) for i, rf, rt, d, a in trains if (rf, rt) == (f, to) and entry < d <= leave and a < leave]
+            if met:
+                best.append((mass, *min(met)[2:]))
+        m, g, e = (np.array(x, float) for x in zip(*best, strict=True))
+        fit = lambda x: (np.exp((m * np.log(x)).sum() / m.sum()), min(2.5, max(0.12, np.sqrt((m * np.log(x) ** 2).sum() / m.sum() - ((m * np.log(x)).sum() / m.sum()) ** 2))))  # noqa: B023, E731
+        access, egress = fit(g), fit(e)
+        assert np.allclose(out[n, "access"], access) and np.allclose(out[n, "egress"], egress)
+    assert max(written) <= len(trains)
+
+
+def test_schedule_scan_matches_brute_force_and_forms_no_pairs(spark):
+    riders, trains, c, r = _riders_and_rides(spark, 47)
+    shifts, horizon = [-40, 0, 25], 60
+    out = TT.schedule_scan(r.drop("arr"), c, ["from_station", "to_station"], shifts, horizon, 20.0, 0.9, width=50)
+    want = {}
+    for i, f, to, d, _ in trains:
+        found = []
+        for s in shifts:
+            met = [(m, d + s - e) for _, rf, rt, e, _, m in riders if (rf, rt) == (f, to) and 0 < d + s - e <= horizon]
+            if met:
+                mass = sum(m for m, _ in met)
+                found.append((-round(sum(m * _log_density(g, 20.0, 0.9) for m, g in met) / mass, 9), abs(s), s, mass))
+        if found:
+            want[i] = (max(x[3] for x in found), min(found)[2], abs(min(found)[2]))
+    assert {x.ride_id: (x.mass, x.best_shift, x.abs_error) for x in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
