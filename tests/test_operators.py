@@ -772,3 +772,21 @@ def test_schedule_scan_matches_brute_force_and_forms_no_pairs(spark):
             want[i] = (max(x[3] for x in found), min(found)[2], abs(min(found)[2]))
     assert {x.ride_id: (x.mass, x.best_shift, x.abs_error) for x in out.collect()} == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_missing_indices_come_from_bitmaps(spark):
+    from ledgerline.operators.reconcile import missing_indices
+    present = [None, -3, 1, 1, 2, 32766, 32768, 100_001, 100_003]
+    found = missing_indices(spark.createDataFrame([(i,) for i in present], "i long"), "i")
+    assert sorted(r.missing for r in found.collect()) == sorted(set(range(100_004)) - set(present))
+    assert "Join LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert missing_indices(spark.createDataFrame([], "i long"), "i").count() == 0
+
+
+def test_anti_join_keeps_cells_and_sends_only_suppliers_that_can_meet_them(spark, tmp_path):
+    from ledgerline.plans import load
+    spark.sql("SELECT DATE'2000-01-01' AS l_shipdate, explode(array(7L, 107L, -8L, NULL)) AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT DATE'2000-01-01' AS o_orderdate, explode(array(7L, 207L, 5L, -108L, NULL)) AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    out = load()["J05_anti_join"](spark, str(tmp_path))
+    assert {r.k: (r.demand, r.supplied) for r in out.collect()} == {7: (2, True), 5: (1, False), -8: (1, True), None: (1, False)}
+    assert "99" in out._jdf.queryExecution().optimizedPlan().toString()
