@@ -790,3 +790,13 @@ def test_anti_join_keeps_cells_and_sends_only_suppliers_that_can_meet_them(spark
     out = load()["J05_anti_join"](spark, str(tmp_path))
     assert {r.k: (r.demand, r.supplied) for r in out.collect()} == {7: (2, True), 5: (1, False), -8: (1, True), None: (1, False)}
     assert "99" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turnback_queries_read_the_rides_once(spark, monkeypatch):
+    from ledgerline.plans import audits, load
+    from ledgerline.registry import forget_staged
+    forget_staged()
+    made, rides = [], audits.rides
+    monkeypatch.setattr(audits, "rides", lambda t: made.append(t) or rides(t))
+    load()["V11_turnback_sensitivity"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
