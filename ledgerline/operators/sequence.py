@@ -240,11 +240,13 @@ def complete_variants(events: DataFrame, variants: DataFrame, trip: str, line: s
     """
     paths = variants.groupBy(line, "variant").agg(F.array_sort(F.collect_list(F.struct("i", F.col("node").alias("n"), F.col("cum").cast("double").alias("c")))).alias("path"))
     seen = cut_lineage(observed_stops(events, trip, line, node, time).where(F.size("obs") >= 2))
-    x = seen.join(edge_times(seen, line), line).join(paths, line)
+    # a row per line or variant: a shuffle by line would leave as many tasks as lines
+    x = seen.join(F.broadcast(edge_times(seen, line)), line).join(F.broadcast(paths), line)
     place = lambda n: F.get(F.filter("path", lambda q: q["n"] == n), F.lit(0))
-    x = x.withColumn("on", F.array_sort(F.transform("obs", lambda o: F.struct(o["t"].alias("t"), place(o["p"]).alias("at")))))
+    # places are looked up once for each trip and variant; only those rows are written, the nodes are unfolded on reading
+    x = cut_lineage(x.select(trip, line, "variant", "per_edge", F.array_sort(F.transform("obs", lambda o: F.struct(o["t"].alias("t"), place(o["p"]).alias("at")))).alias("on")))
     rising = F.forall(F.zip_with(F.slice("on", 1, F.size("on") - 1), F.slice("on", 2, F.size("on")), lambda a, b: F.coalesce((a["t"] < b["t"]) & (a["at"]["i"] < b["at"]["i"]), F.lit(False))), lambda ok: ok)
-    x = cut_lineage(x.where(rising & F.forall("on", lambda o: o["at"].isNotNull())).select(trip, "variant", "per_edge", "on", F.explode("path").alias("q")))
+    x = x.where(rising & F.forall("on", lambda o: o["at"].isNotNull())).join(F.broadcast(paths), [line, "variant"]).select(trip, "variant", "per_edge", "on", F.explode("path").alias("q"))
     i, c = F.col("q.i"), F.col("q.c")
     x = x.withColumns({"own": F.get(F.filter("on", lambda o: o["at"]["i"] == i), F.lit(0)), "left": F.try_element_at(F.filter("on", lambda o: o["at"]["i"] < i), F.lit(-1)),
                        "right": F.get(F.filter("on", lambda o: o["at"]["i"] > i), F.lit(0))})
