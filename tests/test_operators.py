@@ -806,7 +806,7 @@ def test_completion_of_variants_writes_trips_not_their_nodes(spark, monkeypatch)
     written, cut = [], S.cut_lineage
     monkeypatch.setattr(S, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
     ev = spark.createDataFrame([(k, k % 2, p, 100.0 * p + k) for k in range(6) for p in (3, 9)], "trip long, line long, pos long, t double")
-    va = spark.createDataFrame([(ln, 0, i, i, float(i)) for ln in range(2) for i in range(25)], "line long, variant int, i long, pos long, cum double")
+    va = spark.createDataFrame([(ln, 0, i, i, float(i)) for ln in range(2) for i in range(25)], "line long, variant int, i long, node long, cum double")
     out = S.complete_variants(ev, va, "trip", "line", "pos", "t", 15.0).collect()
     assert len(out) == 6 * 25 and all(r.filled == 100.0 * r.pos + r.trip for r in out if r.role in ("ORIGINAL", "BETWEEN_OBSERVED_ANCHORS"))
     assert max(w.count() for w in written) <= 6
