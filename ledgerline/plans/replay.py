@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions import dist
+from ledgerline.functions import clocks, dist
 from ledgerline.operators import assign as B
 from ledgerline.operators import joins as J
 from ledgerline.operators import replay as RP
@@ -28,7 +28,7 @@ SELECT shift::INT AS shift, sum(CASE WHEN ok THEN mass ELSE 0 END)::BIGINT AS re
 def _(t):
     """Mass that some route resolves when the tap clock is moved, whatever its number of legs."""
     moved = cohorts(t).withColumn("shift", F.explode(F.array(*[F.lit(s) for s in SHIFT_SCAN]))).withColumns({c: F.col(c) + F.col("shift") for c in ("entry", "exit")})
-    e = B.earliest_chains(moved, line_routes(t), platform_rides(t), MONTH_S)
+    e = B.earliest_chains(moved, line_routes(t), platform_rides(t), clocks.DAY_S)
     best = e.groupBy("cohort", "shift").agg(F.max("mass").alias("mass"), F.bool_or("ok").alias("ok"))
     return best.groupBy("shift").agg(F.sum(F.when(F.col("ok"), F.col("mass")).otherwise(0)).alias("resolved_mass"), F.sum("mass").alias("mass"))
 
@@ -65,8 +65,10 @@ def _(t):
         record(last["ride"], "arrival", "minus_seconds", m * F.least(F.lit(REGION_S), F.col("excess")), F.lit(True)), record(last["ride"], "arrival", "resolvable_minus", m, F.col("excess") <= REGION_S))).alias("p"))
     none = c.where("reason in ('FIRST_LEG_NO_SERVICE', 'TRANSFER_NO_DOWNSTREAM_SERVICE')").select("mass", F.col("fail_from").alias("leg_from"), F.col("fail_to").alias("leg_to"), "ready")
     r = platform_rides(t).select(F.col("from_station").alias("leg_from"), F.col("to_station").alias("leg_to"), "dep", "arr", "ride_id")
-    x = J.asof(none, r, ["leg_from", "leg_to"], "ready", "dep", ["arr", "ride_id"], MONTH_S, "hit", strict=True)
-    missed = x.select(record(F.col("hit.ride_id"), "departure", "resolvable_plus", m, F.col("ready") - F.col("hit.dep") <= REGION_S).alias("p"))
+    # only a ride of the last seconds before the ready time counts
+    x = J.interval_join(none.withColumns({"__id": F.monotonically_increasing_id(), "lo": F.col("ready") - REGION_S, "hi": F.col("ready") - 1}), r, ["leg_from", "leg_to"], "lo", "hi", "dep", REGION_S)
+    x = x.groupBy("__id", "mass").agg(F.max(F.struct("dep", "arr", "ride_id")).alias("hit"))
+    missed = x.select(record(F.col("hit.ride_id"), "departure", "resolvable_plus", m, F.lit(True)).alias("p"))
     p = held.unionByName(late).unionByName(missed).where("p is not null").select("p.*")
     total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0).cast("bigint"))
     return p.groupBy("ride", "event").agg(*[total(k).alias(k) for k in PRESSURE], (total("resolvable_minus") - total("protect_minus")).alias("net_minus"),

@@ -422,6 +422,18 @@ def test_routes_of_any_length_keep_their_cohorts(spark):
     assert [out[1, k] for k in (2, 3)] == ["FEASIBLE_COMPLETE_CHAIN"] * 2 and out[2, 3] == "FINAL_EGRESS_HORIZON"
 
 
+def test_chains_go_on_over_empty_chunks_of_time_and_need_a_ready_time(spark):
+    routes = spark.createDataFrame([(0, 9, 1, 3, k, a, b, 3.0) for k, (a, b) in enumerate(((0, 1), (1, 2), (2, 9)), 1)],
+                                   "from_station int, to_station int, route_rank int, legs int, leg_no int, leg_from int, leg_to int, cost double")
+    rides = spark.createDataFrame([(1, 0, 1, 500, 560), (2, 0, 1, 505, 550), (3, 1, 2, 90_000, 91_000), (4, 1, 2, 540, 600), (5, 2, 9, 90_900, 92_000), (6, 2, 9, 250_000, 250_010)],
+                                  "ride_id long, from_station int, to_station int, dep long, arr long")
+    cohorts = spark.createDataFrame([(1, 0, 9, -5000, 300_000), (2, 0, 9, 490, 200_000), (3, 0, 9, 491, 300_000), (4, 0, 9, None, 300_000)], "cohort long, from_station int, to_station int, entry long, exit long")
+    for width in (10, 1000, 1_000_000):
+        x = {r.cohort: r for r in B.earliest_chains(cohorts, routes, rides, width).collect()}
+        assert [x[k].reason for k in (1, 2, 3, 4)] == ["FEASIBLE_COMPLETE_CHAIN", "FINAL_EGRESS_HORIZON", "FIRST_LEG_NO_SERVICE", "FIRST_LEG_NO_SERVICE"]
+        assert [s.ride for s in x[1].chain] == [2, 3, 6] and x[2].excess == 250_010 - 199_985 and [s.leg_to for s in x[2].chain] == [1, 2, 9] and x[4].chain == []
+
+
 def test_csv_values_that_do_not_fit_fail(spark, tmp_path):
     for name, text_, bad in (("good", "a,b\n1,2.5\n,\n 7 ,3\n", False), ("fraction", "a,b\n2.5,1\n", True), ("word", "a,b\nx,1\n", True), ("number", "a,b\n1,x\n", True)):
         path = tmp_path / f"{name}.csv"
