@@ -238,6 +238,23 @@ def test_cover_and_bound(spark):
     assert got == want and len(got) <= len(cover)
 
 
+def test_cover_reads_costs_once_and_edges_are_those_of_the_conflicts(spark, monkeypatch):
+    from ledgerline.operators import audit as V
+    e = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    cost = spark.range(41).select(F.col("id").alias("node"), F.rand(3).alias("cost"))
+    reads = []
+    monkeypatch.setattr(type(cost), "join", lambda self, other, *a, _join=type(cost).join, **k: (reads.append(1) if "cost" in (*self.columns, *other.columns) else None, _join(self, other, *a, **k))[1])
+    cover = {x.node for x in V.conflict_cover(e, cost).collect()}
+    assert len(reads) == 1 and all(k in cover or k + 1 in cover for k in range(40))
+    ev = spark.createDataFrame([(k, 0, k % 2, "Up", 1, 100 * k + k % 3 * 40) for k in range(60)], "service long, resource int, path int, direction string, station int, at long")
+    b = spark.createDataFrame([(1, 0, None, None, 0, 3600, 130)], "band_id long, resource int, path int, direction string, band_start long, band_end long, floor long")
+    want = {(x.a, x.b): x.worst_gap for x in V.headway_conflicts(ev, b, 250.0).collect()}
+    at = [100 * k + k % 3 * 40 for k in range(60)]
+    order = sorted(range(60), key=lambda k: (at[k], k))
+    brute = {(min(p, q), max(p, q)): at[q] - at[p] for p, q in zip(order, order[1:]) if at[q] - at[p] < (130 if (at[p] + at[q]) / 2 < 3600 else 90)}
+    assert want == brute and {(x.a, x.b) for x in V.conflict_edges(ev, b, 250.0).collect()} == set(brute)
+
+
 def test_nothing_keeps_the_card_key(spark):
     ev = spark.createDataFrame([(5, 10 ** 6, 1, 1, 3), (5, 2 * 10 ** 6, 2, 0, 4)], "user_id int, us long, seq int, status int, station int")
     p = S.pair_entry_exit(ev, "user_id", ["us", "seq"], "us", "status", ["station"], skew.span("us", 10 ** 6))
