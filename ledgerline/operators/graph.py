@@ -83,6 +83,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "node", F.coalesce("component", "node").alias("component"))
 
 
+def joined_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component, joined``: components before and after the edges (a, b) are added, which may have ends that are no node.
+
+    Only the new edges run rounds, between the components that they join; the smallest node of a component stays its label.
+    """
+    end = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+    x = edges.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    x = cut_lineage(x.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")).where("a <> b").distinct())
+    ends = x.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    new = connected_components(ends, x).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return components.join(new, "component", "left").select("node", "component", F.coalesce("joined", "component").alias("joined"))
+
+
 def reachable_mass(od: DataFrame, origin: str, destination: str, mass: str, components: DataFrame, direct: DataFrame) -> DataFrame:
     """OD cells labelled DIRECT, TRANSITIVE or UNREACHABLE."""
     cells = od.groupBy(origin, destination).agg(F.sum(mass).alias("mass"))

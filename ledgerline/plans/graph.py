@@ -305,11 +305,15 @@ WITH {CHAIN}, {ODC}, base AS (SELECT * FROM ed WHERE kind='near'), b1 AS (SELECT
  m1 AS ({mode_sql('b1', 'c1')}), m2 AS ({mode_sql('b2', 'c2')})
 SELECT m1.mode AS before_mode, m2.mode AS after_mode, sum(m1.mass)::BIGINT AS mass, count(*) AS od_pairs FROM m1 JOIN m2 USING (origin, destination) GROUP BY 1,2""")
 def _(t):
-    nodes, after = t.customer.select(F.col("c_custkey").alias("node")), chain_edges(t)
-    before = after.where("kind = 'near'")
-    x = N.reachable_mass(od_customers(t), "origin", "destination", "mass", N.connected_components(nodes, before), before).withColumnRenamed("mode", "before_mode")
-    y = N.reachable_mass(od_customers(t), "origin", "destination", "mass", N.connected_components(nodes, after), after).withColumnRenamed("mode", "after_mode").drop("mass")
-    return x.join(y, ["origin", "destination"]).groupBy("before_mode", "after_mode").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("od_pairs"))
+    nodes, edges = t.customer.select(F.col("c_custkey").alias("node")), cut_lineage(chain_edges(t))
+    near, far = edges.where("kind = 'near'").select("a", "b"), edges.where("kind = 'far'").select("a", "b")
+    c = cut_lineage(N.joined_components(cut_lineage(N.connected_components(nodes, near)), far))
+    end = lambda side: c.select(F.col("node").alias(side), F.col("component").alias(f"{side}_before"), F.col("joined").alias(f"{side}_after"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
+    direct = both.groupBy(F.col("a").alias("origin"), F.col("b").alias("destination")).agg(F.bool_or(F.col("kind") == "near").alias("near"))
+    x = od_customers(t).where("origin is not null and destination is not null").join(end("origin"), "origin", "left").join(end("destination"), "destination", "left").join(direct, ["origin", "destination"], "left")
+    mode = lambda edge, when: F.when(edge, "DIRECT").when(F.col(f"origin_{when}") == F.col(f"destination_{when}"), "TRANSITIVE").otherwise("UNREACHABLE")
+    return x.groupBy(mode(F.col("near"), "before").alias("before_mode"), mode(F.col("near").isNotNull(), "after").alias("after_mode")).agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("od_pairs"))
 
 
 @query("W26_bracketed_prediction", """

@@ -255,6 +255,16 @@ def test_cover_reads_costs_once_and_edges_are_those_of_the_conflicts(spark, monk
     assert want == brute and {(x.a, x.b) for x in V.conflict_edges(ev, b, 250.0).collect()} == set(brute)
 
 
+def test_joined_components_are_those_of_all_edges(spark):
+    from ledgerline.operators import graph as N
+    nodes = spark.range(5, 12).select(F.col("id").alias("node"))
+    near = spark.createDataFrame([(5, 6), (8, 9)], "a long, b long")
+    far = spark.createDataFrame([(9, 6), (7, 3), (10, 3), (11, 11)], "a long, b long")  # 3 is no node
+    got = {x.node: (x.component, x.joined) for x in N.joined_components(N.connected_components(nodes, near), far).collect()}
+    assert got == {5: (5, 5), 6: (5, 5), 7: (7, 3), 8: (8, 5), 9: (8, 5), 10: (10, 3), 11: (11, 11)}
+    assert {k: v[1] for k, v in got.items()} == {x.node: x.component for x in N.connected_components(nodes, near.unionByName(far)).collect()}
+
+
 def test_nothing_keeps_the_card_key(spark):
     ev = spark.createDataFrame([(5, 10 ** 6, 1, 1, 3), (5, 2 * 10 ** 6, 2, 0, 4)], "user_id int, us long, seq int, status int, station int")
     p = S.pair_entry_exit(ev, "user_id", ["us", "seq"], "us", "status", ["station"], skew.span("us", 10 ** 6))
