@@ -12,8 +12,8 @@ from ledgerline.operators import quantiles as Q
 from ledgerline.operators import reconcile as R
 from ledgerline.operators import timetable as TT
 from ledgerline.operators import topk as K
-from ledgerline.plans.assign import (CHAIN, EPI, FAC, LABEL, MONTH_S, OBS, POST, SHIFTED, SHIFTS, STATS, SUB, TWO, KERNELS, chosen, cohorts, episodes, factors, observations, post,
-                                     routes, substrate, two_passes)
+from ledgerline.plans.assign import (CHAIN, EPI, FAC, LABEL, MONTH_S, OBS, POST, SHIFTED, SHIFTS, STATS, SUB, TWO, chosen, cohorts, episodes, factors, kernel_stats, observations, post, scoring,
+                                     substrate, two_passes)
 from ledgerline.plans.scalars import gh_sql, lncdf_sql, phi_sql
 from ledgerline.plans.views import RIDERS, RIDES, riders, rides
 from ledgerline.registry import query, staged
@@ -65,7 +65,8 @@ WITH {FAC}, g AS (SELECT factor, sum(w) AS mass, sum(w*centre)/sum(w) AS mg, sum
  q AS (SELECT factor, min(centre) FILTER (u>=tot*0.1::DOUBLE) AS q10, min(centre) FILTER (u>=tot*0.5::DOUBLE) AS q50, min(centre) FILTER (u>=tot*0.9::DOUBLE) AS q90 FROM c GROUP BY 1)
 SELECT factor, round(mass,3) AS mass, round(mg,1) AS mean_gap, round(pp,4) AS p_positive, round(inf,4) AS infeasible, round(imp,4) AS impossible95, q10, q50, q90 FROM g JOIN q USING (factor)""")
 def _(t):
-    c = TT.consistency(factors(t), ["factor"], 3600.0)
+    cells = cut_lineage(B.factor_cells(scoring(t), lambda root, centre, sd: centre, TT.CONSISTENCY))
+    c = TT.consistency(cells.withColumn("centre", F.col("cell").cast("double")), ["kind"], 3600.0).withColumn("factor", B.factor_name()).drop("kind")
     r = {"mass": 3, "mean_gap": 1, "p_positive": 4, "infeasible": 4, "impossible95": 4}
     return c.withColumns({k: F.round(k, n) for k, n in r.items()})
 
@@ -102,21 +103,15 @@ def _(t):
 WITH {ORD}, g AS (SELECT *, w*loss AS wl, w/(1+exp(-greatest(-50,least(x,50))))/tau AS gr FROM ol), u AS (SELECT upper_root AS root, 'departure' AS event, wl, -gr AS gr FROM g WHERE upper_root IS NOT NULL UNION ALL SELECT lower_root, 'arrival', wl, gr FROM g WHERE lower_root IS NOT NULL)
 SELECT root, event, round(sum(wl),4) AS loss, round(sum(gr),6) AS grad FROM u GROUP BY 1,2""")
 def _(t):
-    return TT.soft_order_objective(factors(t)).select("root", "event", F.round("loss", 4).alias("loss"), F.round("grad", 6).alias("grad"))
+    return TT.soft_order_objective(scoring(t)).select("root", "event", F.round("loss", 4).alias("loss"), F.round("grad", 6).alias("grad"))
 
 
 PROP = f"""{SHIFTED}, z AS (SELECT root, obj AS zero FROM obj WHERE shift=0), pr AS (SELECT root, shift, round(obj-zero,6) AS gain, usage FROM obj JOIN z USING (root) WHERE shift<>0 AND obj-zero>0.01 AND usage>=0.2),
  best AS (SELECT * FROM pr QUALIFY rank() OVER (PARTITION BY root ORDER BY gain DESC)=1), prop AS (SELECT root, max(shift) AS shift, max(gain) AS gain, max(usage) AS usage FROM best GROUP BY 1 HAVING count(DISTINCT shift>0)=1)"""
 
 
-@staged
 def proposals(t):
-    s = cut_lineage(B.shift_scores(factors(t), KERNELS, SHIFTS))
-    s = s.withColumn("obj", F.round(F.col("score") / F.col("usage") - 0.5 * F.pow(F.col("shift") / F.lit(1200.0), 2), 6))
-    zero = s.where("shift = 0").select("root", F.col("obj").alias("zero"))
-    p = s.join(zero, "root").withColumn("gain", F.round(F.col("obj") - F.col("zero"), 6)).where("shift <> 0 and obj - zero > 0.01 and usage >= 0.2").withColumn("dir", F.col("shift") > 0)
-    b = K.reject_ties(p, ["root"], "gain", "dir")
-    return b.groupBy("root").agg(F.max("shift").alias("shift"), F.max("gain").alias("gain"), F.max("usage").alias("usage"))
+    return B.clear_shifts(B.shift_scores(scoring(t), SHIFTS), 1200.0, 0.01, 0.2)
 
 
 @query("B36_sparse_update_proposal", f"WITH {PROP} SELECT root, shift, round(gain,4) AS gain FROM prop")
@@ -207,7 +202,7 @@ def _(t):
 @query("B48_prior_mass_update", f"""
 WITH {STATS}, f AS (SELECT factor, (sum_log+20*ln(14400.0::DOUBLE))/(w+20) AS m, (sum_log2+20*(1.44+pow(ln(14400.0::DOUBLE),2)))/(w+20) AS s FROM st) SELECT factor, round(exp(m),2) AS median, round(least(2.5,greatest(0.12,sqrt(greatest(1e-8,s-m*m)))),4) AS sigma FROM f""")
 def _(t):
-    u = TT.prior_mass_update(B.log_stats(factors(t), ["factor"]), 14400.0, 1.2, 20.0)
+    u = TT.prior_mass_update(kernel_stats(t), 14400.0, 1.2, 20.0)
     return u.select("factor", F.round("median", 2).alias("median"), F.round("sigma", 4).alias("sigma"))
 
 
@@ -217,7 +212,7 @@ SELECT movement, raw>=50 AS own_kernel, round(CASE WHEN raw>=50 THEN s.m ELSE (S
 def _(t):
     fit = lambda s: s.withColumns({"median": F.exp(F.col("sum_log") / F.col("w")), "sigma": F.lit(1.0)})
     # a few sums per movement; those of all movements are their sums
-    sums = cut_lineage(B.log_stats(factors(t).withColumn("movement", F.coalesce("upper_root", "lower_root") % 40), ["movement"]))
+    sums = cut_lineage(B.log_sums(scoring(t), 40).groupBy(F.col("cell").alias("movement")).agg(*[F.sum(c).alias(c) for c in ("w", "sum_log", "sum_log2")]))
     own, every = fit(sums), fit(sums.agg(*[F.sum(c).alias(c) for c in ("w", "sum_log", "sum_log2")]))
     k = B.context_kernel(own.select("movement"), [("OWN", own, ["movement"], 50.0), ("GLOBAL", every, [], 0.0)])
     return k.select("movement", (F.col("kernel.tier") == "OWN").alias("own_kernel"), F.round("kernel.median", 2).alias("median"))

@@ -849,3 +849,96 @@ def test_completion_of_variants_writes_trips_not_their_nodes(spark, monkeypatch)
     out = S.complete_variants(ev, va, "trip", "line", "pos", "t", 15.0).collect()
     assert len(out) == 6 * 25 and all(r.filled == 100.0 * r.pos + r.trip for r in out if r.role in ("ORIGINAL", "BETWEEN_OBSERVED_ANCHORS"))
     assert max(w.count() for w in written) <= 6
+
+
+def _dense_legs(seed):
+    rng = random.Random(seed)
+    riders = [(i, 1, 3, e, e + rng.choice([-5000, 0, 3000, 20_000, 60_000]), 1 + i % 3) for i, e in enumerate(rng.randrange(0, 200_000) for _ in range(80))]
+    trains = [(j, a, b, d, d + rng.choice([0, 300, 900, -400]), 10.0 + j % 20) for j, (a, b, d) in enumerate((rng.choice([(1, 3), (1, 2), (2, 3)]) + (rng.randrange(0, 260_000),)) for _ in range(2500))]
+    routes = [(1, 3, 1, 1, 1, 1, 3, 0.0), (1, 3, 2, 2, 1, 1, 2, 90.0), (1, 3, 2, 2, 2, 2, 3, 90.0)]
+    return riders, trains, routes
+
+
+@pytest.mark.parametrize("kernel", [(14400.0, 1.2), (600.0, 0.4), (40.0, 2.0)])
+def test_chains_scored_around_the_mode_are_those_of_all_rides(monkeypatch, kernel):
+    """Rides away from the mode are scored only while they could reach the beam: the chains stay those of all pairs, for few pairs."""
+    import pyarrow as pa
+    riders, trains, _ = _dense_legs(36)
+    pair = lambda a, b: a << 32 | b
+    left = pa.table({"cohort": [r[0] for r in riders for _ in "ab"], "entry": [r[3] for r in riders for _ in "ab"], "exit": [r[4] for r in riders for _ in "ab"], "mass": [r[5] for r in riders for _ in "ab"],
+                     "route_rank": [1, 2] * 80, "legs": [1, 2] * 80, "extra": [0.0, 90.0] * 80, "__pair1": [pair(1, 3), pair(1, 2)] * 80, "__pair2": pa.array([None, pair(2, 3)] * 80, pa.int64())})
+    right = pa.table({"__pair": [pair(a, b) for _, a, b, _, _, _ in trains], **{n: [x[i] for x in trains] for n, i in (("ride_id", 0), ("dep", 3), ("arr", 4), ("sd", 5))}})
+    kernels, scored, density = {k: kernel for k in ("access", "transfer", "egress")}, [], dist.log_interval_density_values
+    monkeypatch.setattr(dist, "log_interval_density_values", lambda c, *a: scored.append(len(c)) or density(c, *a))
+    monkeypatch.setattr(B, "_NEAR", 2)
+    found = []
+    for all_mass in (True, False):
+        scored.clear()
+        x = B._chains(2, kernels, 8, all_mass, left, right)
+        found.append(({(int(r), *x.ride_id[k[k >= 0]]): (round(s, 9), round(p, 9)) for r, k, s, p in zip(x.row, x.k, x.score, x.p, strict=True)}, sum(scored)))
+    assert found[0][0] == found[1][0] and len(found[0][0]) > 100
+    if kernel[0] == 14400.0:
+        assert found[1][1] < found[0][1]
+
+
+def test_posteriors_do_not_depend_on_the_groups(spark, monkeypatch):
+    """Spans of time and splits by station pair give the same chains, and only rides and routes are written."""
+    riders, trains, routes = _dense_legs(18)
+    riders += [(900, 1, 3, None, 5, 1), (901, 7, 8, 10, 20, 2), (902, 2, 3, 5000, 90_000, 1)]
+    routes += [(2, 3, 1, 1, 1, 2, 3, 0.0)]
+    args = (spark.createDataFrame(riders, "cohort long, from_station int, to_station int, entry long, exit long, mass long"),
+            spark.createDataFrame(routes, "from_station int, to_station int, route_rank int, legs int, leg_no int, leg_from int, leg_to int, cost double"),
+            spark.createDataFrame(trains, "ride_id long, from_station int, to_station int, dep long, arr long, sd double"), {k: (14400.0, 1.2) for k in ("access", "transfer", "egress")}, 8)
+    want = {(r.cohort, tuple(x.ride for x in r.steps)): round(r.p, 9) for r in B.chains_of(B.posterior(B.beams(*args, 10 ** 9), "cohort"), "cohort").collect()}
+    written, cut = [], B.cut_lineage
+    monkeypatch.setattr(B, "cut_lineage", lambda df: written.append(set(df.columns)) or cut(df))
+    for most in (B._GROUP_ROWS, 60):
+        monkeypatch.setattr(B, "_GROUP_ROWS", most)
+        monkeypatch.setattr(B, "_LEAST_ROWS", 20)
+        post = B.posteriors(*args, 10 ** 9)
+        assert {(r.cohort, tuple(x.ride for x in r.steps)): round(r.p, 9) for r in B.chains_of(post, "cohort").collect()} == want
+        lines = B.lineage(post).collect()
+        assert sorted(r.cohort for r in lines if r.unresolved_reason) == sorted({r[0] for r in riders} - {c for c, _ in want})
+        assert sum(r.lineage_mass for r in lines) == pytest.approx(sum(r[5] for r in riders))
+    assert not [c for c in written if c & {"cohort", "chains"}]
+
+
+@pytest.mark.parametrize("name", ["B11_lineage_aggregates", "B13_factor_histograms", "B14_kernel_statistics", "B18_shift_grid", "B28_chain_reweight", "B33_soft_order_objective", "B36_sparse_update_proposal"])
+def test_no_beam_or_posterior_is_written(spark, monkeypatch, name):
+    from ledgerline import registry
+    from ledgerline.plans import load, timetable
+    written, cut = [], registry.cut_lineage
+    for module in (registry, timetable, B):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(set(df.columns)) or cut(df))
+    registry.forget_staged()
+    assert load()[name](spark, "/root/testdata/sf0.001").count() >= 0
+    assert written and not [c for c in written if c & {"chains", "steps", "factor", "shift"}]
+
+
+def test_sums_of_factors_match_the_factors_as_rows(spark):
+    """Sums made inside the groups against the same sums over one row per factor."""
+    riders, trains, routes = _dense_legs(33)
+    scoring = (spark.createDataFrame(riders, "cohort long, from_station int, to_station int, entry long, exit long, mass long"),
+               spark.createDataFrame(routes, "from_station int, to_station int, route_rank int, legs int, leg_no int, leg_from int, leg_to int, cost double"),
+               spark.createDataFrame(trains, "ride_id long, from_station int, to_station int, dep long, arr long, sd double"), {k: (14400.0, 1.2) for k in ("access", "transfer", "egress")}, 8, 86400)
+    rows = [r.asDict() for r in B.factors(B.posteriors(*scoring)).collect()]
+    pairs, shifts, usage, cells = {}, {}, {}, {}
+    for r in rows:
+        key = (r["factor"], r["lower_root"], r["upper_root"])
+        pairs[key] = pairs.get(key, 0) + 1
+        for root, sign in ((r["upper_root"], 1), (r["lower_root"], -1)):
+            if root is not None:
+                usage[root] = usage.get(root, 0.0) + r["w"]
+                for s in (-1800, 0):
+                    ll = float(dist.log_interval_density_values(np.array([r["centre"] + sign * s]), np.array([r["sd"]]), 14400.0, 1.2)[0])
+                    shifts[root, s] = shifts.get((root, s), 0.0) + r["w"] * (-1e6 if np.isnan(ll) else ll)
+        if r["centre"] > 0:
+            cells[r["factor"]] = cells.get(r["factor"], 0.0) + r["w"] * np.log(r["centre"])
+    assert {(r.factor, r.lower_root, r.upper_root): r.n for r in B.factor_pairs(scoring).withColumn("factor", B.factor_name()).collect()} == pairs
+    got = B.shift_scores(scoring, [-1800, 0]).collect()
+    assert {r.root: pytest.approx(r.usage) for r in got} == usage
+    assert {(r.root, x.shift): pytest.approx(x.score) for r in got for x in r.scores} == shifts
+    assert {r.factor: pytest.approx(r.sum_log) for r in B.log_sums(scoring).withColumn("factor", B.factor_name()).collect()} == cells
+    clear = B.clear_shifts(spark.createDataFrame([(1, 1.0, [(-1, 5.0), (0, 1.0), (1, 5.0)]), (2, 1.0, [(-2, 5.0), (-1, 5.0), (0, 1.0)]), (3, 0.1, [(0, 1.0), (1, 9.0)]), (4, 1.0, [(0, 1.0), (1, 1.0)])],
+                                                 "root long, usage double, scores array<struct<shift:int,score:double>>"), 1e9, 0.01, 0.2).collect()
+    assert [(r.root, r.shift, r.gain) for r in clear] == [(2, -1, 4.0)]
