@@ -150,9 +150,10 @@ def _replay_sql() -> str:
 REPLAY = f"{FAIL}, {_replay_sql()}"
 
 
-@staged
-def replayed(t):
-    return RP.replay(failures(t), line_routes(t), cut_lineage(RP.boarding_options(rides_with_sd(t), SKIPS, MONTH_S)), ACCESS, TRANSFER, BEAM, LATEST_S)
+def replayed(t, reason: str):
+    """The replay of the routes that failed for a reason."""
+    f = failures(t).where(F.col("reason") == reason)
+    return RP.replay(f, line_routes(t), RP.boarding_options(rides_with_sd(t), SKIPS, MONTH_S), ACCESS, TRANSFER, BEAM, LATEST_S)
 
 
 @query("B43_ready_envelope", f"""
@@ -160,7 +161,7 @@ WITH RECURSIVE {REPLAY} SELECT cohort, route_rank, leg_no, leg_from, leg_to, CAS
 FROM rp WHERE reason='MISSING_SERVICE_SEGMENT'""")
 def _(t):
     """When the travellers of a route were ready for the first leg that nothing serves, in seconds after their entry."""
-    x = replayed(t).where("reason = 'MISSING_SERVICE_SEGMENT'").withColumn("reason", F.when(F.col("n_states").isNull(), "TIME_INCOMPATIBLE_CHAIN_BEFORE_SEGMENT").otherwise(F.col("reason")))
+    x = replayed(t, "MISSING_SERVICE_SEGMENT").withColumn("reason", F.when(F.col("n_states").isNull(), "TIME_INCOMPATIBLE_CHAIN_BEFORE_SEGMENT").otherwise(F.col("reason")))
     return x.select("cohort", "route_rank", "leg_no", "leg_from", "leg_to", "reason", "n_states", *[F.round(q, 3).alias(q) for q in RP.QUANTILES])
 
 
@@ -173,7 +174,7 @@ def _support_sql(reason: str) -> str:
 
 
 def _records(t, reason: str):
-    x = replayed(t).where((F.col("reason") == reason) & F.col("n_states").isNotNull())
+    x = replayed(t, reason).where("n_states is not null")
     return x.select("leg_from", "leg_to", *B.OD, F.round(F.col("mass") * F.col("weight") * 1000000).cast("bigint").alias("mass"), "exit", *[F.round(F.col("entry") + F.col(q), 3).alias(q) for q in RP.QUANTILES])
 
 

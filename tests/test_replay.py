@@ -157,3 +157,20 @@ def test_mixture_quantile_inverts_the_cdf(spark):
         x = spark.range(1).select(dist.mixture_quantile(ACCESS, q, UPPER)).first()[0]
         assert x == pytest.approx(quantile(ACCESS, q), rel=1e-9)
         assert spark.range(1).select(dist.mixture_cdf(F.lit(x), ACCESS)).first()[0] == pytest.approx(q, abs=1e-6)
+
+
+def test_replay_writes_no_pairs_and_does_not_depend_on_the_groups(spark, world, monkeypatch):
+    """Only rides and routes are written, in spans of time of any length and any number of splits; chunks of the options cut through their neighbours."""
+    routes, rides, cohorts = world
+    c, r, s = frames(spark, world)
+    failures = RP.route_failures(c, r, s).localCheckpoint()
+    written, cut = [], RP.cut_lineage
+    monkeypatch.setattr(RP, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    found = []
+    for most, chunk in ((B._GROUP_ROWS, 10 ** 6), (20, 50.0)):
+        monkeypatch.setattr(B, "_GROUP_ROWS", most)
+        monkeypatch.setattr(B, "_LEAST_ROWS", 10)
+        out = RP.replay(failures, r, RP.boarding_options(s, SKIPS, chunk), ACCESS, TRANSFER, BEAM, UPPER, 100)
+        found.append({(x.cohort, x.route_rank): (x.n_states, *[None if v is None else round(v, 6) for v in (x.q05, x.q50, x.q95)]) for x in out.collect()})
+    assert found[0] == found[1] and len(found[0]) > 100 and any(v[0] == BEAM for v in found[0].values())
+    assert written and not [w for w in written if "cohort" in w.columns] and max(w.count() for w in written) <= len(rides) * 2
