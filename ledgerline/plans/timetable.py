@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline import skew
-from ledgerline.functions import clocks, dist
+from ledgerline.functions import clocks
 from ledgerline.operators import assign as B
 from ledgerline.operators import joins as J
 from ledgerline.operators import quantiles as Q
 from ledgerline.operators import reconcile as R
 from ledgerline.operators import timetable as TT
-from ledgerline.operators import topk as K
 from ledgerline.plans.assign import (CHAIN, EPI, FAC, LABEL, MONTH_S, OBS, POST, SHIFTED, SHIFTS, STATS, SUB, TWO, chosen, cohorts, episodes, factors, kernel_stats, observations, post, scoring,
                                      substrate, two_passes)
 from ledgerline.plans.scalars import gh_sql, lncdf_sql, phi_sql
 from ledgerline.plans.views import RIDERS, RIDES, riders, rides
-from ledgerline.registry import query, staged
+from ledgerline.registry import query
 from ledgerline.session import cut_lineage
 
 
@@ -274,9 +273,5 @@ WITH {RIDES}, {RIDERS}, hp AS (SELECT rider_id, mass, ride_id, (dep-entry)::DOUB
 SELECT rider_id AS cohort, ride_id, round(boarding,6) AS boarding, round(score,4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY rider_id ORDER BY score DESC, ride_id)<=8""")
 def _(t):
     """All departures of the entry station compete; the best eight per cohort are kept."""
-    p = cohorts(t).drop("to_station").withColumns({"lo": F.col("entry") + B.ACCESS_MIN_S, "hi": F.col("exit")}).where("lo <= hi")
-    x = J.interval_join(p, rides(t).select("from_station", "ride_id", "dep", "arr"), ["from_station"], "lo", "hi", "dep", clocks.DAY_S)
-    x = x.select("cohort", "mass", "ride_id", (F.col("dep") - F.col("entry")).cast("double").alias("g"), (F.col("exit") - F.col("arr")).cast("double").alias("e"))
-    h = TT.hazard_scores(cut_lineage(x), "cohort", "g", "ride_id", 14400.0, 1.2, 0.2).where(F.col("e") >= B.EGRESS_MIN_S)
-    h = cut_lineage(h.withColumn("score", F.ln(F.greatest("boarding", F.lit(1e-12))) + dist.lognormal_log_pdf(F.col("e"), F.lit(14400.0), F.lit(1.2))))
-    return K.beam(h, ["cohort"], "score", ["ride_id"], 8).select("cohort", "ride_id", F.round("boarding", 6).alias("boarding"), F.round("score", 4).alias("score"))
+    h = TT.hazard_beams(cohorts(t), rides(t).select("from_station", "ride_id", "dep", "arr"), ["from_station"], (14400.0, 1.2), 0.2, 8, B.ACCESS_MIN_S, B.EGRESS_MIN_S)
+    return h.select("cohort", "ride_id", F.round("boarding", 6).alias("boarding"), F.round("score", 4).alias("score"))

@@ -942,3 +942,28 @@ def test_sums_of_factors_match_the_factors_as_rows(spark):
     clear = B.clear_shifts(spark.createDataFrame([(1, 1.0, [(-1, 5.0), (0, 1.0), (1, 5.0)]), (2, 1.0, [(-2, 5.0), (-1, 5.0), (0, 1.0)]), (3, 0.1, [(0, 1.0), (1, 9.0)]), (4, 1.0, [(0, 1.0), (1, 1.0)])],
                                                  "root long, usage double, scores array<struct<shift:int,score:double>>"), 1e9, 0.01, 0.2).collect()
     assert [(r.root, r.shift, r.gain) for r in clear] == [(2, -1, 4.0)]
+
+
+@pytest.mark.parametrize("block", [40, 500_000])
+def test_hazard_beams_match_a_sequential_fold_and_write_no_pairs(spark, monkeypatch, block):
+    written, cut = [], TT.cut_lineage
+    monkeypatch.setattr(TT, "cut_lineage", lambda df: written.append(df.count()) or cut(df))
+    riders, trains, c, r = _riders_and_rides(spark, 52)
+    monkeypatch.setattr(TT, "PAIR_BLOCK", block)
+    cdf = lambda x: float(dist.normal_cdf_values(np.array([(np.log(x) - np.log(30.0)) / 1.2]))[0])
+    want = {}
+    for i, f, _, entry, leave, _ in riders:
+        s, before, found = 0.0, 0.0, []
+        for d, j, a in sorted((d, j, a) for j, rf, _, d, a in trains if rf == f and entry + 5 <= d <= leave):
+            s, before = 0.2 * s + max(0.0, cdf(d - entry) - before), cdf(d - entry)
+            if leave - a >= 3:
+                found.append((-(np.log(max(0.8 * s, 1e-12)) + _log_density(leave - a, 30.0, 1.2)), j, 0.8 * s))
+        want.update({(i, j): (b, -v) for v, j, b in sorted(found)[:4]})
+    left, right = ({n: df.select(n).toPandas()[n].to_numpy() for n in df.columns} for df in (c, r))
+    import pyarrow as pa
+    tables = pa.table({**left, "__b": np.zeros(len(riders), "int64")}), pa.table({**{n: right[n] for n in ("ride_id", "from_station", "arr")}, "__at": right["dep"], "__b": np.zeros(len(trains), "int64")})
+    direct = TT._hazard_beams(["from_station"], (30.0, 1.2), 0.2, 4, 5, 3)(*tables).to_pylist()
+    rows = [x.asDict() for x in TT.hazard_beams(c, r, ["from_station"], (30.0, 1.2), 0.2, 4, 5, 3, width=100).collect()]
+    for got in (direct, rows):
+        assert {(x["cohort"], x["ride_id"]): (pytest.approx(x["boarding"], rel=1e-9, abs=1e-15), pytest.approx(x["score"], rel=1e-9)) for x in got} == want
+    assert max(written) <= len(trains)
