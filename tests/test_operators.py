@@ -967,3 +967,23 @@ def test_hazard_beams_match_a_sequential_fold_and_write_no_pairs(spark, monkeypa
     for got in (direct, rows):
         assert {(x["cohort"], x["ride_id"]): (pytest.approx(x["boarding"], rel=1e-9, abs=1e-15), pytest.approx(x["score"], rel=1e-9)) for x in got} == want
     assert max(written) <= len(trains)
+
+
+@pytest.mark.parametrize("pairs", [48_000_000, 500])
+def test_points_in_polygons_by_brute_force_without_shuffled_pairs(spark, monkeypatch, pairs):
+    """Polygons of three to six corners, one of them concave, points without a place; pairs are tested in their cell, not grouped afterwards."""
+    monkeypatch.setattr(SP, "_GROUP_PAIRS", pairs)
+    rng = random.Random(17)
+    points = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(300)] + [(300, None, 1.0), (301, 0.25, 0.5)]
+    rings = {j: [(cx + r * np.cos(a), cy + r * np.sin(a)) for a in sorted(rng.uniform(0, 6.28) for _ in range(rng.randrange(3, 7)))] for j in range(60) for cx, cy, r in [(rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(0.1, 2))]}
+    rings[60] = [(-2.0, -2.0), (2.0, -2.0), (0.0, -1.0), (2.0, 2.0), (-2.0, 2.0)]
+    edges = [(j, *map(float, a), *map(float, b)) for j, ring in rings.items() for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    want = set()
+    for i, x, y in points[:300] + points[301:]:
+        for j in rings:
+            if sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for k, x1, y1, x2, y2 in edges if k == j) % 2:
+                want.add((i, j))
+    out = SP.points_in_polygons(spark.createDataFrame(points, "p long, x double, y double"), "p", "x", "y", spark.createDataFrame(edges, "z int, x1 double, y1 double, x2 double, y2 double"), "z", 1.0)
+    rows = out.collect()
+    assert len(rows) == len(want) > 100 and {(r.p, r.z) for r in rows} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapCoGroups")
