@@ -987,3 +987,20 @@ def test_points_in_polygons_by_brute_force_without_shuffled_pairs(spark, monkeyp
     rows = out.collect()
     assert len(rows) == len(want) > 100 and {(r.p, r.z) for r in rows} == want
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapCoGroups")
+
+
+@pytest.mark.parametrize("name", ["B24_first_boardable_likelihood", "B25_movement_fit"])
+def test_episodes_meet_the_rides_of_their_search_only(spark, monkeypatch, tmp_path, name):
+    """A busy station: buckets as long as the mean search, not four hours, so that episodes meet few rides outside of it."""
+    from ledgerline.plans import assign, load
+    spark.range(3000).selectExpr("id + 1 AS l_orderkey", "1L AS l_linenumber", "id % 25 AS l_suppkey", "id AS l_partkey", "1.0D AS l_quantity", "TIMESTAMP_NTZ'2000-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    met, join = [], assign.J.interval_join
+
+    def counted(left, right, keys, lo, hi, at, width):
+        b = lambda c: F.floor(F.col(c) / width)
+        pairs = left.withColumn("__b", F.explode(F.sequence(b(lo), b(hi)))).join(right.withColumn("__b", b(at)), [*keys, "__b"]).count()
+        met.append((pairs, left.count()))
+        return join(left, right, keys, lo, hi, at, width)
+    monkeypatch.setattr(assign.J, "interval_join", counted)
+    assert load()[name](spark, str(tmp_path)).count() > 0
+    assert met and all(0 < rows and pairs <= 8 * rows for pairs, rows in met)
